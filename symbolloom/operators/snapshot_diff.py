@@ -14,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolloom.session import cut, null_safe_hash
@@ -80,42 +80,45 @@ def _peel_all(count: np.ndarray, key: np.ndarray, digest: np.ndarray, item: np.n
     return *merged, clean
 
 
+BUCKET = ["bundle", "strand", "bucket"]
+#: Columns of peeled items; rows with sign 0 mark buckets that didn't come apart.
+_ITEMS = "bundle string, strand string, bucket bigint, inner bigint, rev bigint, prev bigint, sign int, kh bigint"
+_FIXED = 6
+
+
 def _peel(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Columns: bundle, strand, bucket, rev, prev, then the cells' four fields. Rows with sign 0 mark failed buckets."""
+    """Peels subtracted tables: six fixed columns, then the cells' four fields."""
+    names = [x.split()[0] for x in _ITEMS.split(", ")]
     for batch in batches:
-        field = lambda f: np.stack([batch.column(5 + f * CELLS + c).to_numpy(zero_copy_only=False) for c in range(CELLS)], 1)
         if not batch.num_rows:
             continue
-        count = field(0).astype(np.int64)
-        row, sign, key, _, clean = _peel_all(count, *(np.ascontiguousarray(field(f).astype(np.int64)).view(np.uint64) for f in (1, 2, 3)), depth)
-        failed = np.flatnonzero(~clean)
-        fine = clean[row]
+        field = lambda f: np.stack([batch.column(_FIXED + f * CELLS + c).to_numpy(zero_copy_only=False) for c in range(CELLS)], 1)
+        row, sign, key, _, clean = _peel_all(field(0).astype(np.int64), *(np.ascontiguousarray(field(f).astype(np.int64)).view(np.uint64) for f in (1, 2, 3)), depth)
+        failed, fine = np.flatnonzero(~clean), clean[row]
         take = pa.array(np.concatenate([row[fine], failed]))
-        fixed = [batch.column(i).take(take) for i in range(5)]
-        signs, keys = np.concatenate([sign[fine], np.zeros(len(failed), np.int64)]), np.concatenate([key[fine].view(np.int64), np.zeros(len(failed), np.int64)])
-        yield pa.RecordBatch.from_arrays([*fixed, pa.array(signs.astype(np.int32)), pa.array(keys)], names=["bundle", "strand", "bucket", "rev", "prev", "sign", "kh"])
-
+        none = np.zeros(len(failed), np.int64)
+        signs, keys = np.concatenate([sign[fine], none]), np.concatenate([key[fine].view(np.int64), none])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(_FIXED)), pa.array(signs.astype(np.int32)), pa.array(keys)], names=names)
 
-def _held(rows: DataFrame) -> DataFrame:
-    """Of one snapshot's rows with one key, the digest of the row declared last (then the highest digest)."""
-    return rows.groupBy("bundle", "strand", "bucket", "rev", "kh").agg(F.max(F.struct("ord", "dg")).alias("m")).select("bundle", "strand", "bucket", "rev", "kh", F.col("m.dg").alias("dg"))
 
+def _subtracted(held: DataFrame, pairs: DataFrame, level: int, depth: int) -> DataFrame:
+    """Tables of the later snapshot less those of the earlier one, for each bucket of ``pairs``.
 
-def _tables(held: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
-    """Subtracted tables of consecutive snapshots. ``marks``: all snapshots of each bucket, also where it is empty."""
-    where = ["bundle", "strand", "bucket", "rev"]
-    item = F.xxhash64("kh", "dg")
-    rows = held.select(*where, "kh", "dg", item.alias("ih")).unionByName(marks.select(*where), allowMissingColumns=True)
+    ``pairs``: BUCKET, and ``todo``, an array of (rev, prev, inner). A row of ``held`` counts +1 where its
+    snapshot is the later one and -1 where it is the earlier one; equal items cancel. The join and the
+    aggregation use the partitioning by BUCKET that both sides have, so nothing is shuffled.
+    """
+    inner = F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level))
+    hits = F.filter("todo", lambda p: (p["inner"] == F.col("inner")) & ((p["rev"] == F.col("rev")) | (p["prev"] == F.col("rev"))))
+    rows = held.withColumn("inner", inner).join(pairs.hint("shuffle_hash"), BUCKET).select(*BUCKET, "inner", "kh", "dg", F.xxhash64("kh", "dg").alias("ih"), F.col("rev").alias("own"), F.explode(hits).alias("p"))
+    rows = rows.select(*BUCKET, "inner", F.col("p.rev").alias("rev"), F.col("p.prev").alias("prev"), "kh", "dg", "ih", F.when(F.col("own") == F.col("p.rev"), 1).otherwise(-1).alias("sign"))
     aggs = []
     for c, hit in enumerate(_cells(F.col("ih"), depth)):
-        aggs.append(F.coalesce(F.sum(F.when(hit, 1)), F.lit(0)).cast("int").alias(f"n{c}"))
+        aggs.append(F.coalesce(F.sum(F.when(hit, F.col("sign"))), F.lit(0)).cast("int").alias(f"n{c}"))
         aggs += [F.coalesce(F.bit_xor(F.when(hit, F.col(s))), F.lit(0)).alias(f"{t}{c}") for s, t in (("kh", "k"), ("dg", "d"), ("ih", "i"))]
-    tables = rows.groupBy(*where).agg(*aggs)
-    names = [f"{t}{c}" for t in "nkdi" for c in range(CELLS)]
-    order = Window.partitionBy("bundle", "strand", "bucket").orderBy("rev")
-    both = tables.select(*where, F.struct(*names).alias("new")).withColumns({"prev": F.lag("rev").over(order), "old": F.lag("new").over(order)})
-    minus = [(F.col(f"new.{n}") - F.col(f"old.{n}") if n[0] == "n" else F.col(f"new.{n}").bitwiseXOR(F.col(f"old.{n}"))).alias(n) for n in names]
-    return both.where("prev is not null").select(*where, "prev", *minus)
+    fixed = [*BUCKET, "inner", "rev", "prev"]
+    tables = rows.groupBy(*fixed).agg(*aggs)
+    return tables.select(*fixed, *(f"{t}{c}" for t in "nkdi" for c in range(CELLS)))
 
 
 def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
@@ -127,56 +130,41 @@ def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
     ``attributes`` are compared by 64-bit digests, null equal to null only. The first snapshot of a strand
     gives nothing; an empty table gives nothing; other columns don't matter.
 
-    Tables are grouped by (bundle, strand, bucket); strands with more than BUCKET_KEYS rows in a snapshot
-    are spread over more buckets, so no strand gathers in one task.
+    One shuffle brings the digests together by (bundle, strand, bucket). Strands with more than BUCKET_KEYS
+    rows in a snapshot have more buckets, so no strand gathers in one task; only the list of its version
+    counts does.
     """
     key_hash = null_safe_hash(F.col("category"), F.col("name"))
     base = snapshots.where("bundle is not null and strand is not null and version.count is not null")
     rev = F.col("version.count")
-    sizes = cut(base.groupBy("bundle", "strand", rev.alias("rev")).agg(F.count(F.lit(1)).alias("n")))
-    hot = sizes.groupBy("bundle", "strand").agg(F.ceil(F.max("n") / BUCKET_KEYS).cast("int").alias("buckets")).where("buckets > 1")
+    n = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in BUCKET]
+    sizes = base.groupBy("bundle", "strand", rev.alias("rev")).agg(F.count(F.lit(1)).alias("n"))
+    strands = cut(sizes.groupBy("bundle", "strand").agg(F.ceil(F.max("n") / BUCKET_KEYS).cast("int").alias("buckets"), F.sort_array(F.collect_list("rev")).alias("revs")))
+    hot = strands.where("buckets > 1").select("bundle", "strand", "buckets")
     n_hot = hot.count()
-    if 0 < n_hot <= 10_000:
-        hot = F.broadcast(hot)
-    slim = base.select("bundle", "strand", rev.alias("rev"), key_hash.alias("kh"), F.col("decl_ord").alias("ord"), *(a.alias(f"a{i}") for i, a in enumerate(attributes)))
-    digest = null_safe_hash(*(F.col(f"a{i}") for i in range(len(attributes)))).alias("dg")
-
-    def rows_of(rows: DataFrame, bucket: Column) -> DataFrame:
-        return rows.select("bundle", "strand", bucket.cast("bigint").alias("bucket"), "rev", "kh", "ord", digest)
-
+    slim = base.select("bundle", "strand", rev.alias("rev"), key_hash.alias("kh"), F.struct(F.col("decl_ord").alias("ord"), null_safe_hash(*attributes).alias("dg")).alias("m"))
     if n_hot:
-        rows = rows_of(slim.join(hot, ["bundle", "strand"], "left"), F.when(F.col("buckets") > 1, F.pmod(F.col("kh"), F.col("buckets"))).otherwise(0))
-        marks = sizes.join(hot, ["bundle", "strand"], "left").select("bundle", "strand", "rev", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1)).cast("bigint").alias("bucket"))
+        slim = slim.join(F.broadcast(hot) if n_hot <= 10_000 else hot, ["bundle", "strand"], "left")
+        slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.coalesce("buckets", F.lit(1)).cast("bigint")))
     else:
-        rows, marks = rows_of(slim, F.lit(0)), sizes.select("bundle", "strand", "rev", F.lit(0).cast("bigint").alias("bucket"))
-    n = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(c) for c in ("bundle", "strand", "bucket")]
-    schema = "bundle string, strand string, bucket bigint, rev bigint, prev bigint, sign int, kh bigint"
-    parts = [cut(_tables(_held(rows.repartition(n, *by)), marks.repartition(n, *by), 0).mapInArrow(partial(_peel, depth=0), schema))]
-    level = 1
-    while not parts[-1].where("sign = 0").isEmpty():
-        # failed buckets again, each cut into SPLIT ones by further bits of the key hash
-        level, depth = level * SPLIT, len(parts)
+        slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.lit(1).cast("bigint")))
+    held = slim.select(*BUCKET, "rev", "kh", "m").repartition(n, *by).groupBy(*BUCKET, "rev", "kh").agg(F.max("m").alias("m")).select(*BUCKET, "rev", "kh", F.col("m.dg").alias("dg"))
+    held = cut(held)
+
+    steps = F.transform(F.sequence(F.lit(1), F.size("revs") - 1), lambda i: F.struct(F.get("revs", i).alias("rev"), F.get("revs", i - 1).alias("prev"), F.lit(0).cast("bigint").alias("inner"))).cast("array<struct<rev:bigint,prev:bigint,inner:bigint>>")
+    pairs = strands.where("size(revs) > 1").select("bundle", "strand", F.explode(F.sequence(F.lit(0), F.greatest("buckets", F.lit(1)) - 1).cast("array<bigint>")).alias("bucket"), steps.alias("todo")).repartition(n, *by)
+    parts, level = [], 1
+    while True:
+        depth = len(parts)
+        parts.append(cut(_subtracted(held, pairs, level, depth).mapInArrow(partial(_peel, depth=depth), _ITEMS)))
         failed = parts[-1].where("sign = 0")
-        pair = failed.select("bundle", "strand", F.col("bucket").alias("outer"), F.explode(F.array("rev", "prev")).alias("rev")).distinct()
-        inner = F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level))
-        old_level = level // SPLIT
-        again = slim.join(pair.select("bundle", "strand", "rev", "outer"), ["bundle", "strand", "rev"])
-        if n_hot:
-            again = again.join(hot, ["bundle", "strand"], "left")
-            first = F.when(F.col("buckets") > 1, F.pmod(F.col("kh"), F.col("buckets"))).otherwise(0)
-        else:
-            first = F.lit(0)
-        again = again.where(F.col("outer") == first * old_level + F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(old_level)))
-        again = _held(rows_of(again, first * level + inner).repartition(n, *by))
-        # inner = outer's own remainder + old_level * j
-        spread = pair.select("bundle", "strand", "rev", F.floor(F.col("outer") / old_level).alias("f"), F.pmod("outer", F.lit(old_level)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("j"))
-        spread = spread.select("bundle", "strand", "rev", (F.col("f") * level + F.col("r") + F.col("j") * old_level).cast("bigint").alias("bucket"))
-        wanted = failed.select("bundle", "strand", "rev", "prev", F.floor(F.col("bucket") / old_level).alias("f"), F.pmod("bucket", F.lit(old_level)).alias("r"))
-        wanted = wanted.select("bundle", "strand", "rev", "prev", "f", "r", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("j"))
-        wanted = wanted.select("bundle", "strand", "rev", "prev", (F.col("f") * level + F.col("r") + F.col("j") * old_level).cast("bigint").alias("bucket"))
-        tables = _tables(again, spread.repartition(n, *by), depth).join(wanted, ["bundle", "strand", "bucket", "rev", "prev"], "left_semi")
-        parts.append(cut(tables.mapInArrow(partial(_peel, depth=depth), schema)))
+        if failed.isEmpty():
+            break
+        # failed buckets again: each is cut into SPLIT ones by further bits of the key hash
+        again = F.sequence(F.col("inner"), F.col("inner") + level * (SPLIT - 1), F.lit(level).cast("bigint"))
+        pairs = failed.select(*BUCKET, "rev", "prev", F.explode(again).alias("inner")).select(*BUCKET, F.struct("rev", "prev", "inner").alias("p")).repartition(n, *by).groupBy(*BUCKET).agg(F.collect_list("p").alias("todo"))
+        level *= SPLIT
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
