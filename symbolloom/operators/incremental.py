@@ -40,15 +40,12 @@ def next_version(records: DataFrame, versions: DataFrame, by: str, time: str, bl
     return both.select("record.*", F.col("to.run_id").alias("run_id"), F.col("to.started_at").alias("started_at"))
 
 
-def repeats(records: DataFrame, content: list[str | Column], order: list[str], position: str) -> DataFrame:
+def repeats(records: DataFrame, content: list[str], order: list[str], position: str) -> DataFrame:
     """Positions of records of which an equal one (by ``content``, null equals null) came before in ``order``.
 
     The first of each content is found by a partial aggregation, so copies of one record never meet in a task.
     """
-    cols = {f"c{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(content)}
-    rows = records.select(*(c.alias(n) for n, c in cols.items()), F.struct(*order).alias("o"), position)
-    first = rows.groupBy(*cols).agg(F.min("o").alias("first"))
-    firsts = first.select("first.*")
+    firsts = records.groupBy(*content).agg(F.min(F.struct(*order)).alias("first")).select("first.*")
     keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in order]
     return records.alias("r").join(firsts.alias("f"), keys, "left_anti").select(position)
 
@@ -57,14 +54,24 @@ def deltas(records: DataFrame, versions: DataFrame, by: str, time: str, position
     """(run_id, position): the records that each version takes in.
 
     Records of no version, and those with a null ``by`` or ``time``, are taken in by none. Rows with one
-    position are one record. Empty tables give none.
+    position are one record (the one that sorts first). Empty tables give none. Columns that aren't named
+    don't matter.
     """
-    records = records.where(F.col(by).isNotNull() & F.col(time).isNotNull()).dropDuplicates([position])
+    parts = {f"c{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(content)}
+    needed = F.struct(F.col(by).alias("by"), F.col(time).alias("time"), *(c.alias(n) for n, c in parts.items())).alias("r")
+    records = records.where(F.col(by).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(position).alias("position")).agg(F.min(needed).alias("r")).select("position", "r.*")
+    versions = versions.select(F.col(by).alias("by"), "run_id", "started_at")
+    return _deltas(records, versions, list(parts)).select("run_id", F.col("position").alias(position))
+
+
+def _deltas(records: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:
+    """deltas() over columns position, by, time and content."""
+    by, time, position = "by", "time", "position"
     filed = next_version(records, versions, by, time).where("run_id is not null")
     # manifest log: the file that a version adds; deletion vectors: 64 positions a row
     log = filed.select("run_id").distinct().withColumn("added", F.col("run_id"))
     word, bit = F.floor(F.col(position) / 64).cast("bigint"), F.pmod(F.col(position), F.lit(64)).cast("int")
-    vectors = repeats(records, content, [time, position], position).select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(`%s`, 64) as int))" % position).alias("b")).groupBy("word").agg(F.bit_or("b").alias("gone"))
+    vectors = repeats(records, content, [time, position], position).select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(position, 64) as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("gone"))
     files = filed.select(F.col("run_id").alias("added"), position, word.alias("word"), bit.alias("bit"))
     delta = files.join(log, "added").join(vectors, "word", "left")
     return delta.where(F.coalesce(F.expr("shiftrightunsigned(gone, bit) & 1L"), F.lit(0)) == 0).select("run_id", position)

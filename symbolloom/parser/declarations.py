@@ -19,7 +19,7 @@ from symbolloom.parser import lexer
 _ARG = "STRUCT<type STRING, name STRING, decl STRING, `default` STRING>"
 _DOC = "ref_line BIGINT, doc_start BIGINT, doc_end BIGINT"
 MEMBER = f"STRUCT<kind STRING, name STRING, type STRING, value STRING, fn_kind STRING, getter BOOLEAN, setter BOOLEAN, arguments ARRAY<{_ARG}>, {_DOC}>"
-SYMBOL = f"category STRING, name STRING, kind STRING, return_type STRING, type STRING, parent STRING, value STRING, arguments ARRAY<{_ARG}>, members ARRAY<{MEMBER}>, {_DOC}, decl_ord BIGINT, error STRING"
+SYMBOL = f"category STRING, name STRING, kind STRING, return_type STRING, type STRING, parent STRING, value STRING, arguments ARRAY<{_ARG}>, members ARRAY<{MEMBER}>, {_DOC}, doc_text STRING, decl_ord BIGINT, error STRING"
 _SPECIFIERS = frozenset("uvkbw")
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
@@ -292,6 +292,16 @@ def parse(content: bytes) -> Iterator[dict[str, Any]]:
             r.take()
 
 
+def _doc_text(content: bytes, start: int, end: int) -> str | None:
+    """The comment's text; None without one, at byte 0, and for bytes that are no UTF-8."""
+    if not start or not end:
+        return None
+    try:
+        return content[start:end].decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def parse_files(files: DataFrame, keys: list[str], content_col: str = "content") -> DataFrame:
     """``keys`` and the symbol columns of every declaration in binary contents; null content gives nothing.
 
@@ -300,7 +310,7 @@ def parse_files(files: DataFrame, keys: list[str], content_col: str = "content")
     """
     import json
 
-    columns = [c.split()[0] for c in ("category", "name", "kind", "return_type", "type", "parent", "value", "arguments", "members", "ref_line", "doc_start", "doc_end", "decl_ord", "error")]
+    columns = [c.split()[0] for c in ("category", "name", "kind", "return_type", "type", "parent", "value", "arguments", "members", "ref_line", "doc_start", "doc_end", "doc_text", "decl_ord", "error")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +318,8 @@ def parse_files(files: DataFrame, keys: list[str], content_col: str = "content")
             for i, content in enumerate(batch.column(batch.num_columns - 1)):
                 if content.is_valid:
                     try:
-                        found = [json.dumps({c: s[c] for c in columns}) for s in parse(content.as_py())]
+                        text = content.as_py()
+                        found = [json.dumps({c: s.get(c) for c in columns} | {"doc_text": _doc_text(text, s["doc_start"], s["doc_end"])}) for s in parse(text)]
                     except (IndexError, RecursionError) as e:
                         found = [json.dumps({"error": type(e).__name__})]
                     docs += found

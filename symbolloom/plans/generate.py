@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolloom.functions.docs import doc_slice, parse_comment
+from symbolloom.functions.docs import parse_comment
 from symbolloom.functions.paths import file_stem
 from symbolloom.operators import merge
 from symbolloom.parser.declarations import parse_files
@@ -13,10 +13,8 @@ from symbolloom.parser.declarations import parse_files
 
 def symbols_of(files: DataFrame) -> DataFrame:
     """Symbols of each file version (bundle, strand, version, content), with parsed docs."""
-    keyed = files.withColumn("key", F.struct("bundle", "strand", "version"))
-    parsed = parse_files(keyed.withColumn("body", F.col("content")), ["bundle", "strand", "version", "content"], "body").where("error is null")
-    docs = parse_comment(doc_slice(F.col("content"), F.col("doc_start"), F.col("doc_end")))
-    return parsed.withColumn("docs", docs).drop("content", "error")
+    parsed = parse_files(files, ["bundle", "strand", "version"]).where("error is null")
+    return parsed.withColumn("docs", parse_comment(F.col("doc_text"))).drop("doc_text", "error")
 
 
 def file_versions(blobs: DataFrame) -> DataFrame:

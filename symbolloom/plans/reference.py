@@ -1,11 +1,355 @@
-"""The queries of the operator inventory."""
+"""The queries of the operator inventory, with their SQL where DuckDB can express them over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from symbolloom.functions import docs, paths, scoring, signature
+from symbolloom.operators import catalogue, merge, nested, search
+from symbolloom.operators.snapshot_diff import symbol_attributes
+from symbolloom.plans import generate
+from symbolloom.schemas import VERSION
+from symbolloom.session import table
+from symbolloom.sources import bundles
 
-def oracle_sql() -> dict:
-    return {}
+NEEDLES = ["almond antique", "BLUSH", "chiffon burnish", "light", "", "x", "steel  blue"]
+NEEDLE = "Hook"
+PATTERNS = ["*.inc", "scripting/*.sp"]
+BASE_URL = "https://docs.example.org/#"
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of every strand's last snapshot, in the shape that search takes."""
+    rows = table(spark, sf, "snapshots").where("bundle is not null and strand is not null and version.count is not null")
+    last = rows.groupBy("bundle", "strand").agg(F.max("version.count").alias("last"))
+    rows = rows.join(last, ["bundle", "strand"]).where("version.count = last")
+    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by(F.struct("return_type", "arguments", "members", "parent", "kind"), "decl_ord").alias("r"))
+    members = F.transform("r.members", lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("name"), F.when(m["kind"] == "method", m["detail"]).alias("return_type"), F.lit(None).cast("array<struct<type:string,name:string>>").alias("arguments")))
+    arguments = F.transform("r.arguments", lambda a: F.struct(a["type"].alias("type"), a["name"].alias("name")))
+    return held.select("bundle", "strand", "category", "name", "r.return_type", arguments.alias("arguments"), members.alias("members"), "r.kind", "r.parent")
+
+
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.held_rows(table(spark, sf, "snapshots"), symbol_attributes(), ["members", "ref_line"])
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Paths as text, scores rounded, so that results compare as values."""
+    return df.select("bundle", "name", "identifier", "part", F.array_join("path", "/").alias("path"), F.round("score", 9).alias("score"))
+
+
+def score_names(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    rows = names.select("name", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
+    return rows.withColumn("score", F.round(scoring.score(F.col("name"), F.col("needle")), 9))
+
+
+def search_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search.search(_symbols(spark, sf), NEEDLE))
+
+
+def search_l1only(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search.search(_symbols(spark, sf), NEEDLE, weighted=False, l1_only=True))
+
+
+def search_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search.ranked(search.search(_symbols(spark, sf), NEEDLE).dropDuplicates(["bundle", "path", "part", "name"]), 20))
+
+
+def recent_additions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "symbol_updates").where("not is_deleted")
+    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by("created", F.struct("last_updated.count", "received_at", "update_id")).alias("created"))
+    return search.recent_additions(held).select("bundle", "strand", "category", "name", F.col("created.count").alias("created_count"))
+
+
+def path_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    symbols = _symbols(spark, sf)
+    asked = search.result_rows(symbols).select("path").distinct()
+    normal = asked.select(paths.normalize_path(F.col("path")).alias("path"))
+    found = search.lookup(symbols, asked.unionByName(normal).distinct())
+    return found.select(F.array_join("path", "/").alias("path"), "found_category", "found_name", "found_member")
+
+
+def path_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = search.result_rows(_symbols(spark, sf)).select("path").distinct()
+    return rows.select(F.array_join("path", "/").alias("path"), F.array_join(paths.normalize_path(F.col("path")), "/").alias("normal"), paths.split_path(F.get("path", 1))["identifier"].alias("identifier"))
+
+
+def strand_is_empty(spark: SparkSession, sf: str) -> DataFrame:
+    flat = nested.flatten(table(spark, sf, "bundle_files"), levels=("strand", "symbol"), with_text=False).withColumn("bundle", F.col("file_id"))
+    out = search.empty_strands(flat.where("level = 'strand'"), flat.where("level = 'symbol'"))
+    return out.select(F.col("bundle").alias("file_id"), "strand", "is_empty")
+
+
+def commit_number(spark: SparkSession, sf: str) -> DataFrame:
+    numbered = search.number_commits(table(spark, sf, "commits").dropDuplicates(["bundle", "commit_hash"]))
+    return numbered.where("parent_count = 1").select("bundle", "commit_hash", "ordinal")
+
+
+def resume_commits(spark: SparkSession, sf: str) -> DataFrame:
+    commits = table(spark, sf, "commits").select("bundle", "commit_hash", "rev_count", "rev_time", "parent_count").distinct()
+    last = table(spark, sf, "deliveries").groupBy("bundle").agg(F.max("version.time").alias("rev_time"), F.max("version.count").alias("rev_count"))
+    return merge.resume_commits(commits, last).select("bundle", "commit_hash")
+
+
+def version_merge(spark: SparkSession, sf: str) -> DataFrame:
+    out = merge.merge(_held(spark, sf))
+    return out.select("bundle", "strand", "category", "name", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"), F.col("payload.ref_line").alias("ref_line"))
+
+
+def version_merge_members(spark: SparkSession, sf: str) -> DataFrame:
+    out = merge.member_stamps(merge.merge(_held(spark, sf)))
+    return out.select("bundle", "strand", "category", "name", "member_kind", "member", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"))
+
+
+def merge_diff_count(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.diff_count(_held(spark, sf))
+
+
+def merge_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge of each strand's earlier half of snapshots, resumed with the rest; equals version_merge."""
+    held = _held(spark, sf)
+    middle = held.groupBy("bundle", "strand").agg(((F.min("rev") + F.max("rev")) / 2).alias("middle"))
+    held = held.join(middle, ["bundle", "strand"])
+    prior = merge.merge(held.where("rev <= middle").drop("middle"))
+    out = merge.merge(held.where("rev > middle").drop("middle"), prior)
+    return out.select("bundle", "strand", "category", "name", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"), F.col("payload.ref_line").alias("ref_line"))
+
+
+def key_diff(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _held(spark, sf)
+    ends = rows.groupBy("bundle", "strand").agg(F.min("rev").alias("a"), F.max("rev").alias("b"))
+    rows = rows.join(ends, ["bundle", "strand"])
+    return merge.key_diff(rows.where("rev = a"), rows.where("rev = b"), merge.KEY, "h")
+
+
+def retain_strands(spark: SparkSession, sf: str) -> DataFrame:
+    symbols = table(spark, sf, "symbol_updates").select("bundle", "strand", "category", "name").distinct()
+    return merge.retain(symbols, table(spark, sf, "deliveries"))
+
+
+def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Even rows of the index are known, with another description; odd ones are new; a third doesn't come in."""
+    rows = table(spark, sf, "bundle_index")
+    n = F.length("name")
+    prior = rows.where(n % 2 == 0).withColumn("meta", F.when(n % 4 == 0, F.struct(F.col("meta.name").alias("name"), F.lit("old").alias("description"), F.col("meta.author").alias("author"))).otherwise(F.col("meta")))
+    out = catalogue.upsert(prior, rows.where(n % 3 != 0).withColumn("file_stem", F.concat("file_stem", F.lit("2"))))
+    return out.select("name", F.col("meta.description").alias("description"), "file_stem", "status")
+
+
+def source_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogue.invalid_sources(table(spark, sf, "bundle_index"))
+
+
+def keyby_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", F.col("ts").cast("string").alias("t"))
+    return search.last_wins(rows, ["user_id", "event_type"], ["t", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+def comment_attach(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as declarations on every second line; comments are lines that end one or two later."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("bigint").alias("n"), "l_partkey", "l_suppkey")
+    decls = rows.select("file", (F.col("n") * 2).alias("line"), "l_partkey")
+    comments = rows.select("file", (F.col("n") * 2 - F.col("l_suppkey") % 3).alias("start_line"), (F.col("n") * 2 + 1).alias("end_line"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end")).where("l_suppkey % 2 = 0")
+    return search.attach_comments(decls, comments).select("file", "line", "l_partkey", "doc_start", "doc_end")
+
+
+def doc_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each text between two byte positions, where both fall on characters."""
+    rows = table(spark, sf, "documents").select("doc_id", F.encode(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), "utf-8").alias("b"))
+    return rows.select("doc_id", docs.doc_slice(F.col("b"), F.col("doc_id") % 3, F.lit(40)).alias("piece"))
+
+
+def signature_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("function "), F.col("p_brand"), F.lit(" (const "), F.regexp_replace("p_type", " ", "_"), F.lit("[] x, "), F.split("p_name", " ")[0], F.lit(" "), F.col("p_size").cast("string"), F.lit(", ...)")).alias("s"))
+    got = rows.select("p_partkey", signature.parse_signature(F.col("s")).alias("g"))
+    return got.select("p_partkey", F.col("g.returnType").alias("return_type"), F.size("g.arguments").cast("bigint").alias("n"), F.get("g.arguments", 0)["type"].alias("type0"), F.get("g.arguments", 0)["name"].alias("name0"), F.get("g.arguments", 1)["name"].alias("name1"))
+
+
+def file_stems(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.regexp_replace("path", r"\\", "/")
+    return table(spark, sf, "blobs").select("blob_id", paths.file_stem(path).alias("stem"), paths.glob_match(path, PATTERNS).alias("matches"))
+
+
+def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return search.sitemap(_symbols(spark, sf), BASE_URL)
+
+
+def parse_includes(spark: SparkSession, sf: str) -> DataFrame:
+    symbols = generate.symbols_of(generate.file_versions(table(spark, sf, "blobs")))
+    return symbols.select("bundle", "strand", F.col("version.count").alias("rev"), "category", "name", "kind", "return_type", F.size("arguments").alias("n_arguments"), "ref_line", F.col("docs.brief").alias("brief"))
+
+
+def generate_history(spark: SparkSession, sf: str) -> DataFrame:
+    out = generate.generate(generate.file_versions(table(spark, sf, "blobs")))
+    return out.select("bundle", "strand", "category", "name", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"))
+
+
+def bundle_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Version of each bundle: that of its last snapshot, whatever became of it."""
+    rows = table(spark, sf, "deliveries").where("version is not null")
+    return rows.groupBy("bundle").agg(F.max_by(F.col("version").cast(VERSION), "version.count").alias("v")).select("bundle", F.col("v.hash").alias("hash"), F.col("v.count").alias("count"))
+
+
+def bundle_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of the typed documents, read by schema."""
+    typed = bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body")).where("bundle.strands is not null")
+    rows = typed.select("file_id", F.explode("bundle.strands").alias("strand", "s")).select("file_id", "strand", F.explode("s.functions").alias("name", "f"))
+    return rows.select("file_id", "strand", "name", "f.kind", F.col("f.returnType").alias("return_type"))
+
+
+def symbol_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return bundles.symbols_document(_symbols(spark, sf))
+
+
+def page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of pages made of the documents' first lines."""
+    page = F.concat(F.lit("<html><head><TITLE> "), F.regexp_extract("text", "^([^\\n<]*)", 1), F.lit("</TITLE></head></html>"))
+    return table(spark, sf, "documents").select("doc_id", docs.page_title(page).alias("title"))
+
+
+_QUERIES = (
+    score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
+    merge_diff_count, merge_resume, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, doc_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
+    generate_history, bundle_versions, bundle_documents, symbol_documents, page_titles,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_BLANK = r"[\s\x0B\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _score(a: str, b: str) -> str:
+    """SQL of the score; a and b are columns."""
+    s1, s2 = (f"regexp_replace({x}, '{_BLANK}', '', 'g')" for x in (a, b))
+    grams = lambda s: f"list_transform(range(1, length({s})::bigint), lambda k: substr({s}, k, 2))"
+    inter = f"coalesce(list_sum(list_transform(list_distinct({grams(s1)}), lambda z: least(len(list_filter({grams(s1)}, lambda x: x = z)), len(list_filter({grams(s2)}, lambda x: x = z))))), 0)"
+    return f"(case when {a} is null or {b} is null then null when {a} = {b} then 1.0 when lower({a}) = lower({b}) then 0.9 when contains(lower({a}), lower({b})) then 0.8 when {s1} = {s2} then 1.0 when length({s1}) < 2 or length({s2}) < 2 then 0.0 else 2.0::double * {inter} / (length({s1}) + length({s2}) - 2) end)::double"
+
+
+_SYMBOLS = """
+    rows_ as (select * from snapshots where bundle is not null and strand is not null and version.count is not null),
+    last_ as (select bundle, strand, max(version.count) as last from rows_ group by all),
+    symbols as (
+        select r.* from rows_ r join last_ l on l.bundle = r.bundle and l.strand = r.strand and r.version.count = l.last
+        qualify row_number() over (partition by r.bundle, r.strand, r.category, r.name order by r.decl_ord desc) = 1)"""
+
+_ROWS = f"""{_SYMBOLS},
+    found as (
+        select bundle, strand, category, name, case category when 'functions' then 'function' when 'methodmaps' then 'methodmap' else 'enumeration' end as id,
+               case category when 'methodmaps' then 0.05 when 'functions' then 0.02 else 0.03 end::double as w, return_type, arguments, members from symbols),
+    result as (
+        select bundle, name, id as identifier, 0 as part, strand || '/' || id || '.' || name as path, name as sought, case when category = 'functions' then 0.0 else 0.01 end::double as bonus, w, 1 as l1 from found
+        union all select bundle, a.type, id, 1, strand || '/' || id || '.' || name || '/argument.' || a.name, a.type, 0.0, w, 1 from (select *, unnest(arguments) as a from found where category = 'functions')
+        union all select bundle, return_type, id, 2, strand || '/' || id || '.' || name || '/return.' || return_type, return_type, 0.0, w, 1 from found where category = 'functions' and return_type is not null
+        union all select bundle, m.name, mid, 0, strand || '/' || id || '.' || name || '/' || mid || '.' || m.name, m.name, 0.0, w, 0 from (
+            select *, case when category = 'enums' and m.kind = 'entry' then 'enumeration_entry' when category = 'methodmaps' and m.kind = 'method' then 'methodmap_method' when category = 'methodmaps' and m.kind = 'property' then 'methodmap_property' end as mid
+            from (select *, unnest(members) as m from found)) where mid is not null
+        union all select bundle, m.detail, 'methodmap_method', 2, strand || '/' || id || '.' || name || '/methodmap_method.' || m.name || '/return.' || m.detail, m.detail, 0.0, w, 0 from (select *, unnest(members) as m from found where category = 'methodmaps') where m.kind = 'method' and m.detail is not null)"""
+
+_HELD = """
+    held as (
+        select bundle, strand, category, name, version.count as rev, ref_line, members,
+               struct_pack(a := docs, b := kind, c := return_type, d := parent, e := arguments, f := list_sort(list_distinct(members))) as s
+        from snapshots where bundle is not null and strand is not null and version.count is not null
+        qualify row_number() over (partition by bundle, strand, version.count, category, name order by decl_ord desc nulls last) = 1),
+    revs as (
+        select *, row_number() over (partition by bundle, strand order by rev) as seq, count(*) over (partition by bundle, strand) as n
+        from (select distinct bundle, strand, rev from held)),
+    steps as (
+        select h.*, r.seq, r.n, lag(r.seq) over w as pseq, lag(h.s) over w as ps from held h join revs r using (bundle, strand, rev)
+        window w as (partition by bundle, strand, category, name order by r.seq)),
+    marks as (select *, pseq is null or pseq <> seq - 1 as is_new, pseq = seq - 1 and s is distinct from ps as is_upd from steps),
+    lives as (select *, sum(is_new::int) over (partition by bundle, strand, category, name order by seq) as life from marks),
+    merged as (
+        select bundle, strand, category, name, min(rev) as created, max(rev) filter (is_new or is_upd) as last_updated,
+               arg_max(ref_line, seq) filter (is_new or is_upd) as ref_line, arg_max(members, seq) filter (is_new or is_upd) as members
+        from lives group by bundle, strand, category, name, life, n having max(seq) = n)"""
+
+_NORMAL = "case {} when 'enumeration_entry' then 'entry' when 'methodmap_method' then 'function' when 'enumstruct_method' then 'function' when 'methodmap_property' then 'property' when 'enumstruct_field' then 'field' else {} end"
+_NORMAL_PATH = "list_transform(string_split(path, '/'), lambda p: case when contains(p, '.') then " + _NORMAL.format("string_split(p, '.')[1]", "string_split(p, '.')[1]") + " || '.' || string_split(p, '.')[2] else p end)"
+
+
+def oracle_sql() -> dict[str, str]:
+    needles = ", ".join(f"'{n}'" for n in NEEDLES)
+    score = _score("sought", f"'{NEEDLE}'")
+    return {
+        "score_names": f"select name, needle, round({_score('name', 'needle')}, 9) as score from (select distinct p_name as name, unnest([{needles}]) as needle from part)",
+        "search_weighted": f"with {_ROWS} select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {score} + bonus + w as v from result) where v > 0.5",
+        "search_l1only": f"with {_ROWS} select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {score} + bonus as v from result where l1 = 1) where v > 0.5",
+        "search_top": f"with {_ROWS} select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {score} + bonus + w as v from result qualify row_number() over (partition by bundle, path, part, name) = 1) where v > 0.5 order by v desc, bundle, path, part, name limit 20",
+        "recent_additions": """
+            with held as (select * from symbol_updates where not is_deleted qualify row_number() over (partition by bundle, strand, category, name order by last_updated.count desc nulls last, received_at desc, update_id desc) = 1)
+            select bundle, strand, category, name, created.count as created_count from held where created.count is not null
+            order by created.count desc, list_position(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs'], category), bundle, strand, name limit 20""",
+        "path_normalize": f"with {_ROWS} select distinct path, array_to_string({_NORMAL_PATH}, '/') as normal, string_split(regexp_extract(path, '/((?:function|methodmap|enumeration)\\..*)$', 1), '.')[1] as identifier from result",
+        "path_lookup": f"""
+            with {_ROWS}, asked as (select distinct strand, rest from (select strand, substr(path, length(strand) + 2) as rest from (select r.path, s.strand from result r join (select distinct strand from symbols) s on starts_with(r.path, s.strand || '/')))),
+            every as (select strand, rest from asked union select strand, array_to_string(list_transform(string_split(rest, '/'), lambda p: case when contains(p, '.') then {_NORMAL.format("string_split(p, '.')[1]", "string_split(p, '.')[1]")} || '.' || string_split(p, '.')[2] else p end), '/') from asked),
+            parts as (select *, string_split(string_split(rest, '/')[1], '.') as a, string_split(string_split(rest, '/')[2], '.') as b from every),
+            want as (select *, case a[1] when 'function' then 'functions' when 'methodmap' then 'methodmaps' when 'enumeration' then 'enums' else 'typedefs' end as category, a[2] as name, b[2] as m,
+                     case when b[1] in ('methodmap_method', 'enumstruct_method', 'function') then 'method' when b[1] in ('enumstruct_field', 'field') then 'field' else 'property' end as k from parts),
+            known as (select strand, category, name, flatten(list(coalesce(list_transform(members, lambda x: x.kind || ':' || x.name), []))) as ms from symbols group by all)
+            select w.strand || '/' || w.rest as path, k.category as found_category, k.name as found_name, case when w.category = 'methodmaps' and list_contains(k.ms, w.k || ':' || w.m) then w.m end as found_member
+            from want w left join known k on k.strand = w.strand and k.category = w.category and k.name = w.name""",
+        "bundle_documents": """
+            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '".functions') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            fs as (select file_id, strand, k as name, json_extract(j, '$."' || k || '"') as f from (select *, unnest(json_keys(j)) as k from strands where json_type(j) = 'OBJECT'))
+            select file_id, strand, name, f->>'kind' as kind, f->>'returnType' as return_type from fs""",
+        "strand_is_empty": """
+            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            counts as (select file_id, strand, sum(len(json_keys(j, '$.' || c))) as n from strands, unnest(['functions', 'methodmaps', 'enumstructs', 'constants', 'enums', 'typesets', 'typedefs']) t(c) where json_type(j, '$.' || c) = 'OBJECT' group by all)
+            select s.file_id, s.strand, coalesce(c.n, 0) = 0 as is_empty from strands s left join counts c using (file_id, strand)""",
+        "commit_number": """
+            with c as (select distinct bundle, commit_hash, rev_count, rev_time, parent_count from commits),
+            n as (select *, (row_number() over (partition by bundle order by rev_time, rev_count, commit_hash) - 1)::int as ordinal from c)
+            select bundle, commit_hash, ordinal from n where parent_count = 1""",
+        "resume_commits": """
+            with last as (select bundle, max(version.time) as t from deliveries group by bundle)
+            select distinct c.bundle, c.commit_hash from commits c left join last l using (bundle) where c.parent_count = 1 and (l.t is null or c.rev_time >= l.t)""",
+        "version_merge": f"with {_HELD} select bundle, strand, category, name, created, last_updated, ref_line from merged",
+        "version_merge_members": f"with {_HELD} select distinct bundle, strand, category, name, m.kind as member_kind, m.name as member, last_updated as created, last_updated from (select *, unnest(members) as m from merged)",
+        "merge_diff_count": f"with {_HELD} select (select count(*) from (select distinct bundle, strand from held)) + (select count(*) from marks where is_upd) as diffs",
+        "merge_resume": f"with {_HELD} select bundle, strand, category, name, created, last_updated, ref_line from merged",
+        "key_diff": f"""
+            with {_HELD}, ends as (select bundle, strand, min(rev) as a, max(rev) as b from held group by all),
+            o as (select h.* from held h join ends e on e.bundle = h.bundle and e.strand = h.strand and h.rev = e.a), n as (select h.* from held h join ends e on e.bundle = h.bundle and e.strand = h.strand and h.rev = e.b)
+            select coalesce(n.bundle, o.bundle) as bundle, coalesce(n.strand, o.strand) as strand, coalesce(n.category, o.category) as category, coalesce(n.name, o.name) as name,
+                   case when o.bundle is null then 'new' when n.bundle is null then 'deleted' else 'changed' end as change
+            from o full join n on o.bundle = n.bundle and o.strand = n.strand and o.category = n.category and o.name = n.name where o.bundle is null or n.bundle is null or o.s is distinct from n.s""",
+        "retain_strands": "select distinct bundle, strand, category, name from symbol_updates u where exists (select 1 from deliveries d where d.bundle = u.bundle and d.strand = u.strand)",
+        "index_upsert": """
+            with p as (select name, case when length(name) % 4 = 0 then 'old' else meta.description end as d, file_stem as f from bundle_index where length(name) % 2 = 0),
+            i as (select name, meta.description as d, file_stem || '2' as f from bundle_index where length(name) % 3 <> 0)
+            select coalesce(p.name, i.name) as name, case when p.name is null or (i.name is not null and p.d is distinct from i.d) then i.d else p.d end as description,
+                   case when p.name is null or (i.name is not null and p.d is distinct from i.d) then i.f else p.f end as file_stem,
+                   case when p.name is null then 'new' when i.name is null or p.d is not distinct from i.d then 'kept' else 'changed' end as status
+            from p full join i on p.name = i.name""",
+        "source_checks": "select name, problem from (select name, case when source.type is null or source.type not in ('git', 'direct') then 'type' when source.type = 'git' and source.repository is null then 'repository' when source.type = 'git' and source.patterns is null then 'patterns' end as problem from bundle_index) where problem is not null",
+        "keyby_last_wins": "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
+        "comment_attach": """
+            with r as (select l_orderkey as file, l_linenumber::bigint as n, l_partkey, l_suppkey from lineitem),
+            c as (select file, n * 2 - l_suppkey % 3 as a, n * 2 + 1 as b, l_partkey as s, l_partkey + l_suppkey as e from r where l_suppkey % 2 = 0),
+            lead_ as (select file, b + 1 as line, min(struct_pack(s := s, e := e)) as c from c group by all), tail_ as (select file, a as line, min(struct_pack(s := s, e := e)) as c from c group by all)
+            select r.file, r.n * 2 as line, r.l_partkey, coalesce(l.c.s, t.c.s, 0) as doc_start, coalesce(l.c.e, t.c.e, 0) as doc_end
+            from r left join lead_ l on l.file = r.file and l.line = r.n * 2 left join tail_ t on t.file = r.file and t.line = r.n * 2""",
+        "doc_slices": "select doc_id, case when doc_id % 3 <> 0 then substr(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), (doc_id % 3 + 1)::bigint, (40 - doc_id % 3)::bigint) end as piece from documents",
+        "signature_parse": "select p_partkey, p_brand as return_type, 2::bigint as n, 'const ' || replace(p_type, ' ', '_') || '[]' as type0, 'x' as name0, p_size::varchar as name1 from part",
+        "file_stems": "select blob_id, regexp_replace(string_split(replace(path, '\\', '/'), '/')[-1], '(.)\\.[^.]*$', '\\1') as stem, regexp_matches(replace(path, '\\', '/'), '^.*\\.inc(/.*)?$') or regexp_matches(replace(path, '\\', '/'), '^scripting/.*\\.sp(/.*)?$') as matches from blobs",
+        "sitemap_urls": f"""
+            with {_SYMBOLS}, subs as (
+                select distinct strand, '' as sub, 0 as k from symbols
+                union all select strand, case category when 'functions' then 'function' when 'methodmaps' then 'methodmap' else 'enum' end || '.' || name, 1 from symbols
+                union all select strand, case m.kind when 'method' then 'function' else m.kind end || '.' || m.name, 1 from (select strand, unnest(members) as m from symbols where category <> 'enums') where m.kind in ('method', 'property', 'field'))
+            select '{BASE_URL}/' || strand || '/' || sub as loc, 'monthly' as changefreq from subs""",
+        "bundle_versions": "select bundle, arg_max(version.hash, version.count) as hash, max(version.count) as count from deliveries where version is not null group by bundle",
+        "page_titles": "select doc_id, nullif(trim(regexp_extract(text, '^([^\\n<]*)', 1), ' \t\n\r\f\v'), '') as title from documents",
+    }
