@@ -120,6 +120,8 @@ class _Reader:
 
     def until_end(self) -> None:
         """Passes the rest of a declaration: a body, or everything up to a semicolon or the line's end."""
+        if self.at and self.kind not in "${=;" and self.line[self.index[self.at]] > self.line[self.index[self.at - 1]]:
+            return
         while self.kind != "$":
             if self.kind == "{":
                 self.skip_group()
@@ -195,6 +197,7 @@ def _record_members(r: _Reader, end: int) -> list[dict[str, Any]]:
             while r.kind in "nta[]" and r.ahead() not in ";$" and not (r.kind in "nt" and r.ahead() == "[" and r.ahead(2) != "]"):
                 r.take()
             out.append(_plain("field", r.text(), r.doc(start), type=r.render(first, r.at).strip()))
+            r.take()
             r.until_end()
         else:
             r.take()
@@ -287,6 +290,7 @@ def parse(content: bytes) -> Iterator[dict[str, Any]]:
         elif k in "{([":
             r.skip_group()
         elif k in "ukba" or k in "nt":
+            r.take()
             r.until_end()
         else:
             r.take()

@@ -38,7 +38,7 @@ class ManifestTable:
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
-        """Files (name to list of deletion files) and processed source version."""
+        """Files in order of addition (name to list of deletion files) and processed source version."""
         version = self.version() if version is None else version
         if not version:
             return {"files": {}, "processed": 0}
@@ -53,7 +53,7 @@ class ManifestTable:
         """Creates the manifest under a temporary name and renames it; fails if the version exists."""
         target, draft = self._path(self._name(version)), self._path(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode("utf-8")))
+        out.write(bytearray(json.dumps(manifest).encode("utf-8")))
         out.close()
         if self._fs.exists(target) or not self._fs.rename(draft, target):
             self._fs.delete(draft, False)
