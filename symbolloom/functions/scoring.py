@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +28,25 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(F.lit(2.0) * shared / (F.length(a) + F.length(b) - 2))
 
 
+def dice_to(a: Column, needle: str) -> Column:
+    """dice() with a fixed string, whose bigrams are counted here; no arrays are built per row."""
+    b = re.sub(BLANK, "", needle)
+    a = F.regexp_replace(a, BLANK, "")
+    shared = F.lit(0)
+    for gram, n in Counter(b[i : i + 2] for i in range(len(b) - 1)).items():
+        if gram[0] == gram[1]:  # may overlap itself
+            found = F.regexp_count(a, F.lit(f"{re.escape(gram[0])}(?={re.escape(gram[1])})"))
+        else:
+            found = ((F.length(a) - F.length(F.replace(a, F.lit(gram), F.lit("")))) / 2).cast("int")
+        shared = shared + F.least(found, F.lit(n))
+    same = F.when(a == F.lit(b), 1.0)
+    return same.otherwise(0.0) if len(b) < 2 else same.when(F.length(a) < 2, 0.0).otherwise(F.lit(2.0) * shared / (F.length(a) + len(b) - 2))
+
+
 def score(name: Column, needle: Column | str) -> Column:
     """1 if equal, 0.9 if equal without case, 0.8 if the name contains the needle without case, else dice(). Null for nulls."""
+    rest = dice_to(name, needle) if isinstance(needle, str) else dice(name, needle)
     needle = F.lit(needle) if isinstance(needle, str) else needle
     low, sought = F.lower(name), F.lower(needle)
-    out = F.when(name == needle, 1.0).when(low == sought, 0.9).when(F.contains(low, sought), 0.8).otherwise(dice(name, needle))
+    out = F.when(name == needle, 1.0).when(low == sought, 0.9).when(F.contains(low, sought), 0.8).otherwise(rest)
     return F.when(name.isNotNull() & needle.isNotNull(), out)

@@ -40,6 +40,11 @@ def test_score(spark):
     assert got.pop(-1) is None and got.pop(-2) is None
     for i, (a, b) in enumerate(pairs):
         assert got[i] == pytest.approx(want(a, b)), (a, b)
+    names = [a for a, _ in pairs]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(names)], "i int, a string")
+    for needle in ("aabb", "aaa", "b", "", " ", "aB.a", "abAB"):
+        got = {r["i"]: r["s"] for r in df.select("i", scoring.score(F.col("a"), needle).alias("s")).collect()}
+        assert all(got[i] == pytest.approx(want(a, needle)) for i, a in enumerate(names)), needle
 
 
 def test_paths(spark):
