@@ -130,7 +130,8 @@ def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
     ``attributes`` are compared by 64-bit digests, null equal to null only. The first snapshot of a strand
     gives nothing; an empty table gives nothing; other columns don't matter.
 
-    One shuffle brings the digests together by (bundle, strand, bucket). Strands with more than BUCKET_KEYS
+    Copies are combined before they are shuffled; one shuffle then brings the digests together by (bundle,
+    strand, bucket). Strands with more than BUCKET_KEYS
     rows in a snapshot have more buckets, so no strand gathers in one task; only the list of its version
     counts does.
     """
@@ -149,8 +150,9 @@ def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
         slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.coalesce("buckets", F.lit(1)).cast("bigint")))
     else:
         slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.lit(1).cast("bigint")))
-    held = slim.select(*BUCKET, "rev", "kh", "m").repartition(n, *by).groupBy(*BUCKET, "rev", "kh").agg(F.max("m").alias("m")).select(*BUCKET, "rev", "kh", F.col("m.dg").alias("dg"))
-    held = cut(held)
+    # copies of a row meet in a partial aggregation first, so that none of them moves; then one row a key and snapshot does
+    held = slim.groupBy(*BUCKET, "rev", "kh").agg(F.max("m").alias("m")).select(*BUCKET, "rev", "kh", F.col("m.dg").alias("dg"))
+    held = cut(held.repartition(n, *by))
 
     steps = F.transform(F.sequence(F.lit(1), F.size("revs") - 1), lambda i: F.struct(F.get("revs", i).alias("rev"), F.get("revs", i - 1).alias("prev"), F.lit(0).cast("bigint").alias("inner"))).cast("array<struct<rev:bigint,prev:bigint,inner:bigint>>")
     pairs = strands.where("size(revs) > 1").select("bundle", "strand", F.explode(F.sequence(F.lit(0), F.greatest("buckets", F.lit(1)) - 1).cast("array<bigint>")).alias("bucket"), steps.alias("todo")).repartition(n, *by)
