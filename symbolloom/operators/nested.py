@@ -110,6 +110,8 @@ class Index:
         fine &= ~value | np.where(in_object, before == COLON, np.where(in_list, (before == OPEN_LIST) | (before == COMMA), np.arange(n) == 0))
         self.valid = bool(fine.all()) and level[0] == 0
         self.container, self.value = container, value
+        self.close = np.full(n, -1, np.int64)
+        self.close[container[closes]] = np.flatnonzero(closes)
 
     def children(self) -> dict[int, list[int]]:
         """Value tokens by container, in order."""
@@ -124,13 +126,10 @@ class Index:
         raw = self.text[self.start[token - 2] + 1 : self.end[token - 2] - 1]
         return json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode("utf-8")
 
-    def span(self, token: int, children: dict[int, list[int]]) -> str:
+    def span(self, token: int) -> str:
         """The JSON text of a value token."""
-        end = self.end[token]
-        if self.kind[token] in (OPEN_OBJECT, OPEN_LIST):
-            inner = np.flatnonzero(self.container[token + 1 :] == token)
-            end = self.end[token + 1 + inner[-1]]
-        return self.text[self.start[token] : end].decode("utf-8")
+        last = self.close[token] if self.kind[token] in (OPEN_OBJECT, OPEN_LIST) else token
+        return self.text[self.start[token] : self.end[last]].decode("utf-8")
 
 
 Row = tuple[str, str, str, str, str, str, str, int, int]
@@ -198,7 +197,7 @@ def flatten(files: DataFrame, id_col: str = "file_id", body_col: str = "body", l
                     continue
                 found = [r for r in records(index) if r[0] in levels]
                 ids += [i] * len(found)
-                rows += [(*r[:-1], index.span(r[-1], {})) for r in found] if with_text else [r[:-1] for r in found]
+                rows += [(*r[:-1], index.span(r[-1])) for r in found] if with_text else [r[:-1] for r in found]
                 if len(rows) > 20_000:
                     yield emit(batch, ids, rows)
                     rows, ids = [], []
