@@ -128,6 +128,7 @@ class Language:
     patterns: dict[str, str]
     top: str
     MOST_EDITS = 3
+    MEMO_LENGTH = 1000
 
     def __init__(self) -> None:
         self.exact = {k: re.compile(p) for k, p in self.patterns.items()}
@@ -162,7 +163,8 @@ class Language:
             got = chr(base + mask) if mask else ""
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            self.memo[text] = got
+            if len(text) <= self.MEMO_LENGTH:
+                self.memo[text] = got
         if not got:
             self.bad.append(text)
             base, roles = self.brackets[text[0]]
