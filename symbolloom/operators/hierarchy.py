@@ -11,15 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolloom.session import cut
+from symbolloom.session import cut, cut_counting
 
 SIBLING_BUCKETS = 64
 
 
-def _open(df: DataFrame, col: str) -> int:
-    return df.where(F.col(col).isNotNull()).count()
-
-
 def hierarchy(links: DataFrame) -> DataFrame:
     """From (tree, name, parent), unique in (tree, name): root, depth, path, below, state, first and last.
 
@@ -31,17 +27,18 @@ def hierarchy(links: DataFrame) -> DataFrame:
     """
     links = links.where("tree is not null and name is not null")
     known = links.select("tree", F.col("name").alias("parent"), F.lit(True).alias("known"))
-    nodes = cut(links.join(known, ["tree", "parent"], "left").select("tree", "name", F.when(F.col("known"), F.col("parent")).alias("parent")))
+    nodes, left = cut_counting(links.join(known, ["tree", "parent"], "left").select("tree", "name", F.when(F.col("known"), F.col("parent")).alias("parent")), "parent")
 
     # pointer doubling: up is the ancestor 2**k above, size the number of nodes less than 2**k below (with itself)
     state = nodes.select("tree", "name", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("name")).alias("root"), F.when(F.col("parent").isNull(), F.lit(0)).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size"))
-    step, before, left = 1, -1, _open(nodes, "parent")
+    step, before = 1, -1
     while left and left != before:
         up = state.select("tree", F.col("name").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         more = state.where("up is not null").groupBy("tree", F.col("up").alias("name")).agg(F.sum("size").alias("more"))
         joined = state.join(up, ["tree", "up"], "left").join(more, ["tree", "name"], "left")
-        state = cut(joined.select("tree", "name", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), F.coalesce("depth", F.col("depth2") + step).alias("depth"), F.when(F.coalesce("root", "root2").isNotNull() | F.lit(step < 1 << 30), F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        step, before, left = step * 2, left, _open(state, "up")
+        before = left
+        state, left = cut_counting(joined.select("tree", "name", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), F.coalesce("depth", F.col("depth2") + step).alias("depth"), F.when(F.coalesce("root", "root2").isNotNull() | F.lit(step < 1 << 30), F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "up")
+        step *= 2
 
     # what never ends: the images of longer and longer jumps shrink to the cycles
     looped = state.where("up is not null").select("tree", "name", "up")
@@ -81,19 +78,19 @@ def _labels(trees: DataFrame) -> DataFrame:
 
     # segments within chains
     seg = nodes.select("tree", "name", F.when(F.col("down"), F.col("parent")).alias("up"), F.when(~F.col("down"), F.col("name")).alias("head"), F.col("name").alias("seg"), F.lit(0).cast("bigint").alias("steps"))
-    step = 1
-    while _open(seg, "up"):
+    step, left = 1, 1
+    while left:
         up = seg.select("tree", F.col("name").alias("up"), F.col("up").alias("up2"), F.col("head").alias("head2"), F.col("seg").alias("seg2"), F.col("steps").alias("steps2"))
-        seg = cut(seg.join(up, ["tree", "up"], "left").select("tree", "name", F.col("up2").alias("up"), F.coalesce("head", "head2").alias("head"), F.concat_ws("/", "seg2", "seg").alias("seg"), F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.coalesce("steps2", F.lit(0)) + step).alias("steps")))
+        seg, left = cut_counting(seg.join(up, ["tree", "up"], "left").select("tree", "name", F.col("up2").alias("up"), F.coalesce("head", "head2").alias("head"), F.concat_ws("/", "seg2", "seg").alias("seg"), F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.coalesce("steps2", F.lit(0)) + step).alias("steps")), "up")
         step *= 2
 
     # chains along light edges: what stands before a chain's head
     heads = nodes.where("not down").select("tree", F.col("name").alias("head"), F.col("parent").alias("attach"), F.coalesce("offset", F.lit(0)).alias("offset"))
     above = seg.select("tree", F.col("name").alias("attach"), F.col("head").alias("up"), F.col("seg").alias("prefix"), F.col("steps").alias("lead"))
-    chains = cut(heads.join(above, ["tree", "attach"], "left").select("tree", "head", "up", "prefix", (F.col("offset") + F.coalesce("lead", F.lit(0))).alias("first")))
-    while _open(chains, "up"):
+    chains, left = cut_counting(heads.join(above, ["tree", "attach"], "left").select("tree", "head", "up", "prefix", (F.col("offset") + F.coalesce("lead", F.lit(0))).alias("first")), "up")
+    while left:
         up = chains.select("tree", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("prefix").alias("prefix2"), F.col("first").alias("first2"))
-        chains = cut(chains.join(up, ["tree", "up"], "left").select("tree", "head", F.col("up2").alias("up"), F.when(F.col("prefix2").isNotNull(), F.concat_ws("/", "prefix2", "prefix")).otherwise(F.col("prefix")).alias("prefix"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first")))
+        chains, left = cut_counting(chains.join(up, ["tree", "up"], "left").select("tree", "head", F.col("up2").alias("up"), F.when(F.col("prefix2").isNotNull(), F.concat_ws("/", "prefix2", "prefix")).otherwise(F.col("prefix")).alias("prefix"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first")), "up")
 
     whole = seg.select("tree", "name", "head", "seg", "steps").join(chains.drop("up"), ["tree", "head"]).join(trees.select("tree", "name", "root", "depth", "size"), ["tree", "name"])
     first = F.col("first") + F.col("steps")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """cut(), and in how many rows ``col`` is not null, counted by the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.col(col)).alias("n")))
+    return out, seen.get["n"]
+
+
 def null_safe_hash(*cols: Column, seed: int = 0) -> Column:
     """64-bit hash of columns in which a null differs from every value and from its neighbours.
 
