@@ -3,6 +3,9 @@
 Words are canonicalised into templates: numbers, names and units become typed placeholders. Template
 windows of ``run`` words are hash-joined between items and texts; of each match the slots are compared:
 all equal is a verbatim run, a one-to-one renaming of slot values is a re-parameterised one.
+
+A word of an item is a name if some item writes it like an identifier (a lower-case letter followed by a
+capital); a word of a text is one if an item, or the text itself at that place, writes it so.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,65 +23,84 @@ from symbolloom.llm import textscan
 #: Unit words, in the singular and plural forms that count as one type of slot.
 UNITS = "bytes byte kilobytes megabytes seconds second milliseconds minutes minute hours hour days frames frame ticks tick cells cell slots slot rows row units unit degrees degree percent entries entry characters character lines line builds build".split()
 _NUMBER, _NAME, _UNIT = np.array([3, 5, 7], np.uint64)
-_CAMEL = regex.compile(r"\p{L}*\p{Ll}\p{Lu}[\p{L}\p{N}]*|[\p{L}\p{N}]*\p{Lu}\p{Ll}+\p{Lu}[\p{L}\p{N}]*")
 
 
 def _hashes_of(found: list[str]) -> np.ndarray:
     return np.unique(np.array([textscan.hash_points([ord(c) for c in w.lower()]) for w in found], np.uint64))
 
 
-class Canon:
-    """Replaces word hashes by those of typed placeholders. ``names``: sorted hashes of the words that are names."""
-
-    def __init__(self, names: np.ndarray) -> None:
-        self.names, self.units = names, _hashes_of(UNITS)
-
-    def __call__(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(template hashes, slot type of each word or 0)."""
-        digit = np.concatenate([np.zeros(1, np.int64), np.cumsum(textscan.char_classes()[cps] == textscan.NUMBER)])
-        kind = np.zeros(len(hashes), np.uint64)
-        for known, slot in ((self.names, _NAME), (self.units, _UNIT)):
-            if len(known):
-                kind[known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes] = slot
-        kind[digit[end] - digit[start] == end - start] = _NUMBER
-        return np.where(kind > 0, kind, hashes), kind
+def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def item_names(texts: list[str | None]) -> np.ndarray:
-    """Hashes of the words that some item writes like an identifier (a capital inside the word)."""
-    return _hashes_of([m[0] for t in texts if t for m in _CAMEL.finditer(t)])
+def _slots(names: np.ndarray, units: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, cps: np.ndarray) -> np.ndarray:
+    """Slot type of each word or 0. ``names``: sorted hashes of the words that are names."""
+    digit = np.concatenate([np.zeros(1, np.int64), np.cumsum(textscan.char_classes()[cps] == textscan.NUMBER)])
+    kind = np.zeros(len(hashes), np.uint64)
+    kind[_among(names, hashes)] = _NAME
+    kind[_among(units, hashes)] = _UNIT
+    kind[digit[end] - digit[start] == end - start] = _NUMBER
+    return kind
 
 
-def _scan(canon: Canon, col: pa.Array, run: int):
-    """For each slice: rows, word hashes, slot types, window hashes and the windows' first words."""
-    for first, end, data, offsets in textscan.slices(col):
-        hashes, rows, start, stop, cps = textscan.words(data, offsets)
-        template, kind = canon(hashes, start, stop, cps)
-        found, at = textscan.windows(template, rows, run)
-        yield first, end, rows, hashes, kind, found, at
+def like_names(start: np.ndarray, end: np.ndarray, cps: np.ndarray) -> np.ndarray:
+    """Which words are written like an identifier: a lower-case letter is followed by a capital."""
+    case = textscan.letter_cases()[cps]
+    humps = np.concatenate([np.zeros(1, np.int64), np.cumsum((case[:-1] == textscan.LOWER) & (case[1:] == textscan.UPPER)), np.zeros(1, np.int64)])
+    return humps[end - 1] > humps[start]
 
 
 class Items:
-    """The items' windows, sorted by hash, with a bitmap that most foreign windows fail."""
+    """The items' windows, sorted by hash, with a bitmap that most foreign windows fail.
+
+    ``loose`` are words that no item writes like a name but some text does: there they can be the word itself or
+    stand for any name. They are hashed as names on both sides, so that neither case is lost; the slots decide.
+    """
 
     def __init__(self, ids: list[int], texts: list[str | None], run: int) -> None:
-        self.run, self.ids, self.names = run, ids, item_names(texts)
-        self.words: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        found, item, at, base = [], [], [], 0
-        for first, _, rows, hashes, _, windows, start in _scan(Canon(self.names), pa.array(texts, pa.large_string()), run):
-            found.append(windows)
-            item.append(first + rows[start] if len(start) else start)
-            at.append(base + start)
-            self.words.append(hashes)
-            base += len(hashes)
-        self.flat = np.concatenate(self.words)
-        windows = np.concatenate([np.zeros(0, np.uint64), *found])
+        self.run, self.ids, self.units = run, ids, _hashes_of(UNITS)
+        parts = []
+        for first, _, data, offsets in textscan.slices(pa.array(texts, pa.large_string())):
+            hashes, rows, start, end, cps = textscan.words(data, offsets)
+            parts.append((hashes, first + rows, like_names(start, end, cps), _slots(np.zeros(0, np.uint64), self.units, hashes, start, end, cps)))
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))
+        self.flat, self.rows, camel, self.kind = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
+        self.names, self.words = np.unique(self.flat[camel]), np.unique(self.flat)
+        self.kind[_among(self.names, self.flat) & (self.kind == 0)] = _NAME
+        self.loose = np.zeros(0, np.uint64)
+        self._index()
+
+    def _index(self) -> None:
+        windows, at = textscan.windows(self._template(self.flat, self.kind), self.rows, self.run)
         order = np.argsort(windows, kind="stable")
-        self.windows = windows[order]
-        self.item, self.at = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)[order] for x in (item, at))
+        self.windows, self.at = windows[order], at[order]
+        self.item = self.rows[self.at]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.windows >> np.uint64(42)] = True
 
+    def _template(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return np.where(kind > 0, kind, np.where(_among(self.loose, hashes), _NAME, hashes))
+
+    def scan(self, col: pa.Array):
+        """For each slice: first row, rows, word hashes, slot types, which words may also be names, window hashes, the windows' first words."""
+        for first, _, data, offsets in textscan.slices(col):
+            hashes, rows, start, end, cps = textscan.words(data, offsets)
+            kind = _slots(self.names, self.units, hashes, start, end, cps)
+            camel = np.flatnonzero(like_names(start, end, cps) & (kind == 0))
+            own = _among(self.words, hashes[camel])
+            kind[camel[~own]] = _NAME  # no item has the word, so it can only stand for another name
+            either = np.zeros(len(hashes), bool)
+            either[camel[own]] = True
+            new = np.setdiff1d(hashes[either], self.loose)
+            if len(new):
+                self.loose = np.union1d(self.loose, new)
+                self._index()
+            found, at = textscan.windows(self._template(hashes, kind), rows, self.run)
+            yield first, rows, hashes, kind, either, found, at
+
     def match(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index into found, index into the items' windows) with equal hashes."""
         maybe = np.flatnonzero(self.bits[found >> np.uint64(42)])
@@ -116,19 +137,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, id_col: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(*shared.value, run)
-        canon = Canon(known.names)
         span = np.arange(run)
         for batch in batches:
             out_row, out_item, out_same = [], [], []
-            for first, _, rows, hashes, kind, found, at in _scan(canon, batch.column(1), run):
+            for first, rows, hashes, kind, either, found, at in known.scan(batch.column(1)):
                 left, right = known.match(found)
                 if not len(left):
                     continue
-                here = hashes[at[left][:, None] + span]
-                there = known.flat[known.at[right][:, None] + span]
+                here_at, there_at = at[left][:, None] + span, known.at[right][:, None] + span
+                here, there, slot = hashes[here_at], known.flat[there_at], known.kind[there_at]
                 row, item = first + rows[at[left]], known.item[right]
                 same = (here == there).all(axis=1)
-                slots = kind[at[left][:, None] + span] > 0
+                slots = (slot > 0) & ((slot == kind[here_at]) | ((slot == _NAME) & either[here_at]))
                 fine = same | ((here == there) | slots).all(axis=1)
                 done = set(zip(row[same].tolist(), item[same].tolist(), strict=True))
                 for i in np.flatnonzero(fine & ~same):

@@ -15,6 +15,7 @@ import regex
 
 SLICE_BYTES = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+LOWER, UPPER = 1, 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -31,6 +32,18 @@ def char_classes() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def letter_cases() -> np.ndarray:
+    """LOWER (Ll), UPPER (Lu) or 0 of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(low, high)))
+        for kind, pattern in ((LOWER, r"\p{Ll}+"), (UPPER, r"\p{Lu}+")):
+            for m in regex.finditer(pattern, every):
+                out[low + m.start() : low + m.end()] = kind
+    return out
+
+
 @lru_cache(maxsize=1)
 def lower_map() -> np.ndarray:
     """Lower case of every code point that has one of a single code point; others map to themselves."""

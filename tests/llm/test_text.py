@@ -104,6 +104,48 @@ def test_slots_must_be_renamed_one_to_one(spark):
     assert got == {0: 0, 2: 1}
 
 
+def _template_leaks(docs, items, run):
+    """Brute force over all pairs of windows of plain words."""
+    camel = lambda w: any(a.islower() and b.isupper() for a, b in zip(w, w[1:], strict=False))
+    raw = lambda t: WORD.findall(t or "")
+    names = {w.lower() for t in items for w in raw(t) if camel(w)}
+    kind = lambda w, name: "0" if w.isdecimal() else "u" if w.lower() in leakage.UNITS else "n" if name else ""
+    out = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            x, y = raw(text), raw(item)
+            for a in range(len(x) - run + 1):
+                for b in range(len(y) - run + 1):
+                    pairs = [(v.lower(), w.lower(), kind(v, camel(v) or v.lower() in names), kind(w, w.lower() in names)) for v, w in zip(x[a : a + run], y[b : b + run], strict=True)]
+                    if not all(v == w or (k and k == m) for v, w, m, k in pairs):
+                        continue
+                    one = {(v, w) for v, w, _, k in pairs if k}
+                    same = all(v == w for v, w, *_ in pairs)
+                    if same or len({v for v, _ in one}) == len(one) == len({w for _, w in one}):
+                        out[d, i] = max(out.get((d, i), 0), int(same))
+    return out
+
+
+def test_identifiers_unknown_to_the_items_are_names(spark):
+    """Also where the same window has a word that only the text writes like an identifier."""
+    item = "In build 5206 the HookEvent callback resolves each signed spawn group within 30 seconds of a startup change"
+    texts = [item.replace("HookEvent", "FreeEvent"), item.replace("HookEvent", "FreeEvent").replace("startup", "startUp"), item.replace("HookEvent", "startUp"), item.replace("HookEvent", "startup"), item.replace("HookEvent", "freeevent"), item.replace("startup", "freeEvent"), item]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["verbatim"] for r in leakage.leaked_items(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"), run=18).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 6: 1}
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["aB", "ab", "bC", "cD", "CD", "dE", "de", "eF2g", "7", "12", "rows", "cells", "the", "of"]
+    items = [" ".join(rng.choice(pool[:4] + pool[6:7] + pool[8:]) for _ in range(rng.randrange(3, 9))) for _ in range(25)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 20))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in leakage.leaked_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"), run=3).collect()}
+    want = _template_leaks(texts, items, 3)
+    assert got == want and {0, 1} == set(want.values())
+
+
 def _share(t):
     x, seen = _w(t), set()
     rep = [False] * len(x)
