@@ -1,14 +1,16 @@
 """Patterns over token kinds, matched exactly, or with fewest edits by a chart of items per position and cost.
 
 A pattern is written once, in the common subset of regular expressions. For exact matching it is compiled
-as such. For repair it becomes a position automaton: the chart keeps, for every input position and every
-number of edits so far, the set of grammar positions (items) that can be reached, as bits of an integer.
-An edit deletes, inserts or replaces one token.
+as such. For repair it becomes a position automaton: the chart keeps, for every input position, the grammar
+positions (items) by the fewest edits with which they can be reached, as bits of one integer for each number
+of edits. Numbers without items take no room, so edits need no bound. An edit deletes, inserts or replaces
+one token.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 from re import _constants as C  # type: ignore[attr-defined]
 from re import _parser  # type: ignore[attr-defined]
@@ -90,31 +92,45 @@ class Chart:
             got = self._by_char[char] = sum(1 << i for i, s in enumerate(self._sets) if code in s)
         return got
 
-    def cost(self, text: str, most: int) -> tuple[int, int] | None:
+    def cost(self, text: str, most: int | None = None) -> tuple[int, int] | None:
         """(fewest edits, position at which no exact parse goes on), or None for more than ``most`` edits."""
         start = 1 << len(self._sets)  # an item before everything
         step = lambda items: (self._after(items & ~start) | self.first) if items & start else self._after(items)
-        rows = [start]
-        for k in range(most):
-            rows.append(rows[k] | step(rows[k]))
-        dead = len(text)
+        rows, dead = self._inserted({0: start}, step, most), len(text)
         for i, char in enumerate(text):
-            on, new = self._on(char), []
-            for k, items in enumerate(rows):
+            on, new = self._on(char), {}
+            for k, items in rows.items():
                 ahead = step(items)
-                now = ahead & on
-                if k:
-                    before = rows[k - 1]
-                    now |= before | step(before) | step(new[k - 1])  # delete, replace, insert
-                elif not now and dead == len(text):
-                    dead = i
-                new.append(now)
-            rows = new
-        for k, items in enumerate(rows):
+                if now := ahead & on:
+                    new[k] = new.get(k, 0) | now
+                new[k + 1] = new.get(k + 1, 0) | items | ahead  # delete, replace
+            if dead == len(text) and 0 not in new:
+                dead = i
+            rows = self._inserted(new, step, most)
+            if not rows:
+                return None
+        for k, items in rows.items():
             if items & self.last or (self.empty and items & start):
                 return k, dead
         return None
 
+    @staticmethod
+    def _inserted(found: dict[int, int], step, most: int | None) -> dict[int, int]:
+        """Items by their fewest edits, in order, with those that inserting tokens leads to."""
+        out, seen, waiting = {}, 0, sorted(found, reverse=True)
+        while waiting:
+            k = waiting.pop()
+            if most is not None and k > most:
+                break
+            if items := found[k] & ~seen:
+                out[k] = items
+                seen |= items
+                if ahead := step(items) & ~seen:
+                    if k + 1 not in found:
+                        waiting.append(k + 1)
+                    found[k + 1] = found.get(k + 1, 0) | ahead
+        return out
+
 
 class Language:
     """Bracketed text: the content of each bracket pair is matched by itself and stands as one symbol outside.
@@ -127,7 +143,6 @@ class Language:
     brackets: dict[str, tuple[int, tuple[str, ...]]]
     patterns: dict[str, str]
     top: str
-    MOST_EDITS = 3
     MEMO_LENGTH = 1000
 
     def __init__(self) -> None:
@@ -145,6 +160,14 @@ class Language:
     def prepare(self, content: str, role: str) -> str:
         return content
 
+    def kept(self, content: str, role: str) -> Sequence[int]:
+        """The positions of ``content`` that ``prepare`` keeps."""
+        return range(len(content))
+
+    def misfits(self, content: str, role: str) -> list[int]:
+        """Positions of tokens that break a rule of the role which its pattern doesn't hold; each is one edit."""
+        return []
+
     @lru_cache(maxsize=None)  # noqa: B019  one instance per language and process
     def chart(self, role: str) -> Chart:
         return Chart(self.patterns[role])
@@ -184,8 +207,9 @@ class Language:
     def repair(self, kinds: str) -> tuple[int, list[int], bool]:
         """(edits, positions of edits, whether brackets are still open at the end) of the cheapest repair found.
 
-        Brackets are paired first (an unpaired one is one edit); then every content is repaired by its
-        cheapest role. A content that needs more than MOST_EDITS counts as many edits as it has tokens.
+        Brackets are paired first (an unpaired one is one edit); then every content is repaired with the
+        fewest edits by its cheapest role. The pairing is greedy and doesn't look at contents, nor do the
+        roles look outside, so the sum is an upper bound where more than one token is wrong.
         """
         pairs = {")": "(", "]": "[", "}": "{"}
         stack: list[tuple[str, int, list[str], list[int]]] = [("", 0, [], [])]
@@ -232,19 +256,22 @@ class Language:
     def _span(self, bracket: str, content: str) -> tuple[int, int, int]:
         """(edits, where, role mask) of one content."""
         if not bracket:
-            text = self.prepare(content, self.top)
-            if self.exact[self.top].fullmatch(text):
+            if self.exact[self.top].fullmatch(self.prepare(content, self.top)):
                 return 0, 0, 0
-            got = self.chart(self.top).cost(text, self.MOST_EDITS)
-            return (*(got if got else (max(1, len(content)), 0)), 0)
+            return *self._least(content, (self.top,)), 0
         mask = self.role_mask(bracket, content)
         roles = self.brackets[bracket][1]
-        everything = (1 << len(roles)) - 1
-        if mask:
-            return 0, 0, mask
-        best = (max(1, len(content)), 0)
+        return (0, 0, mask) if mask else (*self._least(content, roles), (1 << len(roles)) - 1)
+
+    def _least(self, content: str, roles: tuple[str, ...]) -> tuple[int, int]:
+        """(fewest edits, where) that make the content play one of the roles."""
+        best = None
         for role in roles:
-            got = self.chart(role).cost(self.prepare(content, role), self.MOST_EDITS)
-            if got and 0 < got[0] < best[0]:
-                best = got
-        return *best, everything
+            misfits = self.misfits(content, role)
+            got = self.chart(role).cost(self.prepare(content, role), best[0] - 1 - len(misfits) if best else None)
+            if got:
+                kept = self.kept(content, role)
+                at = kept[got[1]] if got[0] and got[1] < len(kept) else len(content)
+                best = got[0] + len(misfits), min([at, *misfits])
+        assert best is not None
+        return best

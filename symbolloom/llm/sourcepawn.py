@@ -73,21 +73,30 @@ class SourcePawn(Language):
         content = self._SOFT.sub("", content)
         return content if content[-1:] in ("", ";", "\n") else content + "\n"
 
+    def kept(self, content: str, role: str) -> list[int]:
+        if role in self._FLAT:
+            return [i for i, c in enumerate(content) if c != "\n"]
+        out, at = [], 0
+        for m in self._SOFT.finditer(content):
+            out += range(at, m.start())
+            at = m.end()
+        return [*out, *range(at, len(content))]
+
     def role_mask(self, bracket: str, content: str) -> int:
         mask = super().role_mask(bracket, content)
-        if "l" in content and bracket == "{" and not self._else_fits(content):
+        if "l" in content and bracket == "{" and self.misfits(content, "block"):
             mask &= ~3  # neither block nor cases
         return mask
 
-    @staticmethod
-    def _else_fits(content: str) -> bool:
-        """Whether every else has an if before it that has none yet."""
-        ifs = 0
-        for c in content:
-            ifs += (c == "i") - (c == "l")
-            if ifs < 0:
-                return False
-        return True
+    def misfits(self, content: str, role: str) -> list[int]:
+        """Each else without an if before it that has none yet."""
+        out, ifs = [], 0
+        for i, c in enumerate(content if role in ("block", "cases") else ""):
+            if c == "l" and not ifs:
+                out.append(i)
+            else:
+                ifs += (c == "i") - (c == "l")
+        return out
 
     def code(self, kinds: str) -> str:
         """The kinds without blanks, comments and preprocessor lines."""

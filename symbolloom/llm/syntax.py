@@ -25,8 +25,6 @@ from symbolloom.parser import lexer
 
 #: The language of each extension.
 LANGUAGES = {"inc": "sourcepawn", "sp": "sourcepawn", "json": "json", "toml": "toml", "py": "python"}
-#: Python and TOML: lines deleted at most; more edits count as one more.
-MOST_LINES = 3
 _MARKER = re.compile(rb"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)")
 _CONDITION = re.compile(r"#[ \t]*(if|else|elseif|endif)\b")
 
@@ -104,29 +102,39 @@ def _by_lines(content: bytes, failing_line) -> Repair | None:
     if line is None:
         return None
     lines, edits, first = content.splitlines(keepends=True), 0, None
-    while line is not None and edits <= MOST_LINES:
+    size = len(lines)
+    while line is not None:
         edits += 1
         line = min(max(line, 1), max(len(lines), 1))
         if first is None:
             first = sum(map(len, lines[: line - 1]))
-        if edits <= MOST_LINES:
-            del lines[line - 1 : line]
-            line = failing_line(b"".join(lines)) if lines else None
-    return edits, first or 0, _kind(content, edits if edits <= MOST_LINES else 99, 20, (first or 0) >= 0.9 * len(content))
+        del lines[line - 1 : line]
+        line = failing_line(b"".join(lines)) if lines else None
+    return edits, first or 0, _kind(content, edits, max(size, 20), (first or 0) >= 0.9 * len(content))
 
 
 def _python_line(content: bytes) -> int | None:
+    if b"\0" in content:
+        return len(content[: content.index(b"\0") + 1].splitlines())
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(content, "file", "exec", dont_inherit=True)
     except SyntaxError as e:
-        return e.lineno or 1
+        return e.lineno or _undecoded_line(content)
     except (ValueError, RecursionError, MemoryError, OverflowError):
         return 1
     return None
 
 
+def _undecoded_line(content: bytes) -> int:
+    try:
+        content.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return len(content[: e.start + 1].splitlines())
+    return 1
+
+
 def _toml_line(content: bytes) -> int | None:
     try:
         tomllib.loads(content.decode("utf-8"))
@@ -170,9 +178,8 @@ def language_of(path: Column) -> Column:
 def repairs(files: DataFrame, id_col: str = "blob_id", path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(id_col, language, edits, first_edit, kind) of each file of a known language with content.
 
-    edits is 0 for a valid file, else the cost of the repair found: spans that need more than three edits
-    count as many as they have tokens, Python and TOML files count at most MOST_LINES + 1. first_edit is a
-    byte offset, -1 for valid files. Null content, null paths and unknown extensions give no row; an empty
+    edits is 0 for a valid file, else the cost of the repair found, without a bound: tokens for SourcePawn and
+    JSON, deleted lines for Python and TOML. first_edit is a byte offset, -1 for valid files. Null content, null paths and unknown extensions give no row; an empty
     SourcePawn, Python or TOML file is valid, an empty JSON one is not. Whole contents are checked where
     they are read; rows repeat as the input's do.
     """

@@ -68,6 +68,34 @@ def test_chart_finds_the_fewest_edits():
     assert chart.cost("ab,!", 4)[1] == 3
 
 
+def test_repairs_have_no_ceiling():
+    broken = b"void f()\n{\n\tg();\n\tx = 1 2 3 4 5 6 7 8 9 10;\n}\n"
+    edits, at, _ = syntax.check("sourcepawn", broken)
+    assert edits == 5 and broken[at:].startswith(b"2 3")
+    assert syntax.check("sourcepawn", b"int a;\n\n\n\nint b = = 1;\n")[:2] == (1, 18)  # newlines that don't count are mapped back
+    assert syntax.check("sourcepawn", b"void f()\n{\n\telse x();\n}\n")[:2] == (1, 12)
+    lines = b"".join(b"x = %d\n" % i + b"y = = 1\n" * (i % 20 == 7) for i in range(120))
+    assert syntax.check("python", lines)[:2] == (6, lines.index(b"y")) and syntax.check("python", lines)[2] == "error"
+    assert syntax.check("toml", lines.replace(b"x = ", b"x"))[0] == 126 and syntax.check("toml", b"".join(b"k%d = 1\n" % i + b"y = = 1\n" * (i % 20 == 7) for i in range(120)))[0] == 6
+    assert syntax.check("json", b"[1,,2,,3,,4,,5,,6]")[0] == 5
+
+
+def test_chart_equals_plain_distance_without_bound():
+    chart, rng = grammar.Chart("a(?:b,)*c?"), random.Random(6)
+    words = ["a" + "b," * n + tail for n in range(14) for tail in ("", "c")]
+    for _ in range(60):
+        s = "".join(rng.choice("ab,c!") for _ in range(rng.randrange(18)))
+        best = 99
+        for w in words:
+            row = list(range(len(w) + 1))
+            for i, x in enumerate(s, 1):
+                prev, row[0] = row[0], i
+                for j, y in enumerate(w, 1):
+                    prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+            best = min(best, row[-1])
+        assert chart.cost(s)[0] == best, s
+
+
 def test_repair_is_zero_just_for_accepted_files():
     language, rng = sourcepawn.language(), random.Random(2)
     for content in VALID[:14]:
