@@ -195,12 +195,17 @@ def bundle_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bundle_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols of the typed documents, read by schema."""
+    """Functions of the typed documents, read by schema; ``bundle_symbols`` has all categories."""
     typed = bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body")).where("bundle.strands is not null")
     rows = typed.select("file_id", F.explode("bundle.strands").alias("strand", "s")).select("file_id", "strand", F.explode("s.functions").alias("name", "f"))
     return rows.select("file_id", "strand", "name", "f.kind", F.col("f.returnType").alias("return_type"))
 
 
+def bundle_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of all categories of the typed documents, and their members."""
+    return bundles.document_symbols(bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body")), "file_id")
+
+
 def symbol_documents(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.symbols_document(_symbols(spark, sf))
 
@@ -214,7 +219,7 @@ def page_titles(spark: SparkSession, sf: str) -> DataFrame:
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
     merge_diff_count, merge_resume, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, doc_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
-    generate_history, bundle_versions, bundle_documents, symbol_documents, page_titles,
+    generate_history, bundle_versions, bundle_documents, bundle_symbols, symbol_documents, page_titles,
 )
 
 
@@ -303,6 +308,17 @@ def oracle_sql() -> dict[str, str]:
             strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '".functions') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
             fs as (select file_id, strand, k as name, json_extract(j, '$."' || k || '"') as f from (select *, unnest(json_keys(j)) as k from strands where json_type(j) = 'OBJECT'))
             select file_id, strand, name, f->>'kind' as kind, f->>'returnType' as return_type from fs""",
+        "bundle_symbols": """
+            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            cats as (select file_id, strand, c as category, json_extract(j, '$.' || c) as j from strands, unnest(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs']) t(c)),
+            syms as (select file_id, strand, category, k as name, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from cats where json_type(j) = 'OBJECT')),
+            held as (select s.*, kd as member_kind, json_extract(v, '$.' || f) as j from syms s, (values ('methodmaps', 'method', 'methods'), ('methodmaps', 'property', 'properties'), ('enumstructs', 'method', 'methods'), ('enumstructs', 'field', 'fields'), ('enums', 'entry', 'entries'), ('typesets', 'type', 'types')) t(c, kd, f) where c = category),
+            mems as (select file_id, strand, category, name, member_kind, k as member, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from held where json_type(j) = 'OBJECT')),
+            every as (select file_id, strand, category, name, null as member_kind, null as member, v from syms union all select * from mems)
+            select file_id, strand, category, name, member_kind, member, case when category = 'functions' or member_kind = 'method' then v->>'kind' end as kind,
+                   case when category = 'functions' or member_kind = 'method' then v->>'returnType' when category = 'typedefs' or member_kind in ('property', 'field', 'type') then v->>'type' end as type,
+                   case when category = 'defines' or member_kind = 'entry' then v->>'value' end as value, case when category = 'methodmaps' and member_kind is null then v->>'parent' end as parent from every""",
         "strand_is_empty": """
             with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
             strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolloom.functions.paths import file_stem
-from symbolloom.schemas import BUNDLE, META, SOURCE
+from symbolloom.schemas import BUNDLE, CATEGORIES, META, SOURCE
 
 
 def read_manifest(spark: SparkSession, text: str) -> DataFrame:
@@ -30,6 +30,43 @@ def parse_bundles(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     return bodies.withColumn("bundle", F.from_json(F.col(body_col), BUNDLE))
 
 
+#: The maps of members of each category, by the members' kind.
+MEMBERS = {"methodmaps": {"method": "methods", "property": "properties"}, "enumstructs": {"method": "methods", "field": "fields"}, "enums": {"entry": "entries"}, "typesets": {"type": "types"}}
+_FIELDS = {"kind": ("kind",), "type": ("returnType", "type"), "value": ("value",), "parent": ("parent",)}
+
+
+def document_symbols(typed: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, strand, category, name, member_kind, member, kind, type, value, parent) of documents from ``parse_bundles``.
+
+    One row per symbol of every category, with null member_kind and member, and one per member. type is the
+    return type of functions and methods; what a category doesn't have is null.
+    """
+    strands = typed.select(id_col, F.explode("bundle.strands").alias("strand", "s"))
+    row = "array<struct<category:string,name:string,member_kind:string,member:string,kind:string,type:string,value:string,parent:string>>"
+    fields_of = lambda t: {f.name for f in t.fields}
+    maps = strands.schema["s"].dataType
+
+    def one(names: set[str], category: str, name: Column, kind: Column, member: Column, value: Column) -> Column:
+        held = [next((value[n] for n in inner if n in names), F.lit(None)).cast("string").alias(out) for out, inner in _FIELDS.items()]
+        return F.struct(F.lit(category).alias("category"), name.alias("name"), kind.alias("member_kind"), member.alias("member"), *held)
+
+    def of(category: str) -> Column:
+        symbol = maps[category].dataType.valueType
+
+        def rows(e: Column) -> Column:
+            none = F.lit(None).cast("string")
+            parts = [F.array(one(fields_of(symbol), category, e["key"], none, none, e["value"])).cast(row)]
+            for kind, name in MEMBERS.get(category, {}).items():
+                inner = fields_of(symbol[name].dataType.valueType)
+                members = F.transform(F.map_entries(e["value"][name]), lambda m: one(inner, category, e["key"], F.lit(kind), m["key"], m["value"]))  # noqa: B023
+                parts.append(F.coalesce(members.cast(row), F.array().cast(row)))
+            return F.concat(*parts)
+
+        return F.coalesce(F.flatten(F.transform(F.map_entries(F.col("s")[category]), rows)), F.array().cast(row))
+
+    return strands.select(id_col, "strand", F.explode(F.concat(*map(of, CATEGORIES))).alias("r")).select(id_col, "strand", "r.*")
+
+
 def read_bundle_files(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.bundle`` files of a folder: file_stem and the document's fields; unreadable ones have nulls."""
     text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.bundle").text(folder)

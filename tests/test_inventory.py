@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import subprocess
 from collections import Counter
@@ -71,6 +72,18 @@ def test_docs(spark):
     assert got[1].d.brief == "one line" and got[2].d.brief == "" and got[3].d is None
 
 
+def test_document_symbols_of_every_category(spark):
+    maps = {"functions": {"f": {"kind": "stock", "returnType": "int"}}, "methodmaps": {"m": {"parent": "b", "methods": {"a": {"returnType": "void"}}, "properties": {"p": {"type": "int"}}}}, "enumstructs": {"s": {"fields": {"x": {"type": "char"}}}}, "constants": {"c": {}}, "defines": {"d": {"value": "1"}}, "enums": {"e": {"entries": {"y": {"value": "2"}}}}, "typesets": {"t": {"types": {"u": {"type": "v"}}}}, "typedefs": {"w": {"type": "z"}}}
+    df = spark.createDataFrame([(1, json.dumps({"strands": {"s1": maps, "s2": {}}})), (2, "{"), (3, None)], "id bigint, body string")
+    got = [tuple(r)[2:] for r in bundles.document_symbols(bundles.parse_bundles(df), "id").collect()]
+    none = (None,) * 2
+    assert sorted(got, key=str) == sorted([
+        ("functions", "f", *none, "stock", "int", *none), ("methodmaps", "m", *none, *none, None, "b"), ("methodmaps", "m", "method", "a", None, "void", *none), ("methodmaps", "m", "property", "p", None, "int", *none),
+        ("enumstructs", "s", *none, *none, *none), ("enumstructs", "s", "field", "x", None, "char", *none), ("constants", "c", *none, *none, *none), ("defines", "d", *none, *none, "1", None),
+        ("enums", "e", *none, *none, *none), ("enums", "e", "entry", "y", *none, "2", None), ("typesets", "t", *none, *none, *none), ("typesets", "t", "type", "u", None, "v", *none), ("typedefs", "w", *none, None, "z", *none),
+    ], key=str)
+
+
 SYMBOLS = "bundle string, strand string, category string, name string, return_type string, arguments array<struct<type:string,name:string>>, members array<struct<kind:string,name:string,return_type:string,arguments:array<struct<type:string,name:string>>>>, created struct<count:bigint>"
 
 
