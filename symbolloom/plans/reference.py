@@ -158,11 +158,21 @@ def comment_attach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of each text between two byte positions, where both fall on characters."""
+    """A prefix of each text between two byte positions, where both fall on characters; ``text_slices`` has whole texts."""
     rows = table(spark, sf, "documents").select("doc_id", F.encode(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), "utf-8").alias("b"))
     return rows.select("doc_id", docs.doc_slice(F.col("b"), F.col("doc_id") % 3, F.lit(40)).alias("piece"))
 
 
+def text_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text's bytes from the second on, cut at eighths of its byte length; null where a cut splits a character.
+
+    The first byte is left out in slice 0, as a start of 0 means that there is no slice (``doc_slice``).
+    """
+    rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    at = lambda k: F.floor(F.octet_length("b") * k / 8)
+    return rows.select("doc_id", "k", docs.doc_slice(F.col("b"), F.greatest(at(F.col("k")), F.lit(1)), at(F.col("k") + 1)).alias("piece"))
+
+
 def signature_parse(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("function "), F.col("p_brand"), F.lit(" (const "), F.regexp_replace("p_type", " ", "_"), F.lit("[] x, "), F.split("p_name", " ")[0], F.lit(" "), F.col("p_size").cast("string"), F.lit(", ...)")).alias("s"))
     got = rows.select("p_partkey", signature.parse_signature(F.col("s")).alias("g"))
@@ -211,15 +221,22 @@ def symbol_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of pages made of the documents' first lines."""
+    """Titles of pages made of the documents' first lines; ``page_texts`` has whole texts."""
     page = F.concat(F.lit("<html><head><TITLE> "), F.regexp_extract("text", "^([^\\n<]*)", 1), F.lit("</TITLE></head></html>"))
     return table(spark, sf, "documents").select("doc_id", docs.page_title(page).alias("title"))
 
 
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of pages that hold the whole text, without its angle brackets, as title and again as body."""
+    text = F.translate("text", "<>", "")
+    page = F.concat(F.lit("<html><head><TITLE> "), text, F.lit("</TITLE></head><body>"), text, F.lit("</body></html>"))
+    return table(spark, sf, "documents").select("doc_id", docs.page_title(page).alias("title"))
+
+
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
-    merge_diff_count, merge_resume, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, doc_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
-    generate_history, bundle_versions, bundle_documents, bundle_symbols, symbol_documents, page_titles,
+    merge_diff_count, merge_resume, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, doc_slices, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
+    generate_history, bundle_versions, bundle_documents, bundle_symbols, symbol_documents, page_titles, page_texts,
 )
 
 
@@ -358,6 +375,12 @@ def oracle_sql() -> dict[str, str]:
             select r.file, r.n * 2 as line, r.l_partkey, coalesce(l.c.s, t.c.s, 0) as doc_start, coalesce(l.c.e, t.c.e, 0) as doc_end
             from r left join lead_ l on l.file = r.file and l.line = r.n * 2 left join tail_ t on t.file = r.file and t.line = r.n * 2""",
         "doc_slices": "select doc_id, case when doc_id % 3 <> 0 then substr(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), (doc_id % 3 + 1)::bigint, (40 - doc_id % 3)::bigint) end as piece from documents",
+        "text_slices": """
+            with d as (select doc_id, hex(encode(text)) as h, unnest(range(8))::int as k from documents),
+            cuts as (select *, greatest((length(h) // 2) * k // 8, 1) as a, (length(h) // 2) * (k + 1) // 8 as b from d),
+            edges as (select *, substr(h, 2 * a + 1, 1) as x, substr(h, 2 * b + 1, 1) as y from cuts)
+            select doc_id, k, case when h is null or b = 0 then null when b <= a then '' when x not in ('8', '9', 'A', 'B') and y not in ('8', '9', 'A', 'B') then decode(unhex(substr(h, 2 * a + 1, 2 * (b - a)))) end as piece from edges""",
+        "page_texts": "select doc_id, nullif(trim(translate(text, '<>', ''), ' \t\n\r\f\v'), '') as title from documents",
         "signature_parse": "select p_partkey, p_brand as return_type, 2::bigint as n, 'const ' || replace(p_type, ' ', '_') || '[]' as type0, 'x' as name0, p_size::varchar as name1 from part",
         "file_stems": "select blob_id, regexp_replace(string_split(replace(path, '\\', '/'), '/')[-1], '(.)\\.[^.]*$', '\\1') as stem, regexp_matches(replace(path, '\\', '/'), '^.*\\.inc(/.*)?$') or regexp_matches(replace(path, '\\', '/'), '^scripting/.*\\.sp(/.*)?$') as matches from blobs",
         "sitemap_urls": f"""

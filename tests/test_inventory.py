@@ -72,6 +72,34 @@ def test_docs(spark):
     assert got[1].d.brief == "one line" and got[2].d.brief == "" and got[3].d is None
 
 
+def test_slices_of_whole_multibyte_texts(spark):
+    """Against Python on every pair of positions; cuts inside characters give null."""
+    raw = "aé€😀z\n".encode()
+    spans = [(a, b) for a in range(len(raw) + 1) for b in range(a, len(raw) + 1)]
+    got = spark.createDataFrame([(raw, a, b) for a, b in spans], "b binary, s int, e int").select("s", "e", docs.doc_slice(F.col("b"), F.col("s"), F.col("e")).alias("p")).collect()
+
+    def want(a, b):
+        try:
+            return raw[a:b].decode() if a and b else None
+        except UnicodeDecodeError:
+            return None
+
+    assert {(r["s"], r["e"]): r["p"] for r in got} == {(a, b): want(a, b) for a, b in spans}
+
+
+def test_text_slices_cover_whole_texts(spark, tiny):
+    from symbolloom.plans import reference
+    from symbolloom.session import table
+
+    texts = {r["doc_id"]: r["text"] for r in table(spark, tiny, "documents").collect() if r["text"]}
+    pieces = {}
+    for r in reference.queries()["text_slices"](spark, tiny).collect():
+        pieces.setdefault(r["doc_id"], {})[r["k"]] = r["piece"]
+    whole = [i for i, t in texts.items() if t.isascii() and len(t) >= 16]
+    assert whole and all("".join(pieces[i][k] for k in range(8)) == texts[i][1:] for i in whole)
+    assert any(p is None for i, t in texts.items() if not t.isascii() for p in pieces[i].values())
+
+
 def test_document_symbols_of_every_category(spark):
     maps = {"functions": {"f": {"kind": "stock", "returnType": "int"}}, "methodmaps": {"m": {"parent": "b", "methods": {"a": {"returnType": "void"}}, "properties": {"p": {"type": "int"}}}}, "enumstructs": {"s": {"fields": {"x": {"type": "char"}}}}, "constants": {"c": {}}, "defines": {"d": {"value": "1"}}, "enums": {"e": {"entries": {"y": {"value": "2"}}}}, "typesets": {"t": {"types": {"u": {"type": "v"}}}}, "typedefs": {"w": {"type": "z"}}}
     df = spark.createDataFrame([(1, json.dumps({"strands": {"s1": maps, "s2": {}}})), (2, "{"), (3, None)], "id bigint, body string")
