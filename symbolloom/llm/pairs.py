@@ -77,8 +77,9 @@ def functions(tokens: list[str], kinds: str) -> list[tuple[int, str, str]]:
     parts, at = [], 0
     for a, b in spans:
         parts += [kinds[at : a + 1], " " * (b - a - 1)]
+        owner = _OWNER.search(kinds, at, a)
         at = b
-        if owner := _OWNER.search(kinds, max(0, a - 400), a):
+        if owner:
             name = tokens[owner.start(1)]
             inner, depth, cut = list(kinds[a + 1 : b]), 0, 0
             for m in _BRACES.finditer(kinds, a + 1, b):

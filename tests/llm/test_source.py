@@ -200,6 +200,13 @@ def test_pairs_rules():
     assert pairs.documented(SOURCE.encode() + b"}") == [] == pairs.documented(b"")
 
 
+@pytest.mark.parametrize("header", ["methodmap Far < Base", "enum struct Far"])
+def test_owner_far_from_its_brace(header):
+    gap = "\n" + "// line\n" * 300
+    source = f"void Before()\n{{\n}}\n{header}{gap}{{\n\t/* {DOC} */\n\tpublic void Do(int x)\n\t{{\n\t}}\n}}\n"
+    assert [f[0] for f in pairs.documented(source.encode())] == ["Far.Do"]
+
+
 def test_briefs_and_own_words():
     assert pairs.brief_of("/**\n * One\n * two @x.\n * @param a b\n */").split() == ["One", "two", "@x."]
     assert pairs.brief_of("/** @return x\n @brief the text\n goes on\n @note n */").split() == ["the", "text", "goes", "on"]
