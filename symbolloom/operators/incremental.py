@@ -1,20 +1,24 @@
 """Which run takes in which record: differences of immutable version manifests (problem 7).
 
-Every successful run is a version. Records that arrive between two versions form a file of the later one;
-the manifest log notes for each version the file it adds, and for each file a deletion vector of the
-records that repeat earlier ones. The delta of a version is what its manifest adds, less the deleted.
-sources/manifest_table.py holds such tables on disk and commits the processed version with the output.
+Every run sees a version of the table. Records that arrive between two versions form a file that the later
+one adds; records that repeat earlier ones are in its deletion vector. What a run takes in is the difference
+between the manifest it sees and the one that the last successful run has processed.
+sources/manifest_table.py holds the tables, and commits a run's output with the version it has processed.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolloom.operators.blocked import block_of, boundaries
+from symbolloom.session import cut, ensure_checkpoint_dir
+from symbolloom.sources.manifest_table import ManifestTable
 
 
-def next_version(records: DataFrame, versions: DataFrame, by: str, time: str, blocks: int = 32) -> DataFrame:
+def next_version(records: DataFrame, versions: DataFrame, by: str, time: str, blocks: int | None = None) -> DataFrame:
     """``records`` with ``run_id`` and ``started_at`` of the earliest of ``versions`` (by, run_id, started_at) not before ``time``.
 
     Ties of started_at go to the lowest run_id. An as-of join over blocks of time: windows run within (by,
@@ -50,28 +54,42 @@ def repeats(records: DataFrame, content: list[str], order: list[str], position:
     return records.alias("r").join(firsts.alias("f"), keys, "left_anti").select(position)
 
 
-def deltas(records: DataFrame, versions: DataFrame, by: str, time: str, position: str, content: list[str | Column]) -> DataFrame:
-    """(run_id, position): the records that each version takes in.
+def deltas(records: DataFrame, runs: DataFrame, by: str, time: str, position: str, content: list[str | Column]) -> DataFrame:
+    """(run_id, position): the records that each successful run takes in.
+
+    ``runs``: (by, run_id, started_at, ok), a row per run; several rows of one run are ok if one is. Records of
+    no successful run, and those with a null ``by`` or ``time``, are taken in by none; so are records of which
+    an equal one (by ``content``, null equals null) came before. Rows with one position are one record (the
+    one that sorts first). Empty tables give none. Columns that aren't named don't matter.
 
-    Records of no version, and those with a null ``by`` or ``time``, are taken in by none. Rows with one
-    position are one record (the one that sorts first). Empty tables give none. Columns that aren't named
-    don't matter.
+    Every run, failed ones too, sees the version of the table that holds at its start. A version adds the
+    file of the records that came since the run of the same ``by`` before it, with a deletion vector of the
+    repeated ones. A run takes in the difference between the manifests of its version and of the one that the
+    last successful run has processed. The output of all runs is one commit, with the version that each value
+    of ``by`` is processed up to. Both tables live in the shared checkpoint folder. Runs and manifests are metadata and are
+    handled on the driver; records aren't.
     """
+    spark = records.sparkSession
     parts = {f"c{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(content)}
     needed = F.struct(F.col(by).alias("by"), F.col(time).alias("time"), *(c.alias(n) for n, c in parts.items())).alias("r")
-    records = records.where(F.col(by).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(position).alias("position")).agg(F.min(needed).alias("r")).select("position", "r.*")
-    versions = versions.select(F.col(by).alias("by"), "run_id", "started_at")
-    return _deltas(records, versions, list(parts)).select("run_id", F.col("position").alias(position))
-
-
-def _deltas(records: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:
-    """deltas() over columns position, by, time and content."""
-    by, time, position = "by", "time", "position"
-    filed = next_version(records, versions, by, time).where("run_id is not null")
-    # manifest log: the file that a version adds; deletion vectors: 64 positions a row
-    log = filed.select("run_id").distinct().withColumn("added", F.col("run_id"))
-    word, bit = F.floor(F.col(position) / 64).cast("bigint"), F.pmod(F.col(position), F.lit(64)).cast("int")
-    vectors = repeats(records, content, [time, position], position).select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(position, 64) as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("gone"))
-    files = filed.select(F.col("run_id").alias("added"), position, word.alias("word"), bit.alias("bit"))
-    delta = files.join(log, "added").join(vectors, "word", "left")
-    return delta.where(F.coalesce(F.expr("shiftrightunsigned(gone, bit) & 1L"), F.lit(0)) == 0).select("run_id", position)
+    known = records.where(F.col(by).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(position).alias("position")).agg(F.min(needed).alias("r")).select("position", "r.*")
+    seen = runs.where(F.col(by).isNotNull() & F.col("started_at").isNotNull() & F.col("run_id").isNotNull())
+    seen = seen.groupBy(F.col(by).alias("by"), F.col("run_id").cast("bigint").alias("run_id"), "started_at").agg(F.max("ok").alias("ok")).orderBy("started_at", "run_id", "by").collect()
+
+    number = spark.createDataFrame([(r["by"], i, r["started_at"]) for i, r in enumerate(seen)], f"by {records.schema[by].dataType.simpleString()}, run_id bigint, started_at {runs.schema['started_at'].dataType.simpleString()}")
+    filed = cut(next_version(known, number, "by", "time").where("run_id is not null").withColumnRenamed("run_id", "v"))
+    again = repeats(known, list(parts), ["time", "position"], "position")
+    folder = f"{ensure_checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    source, sink = ManifestTable(spark, f"{folder}/source", "position"), ManifestTable(spark, f"{folder}/taken", "position")
+    source.append_versions(filed.select("v", "position"), [{"scope": str(r["by"])} for r in seen], "v", filed.join(again, "position", "left_semi"))
+
+    spans, done = [], {}
+    for i, r in enumerate(seen):
+        if r["ok"]:
+            spans.append((r["run_id"], done.get(str(r["by"]), 0), i + 1, str(r["by"])))
+            done[str(r["by"])] = i + 1
+    delta = source.deltas(spans, "run_id")
+    if delta is None:
+        return known.where("false").select(F.lit(0).cast("bigint").alias("run_id"), F.col("position").alias(position))
+    sink.append(delta.select("run_id", "position"), processed=done)
+    return sink.read().select("run_id", F.col("position").alias(position))

@@ -92,30 +92,71 @@ def ranked(results: DataFrame, n: int | None = None) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
+def recent_feed(symbols: DataFrame) -> DataFrame:
+    """What a search feeds to recent_additions(): symbols, and the methods among their members, with ``created``.
+
+    A member without a created version of its own doesn't count; members need a field ``created`` for that.
+    """
+    cols = ["bundle", "strand", "category", "name", F.lit(None).cast("string").alias("member"), "created"]
+    methods = symbols.select("bundle", "strand", "category", "name", F.explode(F.filter("members", lambda m: m["kind"] == "method")).alias("m"))
+    return symbols.select(*cols).unionByName(methods.select("bundle", "strand", "category", "name", F.col("m.name").alias("member"), F.col("m.created").alias("created")))
+
+
 def recent_additions(symbols: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` symbols with the highest created.count, in falling order; of ties those emitted first (category, bundle, strand, name).
+    """The ``n`` symbols with the highest created.count, in falling order; of ties those emitted first (category, bundle, strand, name, member).
 
-    Symbols without a created version don't count.
+    Symbols without a created version don't count. ``symbols`` holds what exists now: what was deleted last
+    has to be left out before.
     """
     order = _by(F.col("category"), {c: i for i, c in enumerate(CATEGORIES)}, len(CATEGORIES))
-    return symbols.where("created.count is not null").orderBy(F.desc("created.count"), order, "bundle", "strand", "name").limit(n)
+    member = ["member"] if "member" in symbols.columns else []
+    return symbols.where("created.count is not null").orderBy(F.desc("created.count"), order, "bundle", "strand", "name", *member).limit(n)
 
 
-def lookup(symbols: DataFrame, paths: DataFrame) -> DataFrame:
-    """Symbols and members that paths name: ``paths`` has a column path (ARRAY<STRING>), of which three parts count.
+class Recents:
+    """Recent additions that are fed batch by batch, until they are frozen; clearing them thaws them.
+
+    At most ``n`` rows are held, so they live on the driver.
+    """
+
+    def __init__(self, n: int = 20) -> None:
+        self.n, self.frozen, self.held = n, False, None
+
+    def feed(self, symbols: DataFrame) -> None:
+        if self.frozen:
+            return
+        spark = symbols.sparkSession
+        known = [] if self.held is None else self.held
+        both = symbols if not known else symbols.unionByName(spark.createDataFrame(known, symbols.schema))
+        self.held = recent_additions(both, self.n).collect()
 
-    Part one is the strand, part two identifier.name, part three identifier.name of a method or property of
-    a method map or enum struct; an unknown identifier means typedefs, or properties. Parts are cut at
-    every dot, and only two pieces count. Adds found_category, found_name and found_member; paths that lead
-    nowhere have nulls. A shuffle join on (strand, category, name); members are looked up within the row.
+    def freeze(self, frozen: bool = True) -> None:
+        """Stops feeding; ``frozen`` False clears what is held and starts again."""
+        self.frozen = frozen
+        if not frozen:
+            self.held = None
+
+
+def lookup(symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """Symbols and members that paths name: ``paths`` has columns bundle and path (ARRAY<STRING>), of which three parts count.
+
+    Part one is the strand. Of the two after it those without a dot are passed over, unless they are just
+    ``entry`` or ``enumeration_entry``; the first one left is identifier.name, the next identifier.name of a
+    method, field or property of a method map or enum struct. An unknown identifier means typedefs, or
+    properties. Parts are cut at every dot, and only two pieces count. Adds found_category, found_name and
+    found_member; paths that lead nowhere, and null ones, have nulls. A shuffle join on (bundle, strand,
+    category, name); members are looked up within the row.
     """
-    piece = lambda i, j: F.get(F.split(F.get("path", i), "[.]"), j)
-    wanted = paths.withColumn("__strand", F.get("path", 0)).withColumn("__name", piece(1, 1)).withColumn("__category", _by(piece(1, 0), {v: k for k, v in IDENTIFIER.items()}, "typedefs"))
-    kind = _by(piece(2, 0), {"methodmap_method": "method", "enumstruct_method": "method", "function": "method", "enumstruct_field": "field", "field": "field"}, "property")
-    wanted = wanted.withColumn("__member", piece(2, 1)).withColumn("__kind", kind)
+    named = F.filter(F.slice("path", 2, 2), lambda p: F.contains(p, F.lit(".")) | p.isin("entry", "enumeration_entry"))
+    wanted = paths.withColumn("__strand", F.get("path", 0)).withColumn("__rest", named)
+    piece = lambda i, j: F.get(F.split(F.get("__rest", i), "[.]"), j)
+    wanted = wanted.withColumn("__name", piece(0, 1)).withColumn("__category", _by(piece(0, 0), {v: k for k, v in IDENTIFIER.items()}, "typedefs"))
+    kind = _by(piece(1, 0), {"methodmap_method": "method", "function": "method", "enumstruct_field": "field", "field": "field"}, "property")
+    wanted = wanted.withColumn("__member", piece(1, 1)).withColumn("__kind", kind)
     pairs = F.transform("members", lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("name")))
-    known = symbols.groupBy(F.col("strand").alias("__strand"), F.col("category").alias("__category"), F.col("name").alias("__name")).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce(pairs, F.array().cast("array<struct<kind:string,name:string>>"))))).alias("__members"))
-    joined = wanted.join(known, ["__strand", "__category", "__name"], "left")
+    keys = {"__strand": "strand", "__category": "category", "__name": "name"}
+    known = symbols.groupBy("bundle", *(F.col(c).alias(k) for k, c in keys.items())).agg(F.max(F.coalesce(pairs, F.array().cast("array<struct<kind:string,name:string>>"))).alias("__members"))
+    joined = wanted.join(known, ["bundle", *keys], "left")
     asked = F.col("__category").isin("methodmaps", "enumstructs") & F.col("__member").isNotNull()
     hit = F.array_contains("__members", F.struct(F.col("__kind").alias("kind"), F.col("__member").alias("name")))
     there = F.col("__members").isNotNull()
@@ -128,20 +169,22 @@ def empty_strands(strands: DataFrame, symbols: DataFrame) -> DataFrame:
     return strands.select("bundle", "strand").distinct().join(counts, ["bundle", "strand"], "left").select("bundle", "strand", F.col("n").isNull().alias("is_empty"))
 
 
-def sitemap(symbols: DataFrame, base_url: str, fix_labels: bool = False) -> DataFrame:
-    """(loc, changefreq): a page for each strand and each symbol and member, but for defines and enum entries.
+def sitemap(symbols: DataFrame, base_url: str, fix_labels: bool = False, strands: DataFrame | None = None) -> DataFrame:
+    """(loc, changefreq): a page for each strand and symbol, and below its owner's page for each method, property and field.
 
-    Enum structs are labelled as method maps, unless ``fix_labels``.
+    Defines and enum entries have none. Enum structs are labelled as method maps, unless ``fix_labels``.
+    ``strands`` (a column strand) adds strands that have no symbols. Null names have no page.
     """
     labels = DISPLAY | ({} if fix_labels else {"enumstructs": "methodmap"})
     label = _by(F.col("category"), labels, None)
     page = lambda sub: F.concat(F.lit(base_url + "/"), F.col("strand"), F.lit("/"), sub)
-    own = F.array(element(label, F.col("name")))
-    inner = F.transform(F.filter("members", lambda m: m["kind"].isin("method", "property", "field")), lambda m: element(F.when(m["kind"] == "method", F.lit("function")).otherwise(m["kind"]), m["name"]))
-    subs = F.when(F.col("category") == "enums", own).otherwise(F.concat(own, F.coalesce(inner, F.array().cast("array<string>"))))
+    own = element(label, F.col("name"))
+    shown = F.filter("members", lambda m: m["kind"].isin("method", "property", "field"))
+    inner = F.transform(shown, lambda m: F.concat(own, F.lit("/"), element(F.when(m["kind"] == "method", F.lit("function")).otherwise(m["kind"]), m["name"])))
+    subs = F.when(F.col("category").isin("methodmaps", "enumstructs"), F.concat(F.array(own), F.coalesce(inner, F.array().cast("array<string>")))).otherwise(F.array(own))
     pages = symbols.where(F.col("category").isin([c for c in CATEGORIES if c != "defines"])).select("strand", F.explode(subs).alias("sub"))
-    roots = symbols.where("strand is not null").select("strand").distinct()
-    every = roots.select(page(F.lit("")).alias("loc")).unionByName(pages.select(page(F.col("sub")).alias("loc")).where("loc is not null"))
+    roots = symbols.select("strand") if strands is None else symbols.select("strand").unionByName(strands.select("strand"))
+    every = roots.where("strand is not null").distinct().select(page(F.lit("")).alias("loc")).unionByName(pages.select(page(F.col("sub")).alias("loc")).where("loc is not null"))
     return every.withColumn("changefreq", F.lit("monthly"))
 
 

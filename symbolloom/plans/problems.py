@@ -46,7 +46,7 @@ def p4_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "runs").where(F.lower("status") == "ok").select("bundle", "run_id", "started_at").distinct()
+    runs = table(spark, sf, "runs").select("bundle", "run_id", "started_at", F.coalesce(F.lower("status") == "ok", F.lit(False)).alias("ok"))
     content = ["bundle", "strand", F.col("version.hash"), "content_sha"]
     return incremental.deltas(table(spark, sf, "deliveries"), runs, "bundle", "delivered_at", "delivery_id", content)
 

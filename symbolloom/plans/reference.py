@@ -17,6 +17,7 @@ from symbolloom.sources import bundles
 
 NEEDLES = ["almond antique", "BLUSH", "chiffon burnish", "light", "", "x", "steel  blue"]
 NEEDLE = "Hook"
+DOCUMENT_NEEDLE = "index"
 PATTERNS = ["*.inc", "scripting/*.sp"]
 BASE_URL = "https://docs.example.org/#"
 
@@ -41,6 +42,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select("bundle", "name", "identifier", "part", F.array_join("path", "/").alias("path"), F.round("score", 9).alias("score"))
 
 
+def _document_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of all categories of the typed documents, in the shape that search takes; the file is the bundle."""
+    typed = bundles.parse_bundles(table(spark, sf, "bundle_files").select(F.col("file_id").cast("string").alias("file"), "body"))
+    return bundles.search_symbols(typed, "file").withColumnRenamed("file", "bundle")
+
+
 def score_names(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     rows = names.select("name", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
@@ -51,6 +58,11 @@ def search_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.search(_symbols(spark, sf), NEEDLE))
 
 
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The search over documents, where symbols of all categories and methods with arguments occur."""
+    return _flat(search.search(_document_symbols(spark, sf), DOCUMENT_NEEDLE))
+
+
 def search_l1only(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.search(_symbols(spark, sf), NEEDLE, weighted=False, l1_only=True))
 
@@ -60,17 +72,29 @@ def search_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recent_additions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "symbol_updates").where("not is_deleted")
-    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by("created", F.struct("last_updated.count", "received_at", "update_id")).alias("created"))
+    """Symbols that exist after their last update: a deletion is an update like any other."""
+    rows = table(spark, sf, "symbol_updates")
+    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by(F.struct("created", "is_deleted"), F.struct("last_updated.count", "received_at", "update_id")).alias("r"))
+    held = held.where(~F.coalesce("r.is_deleted", F.lit(False))).select("bundle", "strand", "category", "name", "r.created")
     return search.recent_additions(held).select("bundle", "strand", "category", "name", F.col("created.count").alias("created_count"))
 
 
+def recent_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Recent additions of the merged snapshots, fed by symbols and by methods, whose stamp is their parent's."""
+    merged = merge.merge(_held(spark, sf))
+    members = F.transform("payload.members", lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("name"), F.col("last_updated").alias("created")))
+    feed = search.recent_feed(merged.select(*merge.KEY, "created", F.array_distinct(members).alias("members")))
+    return search.recent_additions(feed).select(*merge.KEY, "member", F.col("created.count").alias("created_count"))
+
+
 def path_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of a search result, as it is, normalised, and with a part without a dot in between, looked up in its own bundle."""
     symbols = _symbols(spark, sf)
-    asked = search.result_rows(symbols).select("path").distinct()
-    normal = asked.select(paths.normalize_path(F.col("path")).alias("path"))
-    found = search.lookup(symbols, asked.unionByName(normal).distinct())
-    return found.select(F.array_join("path", "/").alias("path"), "found_category", "found_name", "found_member")
+    asked = search.result_rows(symbols).select("bundle", "path").distinct()
+    normal = asked.select("bundle", paths.normalize_path(F.col("path")).alias("path"))
+    plain = asked.select("bundle", F.concat(F.slice("path", 1, 1), F.array(F.lit("plain")), F.slice("path", 2, 9)).alias("path"))
+    found = search.lookup(symbols, asked.unionByName(normal).unionByName(plain).distinct())
+    return found.select("bundle", F.array_join("path", "/").alias("path"), "found_category", "found_name", "found_member")
 
 
 def path_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,10 +144,14 @@ def merge_resume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def key_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """New, deleted and changed keys of every snapshot against the strand's snapshot before it."""
     rows = _held(spark, sf)
-    ends = rows.groupBy("bundle", "strand").agg(F.min("rev").alias("a"), F.max("rev").alias("b"))
-    rows = rows.join(ends, ["bundle", "strand"])
-    return merge.key_diff(rows.where("rev = a"), rows.where("rev = b"), merge.KEY, "h")
+    strand = Window.partitionBy(*merge.STRAND).orderBy("rev")
+    revs = rows.select(*merge.STRAND, "rev").distinct()
+    revs = revs.select(*merge.STRAND, "rev", F.lag("rev").over(strand).alias("prev"), F.lead("rev").over(strand).alias("next"))
+    rows = rows.join(revs, [*merge.STRAND, "rev"])
+    old = rows.where("next is not null").withColumn("rev", F.col("next"))
+    return merge.key_diff(old, rows.where("prev is not null"), [*merge.KEY, "rev"], "h")
 
 
 def retain_strands(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,16 +160,27 @@ def retain_strands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Even rows of the index are known, with another description; odd ones are new; a third doesn't come in."""
+    """The whole index comes in; known before were all its rows, some under another name, some with another description."""
     rows = table(spark, sf, "bundle_index")
     n = F.length("name")
-    prior = rows.where(n % 2 == 0).withColumn("meta", F.when(n % 4 == 0, F.struct(F.col("meta.name").alias("name"), F.lit("old").alias("description"), F.col("meta.author").alias("author"))).otherwise(F.col("meta")))
-    out = catalogue.upsert(prior, rows.where(n % 3 != 0).withColumn("file_stem", F.concat("file_stem", F.lit("2"))))
+    prior = rows.withColumn("meta", F.when(n % 4 == 0, F.struct(F.col("meta.name").alias("name"), F.lit("old").alias("description"), F.col("meta.author").alias("author"))).otherwise(F.col("meta")))
+    prior = prior.withColumn("name", F.when(n % 3 == 0, F.concat("name", F.lit("_gone"))).otherwise(F.col("name")))
+    out = catalogue.upsert(prior, rows.withColumn("file_stem", F.concat("file_stem", F.lit("2"))))
     return out.select("name", F.col("meta.description").alias("description"), "file_stem", "status")
 
 
 def source_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.invalid_sources(table(spark, sf, "bundle_index"))
+    """The index, and each of its rows again with an unknown type, without type, repository and patterns."""
+    rows = table(spark, sf, "bundle_index")
+    none = F.lit(None).cast("string")
+    damage = {"odd": {"type": F.lit("svn")}, "untyped": {"type": none}, "git": {"type": F.lit("git"), "repository": none}, "bare": {"type": F.lit("git"), "patterns": F.lit(None).cast("array<string>")}, "direct": {"type": F.lit("direct"), "repository": none}}
+    out = rows.select("name", "source")
+    for label, fields in damage.items():
+        source = F.col("source")
+        for f, v in fields.items():
+            source = source.withField(f, v)
+        out = out.unionByName(rows.select(F.concat("name", F.lit("/" + label)).alias("name"), source.alias("source")))
+    return catalogue.invalid_sources(out)
 
 
 def keyby_last_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,19 +189,14 @@ def keyby_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def comment_attach(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as declarations on every second line; comments are lines that end one or two later."""
+    """Order lines as declarations on every second line, each with a comment that ends before it, on it, or starts on it."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("bigint").alias("n"), "l_partkey", "l_suppkey")
     decls = rows.select("file", (F.col("n") * 2).alias("line"), "l_partkey")
-    comments = rows.select("file", (F.col("n") * 2 - F.col("l_suppkey") % 3).alias("start_line"), (F.col("n") * 2 + 1).alias("end_line"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end")).where("l_suppkey % 2 = 0")
+    begin = F.col("n") * 2 - F.col("l_suppkey") % 3
+    comments = rows.select("file", begin.alias("start_line"), F.greatest(begin, F.col("n") * 2 - 1 + F.col("l_suppkey") % 2).alias("end_line"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("end"))
     return search.attach_comments(decls, comments).select("file", "line", "l_partkey", "doc_start", "doc_end")
 
 
-def doc_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """A prefix of each text between two byte positions, where both fall on characters; ``text_slices`` has whole texts."""
-    rows = table(spark, sf, "documents").select("doc_id", F.encode(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), "utf-8").alias("b"))
-    return rows.select("doc_id", docs.doc_slice(F.col("b"), F.col("doc_id") % 3, F.lit(40)).alias("piece"))
-
-
 def text_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Each text's bytes from the second on, cut at eighths of its byte length; null where a cut splits a character.
 
@@ -204,13 +238,6 @@ def bundle_versions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("bundle").agg(F.max_by(F.col("version").cast(VERSION), "version.count").alias("v")).select("bundle", F.col("v.hash").alias("hash"), F.col("v.count").alias("count"))
 
 
-def bundle_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Functions of the typed documents, read by schema; ``bundle_symbols`` has all categories."""
-    typed = bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body")).where("bundle.strands is not null")
-    rows = typed.select("file_id", F.explode("bundle.strands").alias("strand", "s")).select("file_id", "strand", F.explode("s.functions").alias("name", "f"))
-    return rows.select("file_id", "strand", "name", "f.kind", F.col("f.returnType").alias("return_type"))
-
-
 def bundle_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols of all categories of the typed documents, and their members."""
     return bundles.document_symbols(bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body")), "file_id")
@@ -220,12 +247,6 @@ def symbol_documents(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.symbols_document(_symbols(spark, sf))
 
 
-def page_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles of pages made of the documents' first lines; ``page_texts`` has whole texts."""
-    page = F.concat(F.lit("<html><head><TITLE> "), F.regexp_extract("text", "^([^\\n<]*)", 1), F.lit("</TITLE></head></html>"))
-    return table(spark, sf, "documents").select("doc_id", docs.page_title(page).alias("title"))
-
-
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of pages that hold the whole text, without its angle brackets, as title and again as body."""
     text = F.translate("text", "<>", "")
@@ -235,8 +256,8 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
-    merge_diff_count, merge_resume, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, doc_slices, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
-    generate_history, bundle_versions, bundle_documents, bundle_symbols, symbol_documents, page_titles, page_texts,
+    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
+    generate_history, bundle_versions, bundle_symbols, symbol_documents, page_texts,
 )
 
 
@@ -267,13 +288,13 @@ _ROWS = f"""{_SYMBOLS},
         select bundle, strand, category, name, case category when 'functions' then 'function' when 'methodmaps' then 'methodmap' else 'enumeration' end as id,
                case category when 'methodmaps' then 0.05 when 'functions' then 0.02 else 0.03 end::double as w, return_type, arguments, members from symbols),
     result as (
-        select bundle, name, id as identifier, 0 as part, strand || '/' || id || '.' || name as path, name as sought, case when category = 'functions' then 0.0 else 0.01 end::double as bonus, w, 1 as l1 from found
-        union all select bundle, a.type, id, 1, strand || '/' || id || '.' || name || '/argument.' || a.name, a.type, 0.0, w, 1 from (select *, unnest(arguments) as a from found where category = 'functions')
-        union all select bundle, return_type, id, 2, strand || '/' || id || '.' || name || '/return.' || return_type, return_type, 0.0, w, 1 from found where category = 'functions' and return_type is not null
-        union all select bundle, m.name, mid, 0, strand || '/' || id || '.' || name || '/' || mid || '.' || m.name, m.name, 0.0, w, 0 from (
+        select bundle, strand, name, id as identifier, 0 as part, strand || '/' || id || '.' || name as path, name as sought, case when category = 'functions' then 0.0 else 0.01 end::double as bonus, w, 1 as l1 from found
+        union all select bundle, strand, a.type, id, 1, strand || '/' || id || '.' || name || '/argument.' || a.name, a.type, 0.0, w, 1 from (select *, unnest(arguments) as a from found where category = 'functions')
+        union all select bundle, strand, return_type, id, 2, strand || '/' || id || '.' || name || '/return.' || return_type, return_type, 0.0, w, 1 from found where category = 'functions' and return_type is not null
+        union all select bundle, strand, m.name, mid, 0, strand || '/' || id || '.' || name || '/' || mid || '.' || m.name, m.name, 0.0, w, 0 from (
             select *, case when category = 'enums' and m.kind = 'entry' then 'enumeration_entry' when category = 'methodmaps' and m.kind = 'method' then 'methodmap_method' when category = 'methodmaps' and m.kind = 'property' then 'methodmap_property' end as mid
             from (select *, unnest(members) as m from found)) where mid is not null
-        union all select bundle, m.detail, 'methodmap_method', 2, strand || '/' || id || '.' || name || '/methodmap_method.' || m.name || '/return.' || m.detail, m.detail, 0.0, w, 0 from (select *, unnest(members) as m from found where category = 'methodmaps') where m.kind = 'method' and m.detail is not null)"""
+        union all select bundle, strand, m.detail, 'methodmap_method', 2, strand || '/' || id || '.' || name || '/methodmap_method.' || m.name || '/return.' || m.detail, m.detail, 0.0, w, 0 from (select *, unnest(members) as m from found where category = 'methodmaps') where m.kind = 'method' and m.detail is not null)"""
 
 _HELD = """
     held as (
@@ -298,6 +319,9 @@ _NORMAL = "case {} when 'enumeration_entry' then 'entry' when 'methodmap_method'
 _NORMAL_PATH = "list_transform(string_split(path, '/'), lambda p: case when contains(p, '.') then " + _NORMAL.format("string_split(p, '.')[1]", "string_split(p, '.')[1]") + " || '.' || string_split(p, '.')[2] else p end)"
 
 
+_CATEGORIES_SQL = "('functions', 'function', 0.02, 0.0), ('methodmaps', 'methodmap', 0.05, 0.01), ('enumstructs', 'enumstruct', 0.05, 0.01), ('constants', 'constant', 0.0, 0.0), ('defines', 'define', 0.0, 0.0), ('enums', 'enumeration', 0.03, 0.01), ('typesets', 'typeset', 0.03, 0.0), ('typedefs', 'typedef', 0.03, 0.0)"
+
+
 def oracle_sql() -> dict[str, str]:
     needles = ", ".join(f"'{n}'" for n in NEEDLES)
     score = _score("sought", f"'{NEEDLE}'")
@@ -307,24 +331,46 @@ def oracle_sql() -> dict[str, str]:
         "search_l1only": f"with {_ROWS} select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {score} + bonus as v from result where l1 = 1) where v > 0.5",
         "search_top": f"with {_ROWS} select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {score} + bonus + w as v from result qualify row_number() over (partition by bundle, path, part, name) = 1) where v > 0.5 order by v desc, bundle, path, part, name limit 20",
         "recent_additions": """
-            with held as (select * from symbol_updates where not is_deleted qualify row_number() over (partition by bundle, strand, category, name order by last_updated.count desc nulls last, received_at desc, update_id desc) = 1)
-            select bundle, strand, category, name, created.count as created_count from held where created.count is not null
+            with held as (select * from symbol_updates qualify row_number() over (partition by bundle, strand, category, name order by last_updated.count desc nulls last, received_at desc, update_id desc) = 1)
+            select bundle, strand, category, name, created.count as created_count from held where created.count is not null and is_deleted is not true
             order by created.count desc, list_position(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs'], category), bundle, strand, name limit 20""",
+        "recent_members": f"""
+            with {_HELD}, feed as (
+                select bundle, strand, category, name, null as member, created as created_count from merged
+                union all select distinct bundle, strand, category, name, m.name, last_updated from (select *, unnest(members) as m from merged) where m.kind = 'method')
+            select * from feed order by created_count desc, list_position(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs'], category), bundle, strand, name, member nulls first limit 20""",
         "path_normalize": f"with {_ROWS} select distinct path, array_to_string({_NORMAL_PATH}, '/') as normal, string_split(regexp_extract(path, '/((?:function|methodmap|enumeration)\\..*)$', 1), '.')[1] as identifier from result",
         "path_lookup": f"""
-            with {_ROWS}, asked as (select distinct strand, rest from (select strand, substr(path, length(strand) + 2) as rest from (select r.path, s.strand from result r join (select distinct strand from symbols) s on starts_with(r.path, s.strand || '/')))),
-            every as (select strand, rest from asked union select strand, array_to_string(list_transform(string_split(rest, '/'), lambda p: case when contains(p, '.') then {_NORMAL.format("string_split(p, '.')[1]", "string_split(p, '.')[1]")} || '.' || string_split(p, '.')[2] else p end), '/') from asked),
-            parts as (select *, string_split(string_split(rest, '/')[1], '.') as a, string_split(string_split(rest, '/')[2], '.') as b from every),
+            with {_ROWS}, asked as (select distinct bundle, strand, substr(path, length(strand) + 2) as rest from result),
+            every as (select bundle, strand, rest from asked union select bundle, strand, array_to_string(list_transform(string_split(rest, '/'), lambda p: case when contains(p, '.') then {_NORMAL.format("string_split(p, '.')[1]", "string_split(p, '.')[1]")} || '.' || string_split(p, '.')[2] else p end), '/') from asked
+                      union select bundle, strand, 'plain/' || rest from asked),
+            kept as (select *, list_filter(string_split(rest, '/')[1:2], lambda p: contains(p, '.')) as ps from every),
+            parts as (select *, string_split(ps[1], '.') as a, string_split(ps[2], '.') as b from kept),
             want as (select *, case a[1] when 'function' then 'functions' when 'methodmap' then 'methodmaps' when 'enumeration' then 'enums' else 'typedefs' end as category, a[2] as name, b[2] as m,
-                     case when b[1] in ('methodmap_method', 'enumstruct_method', 'function') then 'method' when b[1] in ('enumstruct_field', 'field') then 'field' else 'property' end as k from parts),
-            known as (select strand, category, name, flatten(list(coalesce(list_transform(members, lambda x: x.kind || ':' || x.name), []))) as ms from symbols group by all)
-            select w.strand || '/' || w.rest as path, k.category as found_category, k.name as found_name, case when w.category = 'methodmaps' and list_contains(k.ms, w.k || ':' || w.m) then w.m end as found_member
-            from want w left join known k on k.strand = w.strand and k.category = w.category and k.name = w.name""",
-        "bundle_documents": """
-            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
-            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '".functions') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
-            fs as (select file_id, strand, k as name, json_extract(j, '$."' || k || '"') as f from (select *, unnest(json_keys(j)) as k from strands where json_type(j) = 'OBJECT'))
-            select file_id, strand, name, f->>'kind' as kind, f->>'returnType' as return_type from fs""",
+                     case when b[1] in ('methodmap_method', 'function') then 'method' when b[1] in ('enumstruct_field', 'field') then 'field' else 'property' end as k from parts)
+            select w.bundle, w.strand || '/' || w.rest as path, k.category as found_category, k.name as found_name, case when w.category = 'methodmaps' and list_contains(list_transform(k.members, lambda x: x.kind || ':' || x.name), w.k || ':' || w.m) then w.m end as found_member
+            from want w left join symbols k on k.bundle = w.bundle and k.strand = w.strand and k.category = w.category and k.name = w.name""",
+        "search_documents": f"""
+            with docs as (select file_id::varchar as bundle, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select bundle, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select bundle, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            cats as (select bundle, strand, c as category, i as id, x.w, x.o, json_extract(j, '$.' || c) as j from strands, (values {_CATEGORIES_SQL}) x(c, i, w, o)),
+            syms as (select bundle, strand, category, id, w, o, k as name, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from cats where json_type(j) = 'OBJECT')),
+            top as (select *, strand || '/' || id || '.' || name as path, case when category = 'functions' then v when category = 'typedefs' then json_extract(v, '$.parsedSignature') end as sig from syms),
+            mems as (select t.*, f, k as m, json_extract(j, '$."' || k || '"') as mv from (
+                select t.*, f, json_extract(v, '$.' || f) as j, unnest(json_keys(v, '$.' || f)) as k from top t, (values ('methodmaps', 'methods'), ('methodmaps', 'properties'), ('enumstructs', 'methods'), ('enumstructs', 'fields'), ('enums', 'entries'), ('typesets', 'types')) z(c, f)
+                where c = category and json_type(v, '$.' || f) = 'OBJECT') t),
+            named as (select *, case when f = 'entries' then 'enumeration_entry' when f = 'types' then null when category = 'methodmaps' then case f when 'methods' then 'methodmap_method' else 'methodmap_property' end else case f when 'methods' then 'enumstruct_method' else 'enumstruct_field' end end as mid from mems),
+            called as (
+                select bundle, w, path, case when category = 'functions' then 'function' else 'argument' end as aid, case when category = 'functions' then 'function' else 'return' end as rid, false as shows_name, path as rpath, sig from top where sig is not null
+                union all select bundle, w, path || '/' || mid || '.' || m, mid, mid, false, path || '/' || mid || '.' || m, mv from named where f = 'methods'
+                union all select bundle, w, path || '/entry.' || m, 'argument', 'return', true, path, json_extract(mv, '$.parsedSignature') from named where f = 'types'),
+            args as (select *, unnest(from_json(json_extract(sig, '$.arguments'), '["json"]')) as a from called where json_type(sig, '$.arguments') = 'ARRAY'),
+            result as (
+                select bundle, name, id as identifier, 0 as part, path, name as sought, o as bonus, w from top
+                union all select bundle, m, mid, 0, path || '/' || mid || '.' || m, m, 0.0, w from named where mid is not null
+                union all select bundle, case when shows_name then a->>'name' else a->>'type' end, aid, 1, path || '/argument.' || (a->>'name'), a->>'type', 0.0, w from args
+                union all select bundle, sig->>'returnType', rid, 2, rpath || '/return.' || (sig->>'returnType'), sig->>'returnType', 0.0, w from called where sig->>'returnType' is not null)
+            select bundle, name, identifier, part, path, round(v, 9) as score from (select *, {_score("sought", f"'{DOCUMENT_NEEDLE}'")} + bonus + w as v from result) where v > 0.5""",
         "bundle_symbols": """
             with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
             strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
@@ -353,28 +399,33 @@ def oracle_sql() -> dict[str, str]:
         "merge_diff_count": f"with {_HELD} select (select count(*) from (select distinct bundle, strand from held)) + (select count(*) from marks where is_upd) as diffs",
         "merge_resume": f"with {_HELD} select bundle, strand, category, name, created, last_updated, ref_line from merged",
         "key_diff": f"""
-            with {_HELD}, ends as (select bundle, strand, min(rev) as a, max(rev) as b from held group by all),
-            o as (select h.* from held h join ends e on e.bundle = h.bundle and e.strand = h.strand and h.rev = e.a), n as (select h.* from held h join ends e on e.bundle = h.bundle and e.strand = h.strand and h.rev = e.b)
-            select coalesce(n.bundle, o.bundle) as bundle, coalesce(n.strand, o.strand) as strand, coalesce(n.category, o.category) as category, coalesce(n.name, o.name) as name,
+            with {_HELD}, near as (select *, lag(rev) over w as prev, lead(rev) over w as next from (select distinct bundle, strand, rev from held) window w as (partition by bundle, strand order by rev)),
+            n as (select h.*, r.prev from held h join near r using (bundle, strand, rev) where r.prev is not null),
+            o as (select h.* exclude (rev), r.next as rev from held h join near r using (bundle, strand, rev) where r.next is not null)
+            select coalesce(n.bundle, o.bundle) as bundle, coalesce(n.strand, o.strand) as strand, coalesce(n.category, o.category) as category, coalesce(n.name, o.name) as name, coalesce(n.rev, o.rev) as rev,
                    case when o.bundle is null then 'new' when n.bundle is null then 'deleted' else 'changed' end as change
-            from o full join n on o.bundle = n.bundle and o.strand = n.strand and o.category = n.category and o.name = n.name where o.bundle is null or n.bundle is null or o.s is distinct from n.s""",
+            from o full join n on o.bundle = n.bundle and o.strand = n.strand and o.rev = n.rev and o.category is not distinct from n.category and o.name is not distinct from n.name where o.bundle is null or n.bundle is null or o.s is distinct from n.s""",
         "retain_strands": "select distinct bundle, strand, category, name from symbol_updates u where exists (select 1 from deliveries d where d.bundle = u.bundle and d.strand = u.strand)",
         "index_upsert": """
-            with p as (select name, case when length(name) % 4 = 0 then 'old' else meta.description end as d, file_stem as f from bundle_index where length(name) % 2 = 0),
-            i as (select name, meta.description as d, file_stem || '2' as f from bundle_index where length(name) % 3 <> 0)
+            with p as (select case when length(name) % 3 = 0 then name || '_gone' else name end as name, case when length(name) % 4 = 0 then 'old' else meta.description end as d, file_stem as f from bundle_index),
+            i as (select name, meta.description as d, file_stem || '2' as f from bundle_index)
             select coalesce(p.name, i.name) as name, case when p.name is null or (i.name is not null and p.d is distinct from i.d) then i.d else p.d end as description,
                    case when p.name is null or (i.name is not null and p.d is distinct from i.d) then i.f else p.f end as file_stem,
                    case when p.name is null then 'new' when i.name is null or p.d is not distinct from i.d then 'kept' else 'changed' end as status
             from p full join i on p.name = i.name""",
-        "source_checks": "select name, problem from (select name, case when source.type is null or source.type not in ('git', 'direct') then 'type' when source.type = 'git' and source.repository is null then 'repository' when source.type = 'git' and source.patterns is null then 'patterns' end as problem from bundle_index) where problem is not null",
+        "source_checks": """
+            with s as (select name, source.type as t, source.repository as r, source.patterns as p from bundle_index),
+            every as (select * from s union all select name || '/odd', 'svn', r, p from s union all select name || '/untyped', null, r, p from s union all select name || '/git', 'git', null, p from s
+                      union all select name || '/bare', 'git', r, null from s union all select name || '/direct', 'direct', null, p from s)
+            select name, case when t is null or t not in ('git', 'direct') then 'type' when r is null then 'repository' else 'patterns' end as problem
+            from every where t is null or t not in ('git', 'direct') or (t = 'git' and (r is null or p is null))""",
         "keyby_last_wins": "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
         "comment_attach": """
             with r as (select l_orderkey as file, l_linenumber::bigint as n, l_partkey, l_suppkey from lineitem),
-            c as (select file, n * 2 - l_suppkey % 3 as a, n * 2 + 1 as b, l_partkey as s, l_partkey + l_suppkey as e from r where l_suppkey % 2 = 0),
+            c as (select file, n * 2 - l_suppkey % 3 as a, greatest(n * 2 - l_suppkey % 3, n * 2 - 1 + l_suppkey % 2) as b, l_partkey as s, l_partkey + l_suppkey as e from r),
             lead_ as (select file, b + 1 as line, min(struct_pack(s := s, e := e)) as c from c group by all), tail_ as (select file, a as line, min(struct_pack(s := s, e := e)) as c from c group by all)
             select r.file, r.n * 2 as line, r.l_partkey, coalesce(l.c.s, t.c.s, 0) as doc_start, coalesce(l.c.e, t.c.e, 0) as doc_end
             from r left join lead_ l on l.file = r.file and l.line = r.n * 2 left join tail_ t on t.file = r.file and t.line = r.n * 2""",
-        "doc_slices": "select doc_id, case when doc_id % 3 <> 0 then substr(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), (doc_id % 3 + 1)::bigint, (40 - doc_id % 3)::bigint) end as piece from documents",
         "text_slices": """
             with d as (select doc_id, hex(encode(text)) as h, unnest(range(8))::int as k from documents),
             cuts as (select *, greatest((length(h) // 2) * k // 8, 1) as a, (length(h) // 2) * (k + 1) // 8 as b from d),
@@ -384,11 +435,10 @@ def oracle_sql() -> dict[str, str]:
         "signature_parse": "select p_partkey, p_brand as return_type, 2::bigint as n, 'const ' || replace(p_type, ' ', '_') || '[]' as type0, 'x' as name0, p_size::varchar as name1 from part",
         "file_stems": "select blob_id, regexp_replace(string_split(replace(path, '\\', '/'), '/')[-1], '(.)\\.[^.]*$', '\\1') as stem, regexp_matches(replace(path, '\\', '/'), '^.*\\.inc(/.*)?$') or regexp_matches(replace(path, '\\', '/'), '^scripting/.*\\.sp(/.*)?$') as matches from blobs",
         "sitemap_urls": f"""
-            with {_SYMBOLS}, subs as (
-                select distinct strand, '' as sub, 0 as k from symbols
-                union all select strand, case category when 'functions' then 'function' when 'methodmaps' then 'methodmap' else 'enum' end || '.' || name, 1 from symbols
-                union all select strand, case m.kind when 'method' then 'function' else m.kind end || '.' || m.name, 1 from (select strand, unnest(members) as m from symbols where category <> 'enums') where m.kind in ('method', 'property', 'field'))
+            with {_SYMBOLS}, owned as (select strand, category, members, case category when 'functions' then 'function' when 'methodmaps' then 'methodmap' else 'enum' end || '.' || name as own from symbols),
+            subs as (
+                select distinct strand, '' as sub from symbols union all select strand, own from owned
+                union all select strand, own || '/' || case m.kind when 'method' then 'function' else 'property' end || '.' || m.name from (select strand, own, unnest(members) as m from owned where category = 'methodmaps') where m.kind in ('method', 'property'))
             select '{BASE_URL}/' || strand || '/' || sub as loc, 'monthly' as changefreq from subs""",
         "bundle_versions": "select bundle, arg_max(version.hash, version.count) as hash, max(version.count) as count from deliveries where version is not null group by bundle",
-        "page_titles": "select doc_id, nullif(trim(regexp_extract(text, '^([^\\n<]*)', 1), ' \t\n\r\f\v'), '') as title from documents",
     }

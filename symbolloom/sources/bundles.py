@@ -67,6 +67,105 @@ def document_symbols(typed: DataFrame, id_col: str) -> DataFrame:
     return strands.select(id_col, "strand", F.explode(F.concat(*map(of, CATEGORIES))).alias("r")).select(id_col, "strand", "r.*")
 
 
+def search_symbols(typed: DataFrame, id_col: str) -> DataFrame:
+    """Symbols of documents from ``parse_bundles`` in the shape that search takes: id_col, strand, category, name, return_type, arguments, members.
+
+    Functions have their own return type and arguments, type definitions those of their parsed signature, and
+    so do the members of type sets.
+    """
+    strands = typed.select(id_col, F.explode("bundle.strands").alias("strand", "s"))
+    args = "array<struct<type:string,name:string>>"
+    row = f"array<struct<category:string,name:string,return_type:string,arguments:{args},members:array<struct<kind:string,name:string,return_type:string,arguments:{args}>>>>"
+    member_row = row[row.index("members:") + 8 : -2]
+    maps = strands.schema["s"].dataType
+
+    def signature(names: set[str], value: Column) -> tuple[Column, Column]:
+        of = value["parsedSignature"] if "parsedSignature" in names else value if "arguments" in names else None
+        if of is None:
+            return F.lit(None).cast("string"), F.lit(None).cast(args)
+        return of["returnType"], F.transform(of["arguments"], lambda a: F.struct(a["type"].alias("type"), a["name"].alias("name"))).cast(args)
+
+    def member(kind: str, names: set[str]):
+        def one(m: Column) -> Column:
+            result, arguments = signature(names, m["value"])
+            return F.struct(F.lit(kind).alias("kind"), m["key"].alias("name"), result.alias("return_type"), arguments.alias("arguments"))
+
+        return one
+
+    def of(category: str) -> Column:
+        symbol = maps[category].dataType.valueType
+        names = {f.name for f in symbol.fields}
+
+        def rows(e: Column) -> Column:
+            held = F.array().cast(member_row)
+            for kind, name in MEMBERS.get(category, {}).items():
+                inner = {f.name for f in symbol[name].dataType.valueType.fields}
+                held = F.concat(held, F.coalesce(F.transform(F.map_entries(e["value"][name]), member(kind, inner)).cast(member_row), F.array().cast(member_row)))
+            result, arguments = signature(names, e["value"])
+            return F.struct(F.lit(category).alias("category"), e["key"].alias("name"), result.alias("return_type"), arguments.alias("arguments"), held.alias("members"))
+
+        return F.coalesce(F.transform(F.map_entries(F.col("s")[category]), rows).cast(row), F.array().cast(row))
+
+    return strands.select(id_col, "strand", F.explode(F.concat(*map(of, CATEGORIES))).alias("r")).select(id_col, "strand", "r.*")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(name, meta, source, file_stem) of an index document, a JSON object keyed by bundle name; nothing if it is not valid."""
+    entry = f"MAP<STRING, STRUCT<meta {META}, source {SOURCE}, file_stem STRING>>"
+    text = spark.read.option("wholetext", "true").text(path)
+    return text.select(F.explode(F.from_json("value", entry)).alias("name", "e")).select("name", "e.*")
+
+
+def index_document(index: DataFrame) -> DataFrame:
+    """(value): the index as one JSON object, names in order. For a document that is written whole: one row per bundle."""
+    return as_map(index, [], "name", F.struct("meta", "source", "file_stem"), "m").select(F.to_json("m").alias("value"))
+
+
+def build_index(spark: SparkSession, folder: str, out: str, known: str | None = None) -> int:
+    """Reads the ``*.bundle`` files of a folder into the index ``known`` and writes it to ``out`` if anything differs.
+
+    Returns the number of new and changed bundles. Unreadable files and files without a name are passed over.
+    """
+    from symbolloom.operators import catalogue
+
+    incoming = read_bundle_files(spark, folder).where("meta.name is not null").select(F.col("meta.name").alias("name"), "meta", "source", "file_stem")
+    prior = read_index(spark, known) if known else incoming.where("false")
+    merged = catalogue.upsert(prior, incoming)
+    diffs = merged.where("status <> 'kept'").count()
+    if diffs:
+        index_document(merged).coalesce(1).write.mode("overwrite").text(out)
+    return diffs
+
+
+#: Fields of strand documents, in which symbols are lists.
+_LISTS = "functions ARRAY<STRUCT<name STRING>>, methodmaps ARRAY<STRUCT<name STRING, methods ARRAY<STRUCT<name STRING>>, properties ARRAY<STRUCT<name STRING>>>>, enumstructs ARRAY<STRUCT<name STRING, methods ARRAY<STRUCT<name STRING>>, fields ARRAY<STRUCT<name STRING>>>>, constants ARRAY<STRUCT<name STRING>>, enums ARRAY<STRUCT<name STRING>>, typesets ARRAY<STRUCT<name STRING>>, typedefs ARRAY<STRUCT<name STRING>>"
+
+
+def read_strands(spark: SparkSession, folder: str, skip: str = "include") -> tuple[DataFrame, DataFrame]:
+    """(strands, symbols) of a folder with one JSON document per strand, named by its stem; the stem ``skip`` is left out.
+
+    symbols: strand, category, name, members. A strand without symbols is still in strands.
+    """
+    text = spark.read.option("wholetext", "true").text(folder).select(file_stem(F.col("_metadata.file_name")).alias("strand"), F.from_json("value", _LISTS).alias("d")).where(F.col("strand") != skip)
+    members = "array<struct<kind:string,name:string>>"
+
+    def named(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), m["name"].alias("name"))
+
+    def symbol(category: str):
+        fields = MEMBERS[category] if category in ("methodmaps", "enumstructs") else {}
+
+        def one(e: Column) -> Column:
+            held = F.concat(F.array().cast(members), *(F.coalesce(F.transform(e[f], named(k)).cast(members), F.array().cast(members)) for k, f in fields.items()))
+            return F.struct(F.lit(category).alias("category"), e["name"].alias("name"), held.alias("members"))
+
+        return one
+
+    none = F.array().cast(f"array<struct<category:string,name:string,members:{members}>>")
+    parts = [F.coalesce(F.transform(F.col("d")[c], symbol(c)), none) for c in CATEGORIES if c != "defines"]
+    return text.select("strand"), text.select("strand", F.explode(F.concat(*parts)).alias("r")).select("strand", "r.*")
+
+
 def read_bundle_files(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.bundle`` files of a folder: file_stem and the document's fields; unreadable ones have nulls."""
     text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.bundle").text(folder)
@@ -83,7 +182,7 @@ def as_map(rows: DataFrame, group: list[str], key: str, value: Column, name: str
 
     Only for documents that are written whole: a group becomes one value.
     """
-    one = rows.groupBy(*group, key).agg(F.max(value).alias("__v"))
+    one = rows.groupBy(*group, key).agg(F.max(value).alias("__v")) if group else rows.select(key, value.alias("__v")).dropDuplicates([key])
     return one.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), "__v")))).alias(name))
 
 

@@ -7,31 +7,64 @@ finds its number and changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symbolloom.operators import merge
 from symbolloom.operators.snapshot_diff import symbol_attributes
+from symbolloom.session import cut
 from symbolloom.sources.manifest_table import ManifestTable
 
 PAYLOAD = ["docs", "kind", "return_type", "parent", "arguments", "members", "ref_line"]
 
 
+#: Strands are spread over so many state files; a batch reads and writes only those of its strands.
+BUCKETS = 64
+
+
 class MergeSink:
-    """Holds the merged symbols below ``path``; only the latest committed state counts."""
+    """Holds the merged symbols below ``path``, in one file for each bucket of strands.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.table = ManifestTable(spark, path, "name")
+    ``output`` is called with the state and the batch's number, but only for batches that bring a new strand or
+    change a symbol (merge.diff_count); what only adds or removes symbols is kept in the state and shows in the
+    next output.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, output: Callable[[DataFrame, int], None] | None = None) -> None:
+        self.table, self.output = ManifestTable(spark, path, "name"), output
 
     def state(self) -> DataFrame | None:
-        files = list(self.table.manifest()["files"])
-        return self.table.spark.read.parquet(f"{self.table.path}/{files[-1]}") if files else None
+        rows = self.table.read()
+        return None if rows is None else rows.drop("bucket")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if self.table.manifest()["processed"] > number or batch.isEmpty():
+        now = self.table.manifest()
+        if now.processed > number or batch.isEmpty():
             return
+        bucket = F.pmod(F.xxhash64(*merge.STRAND), F.lit(BUCKETS))
         held = merge.held_rows(batch, symbol_attributes(), PAYLOAD)
-        self.table.append(merge.merge(held, self.state()), processed=number + 1)
+        touched = [r[0] for r in held.select(bucket).distinct().collect()]  # at most BUCKETS
+        old = [f for f, (_, scope) in now.files.items() if set(map(int, scope.split(","))) & set(touched)]
+        prior = self.table.rows_of(old)
+        touched = sorted({int(b) for f in old for b in now.files[f][1].split(",")} | set(touched))
+        merged = cut(merge.merge(held, None if prior is None else prior.drop("bucket")))
+        self.table.append(merged.withColumn("bucket", bucket), processed=number + 1, remove=old, scope=",".join(map(str, touched)))
+        if self.output and self._diffs(held, prior):
+            self.output(self.state(), number)
+
+    @staticmethod
+    def _diffs(held: DataFrame, prior: DataFrame | None) -> bool:
+        """Whether the batch brings a strand that wasn't known, or a symbol differs from the state before it."""
+        if prior is None:
+            return True
+        if not held.select(*merge.STRAND).join(prior.select(*merge.STRAND).distinct(), merge.STRAND, "left_anti").isEmpty():
+            return True
+        before = prior.select(*merge.KEY, F.lit(-1).cast("bigint").alias("rev"), "h")
+        rows = merge.lives(held.select(*merge.KEY, "rev", "h").unionByName(before.join(held.select(*merge.STRAND).distinct(), merge.STRAND, "left_semi")))
+        return not rows.where("is_upd").isEmpty()
 
 
 def start(spark: SparkSession, source: str, schema, sink: MergeSink, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:

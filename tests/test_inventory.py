@@ -142,16 +142,60 @@ def test_search_rows_and_scores(spark):
 def test_lookup_recent_empty_sitemap(spark):
     s = _symbols(spark)
     asked = [["s", "methodmap.HookMap", "methodmap_property.Hook"], ["s", "methodmap.HookMap", "function.Hook"], ["s", "methodmap.HookMap", "function.none"], ["s", "nothing.HookT", "x.y"], ["s", "enumeration.HookE", "entry.Hook"], ["none"], ["s", "enumstruct.HookRec", "field.Hook", "more"]]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(asked)], "i int, path array<string>")
+    asked += [["s", "odd", "methodmap.HookMap"], ["s", "methodmap.HookMap", "odd"], ["s", "entry", "function.Hook"], None, ["s", None, "function.Hook"]]
+    df = spark.createDataFrame([(i, "b", p) for i, p in enumerate(asked)] + [(99, "c", asked[0])], "i int, bundle string, path array<string>")
     got = {r["i"]: (r["found_category"], r["found_name"], r["found_member"]) for r in search.lookup(s, df).collect()}
-    assert got == {0: ("methodmaps", "HookMap", "Hook"), 1: ("methodmaps", "HookMap", "Hook"), 2: ("methodmaps", "HookMap", None), 3: ("typedefs", "HookT", None), 4: ("enums", "HookE", None), 5: (None, None, None), 6: ("enumstructs", "HookRec", "Hook")}
+    assert got == {0: ("methodmaps", "HookMap", "Hook"), 1: ("methodmaps", "HookMap", "Hook"), 2: ("methodmaps", "HookMap", None), 3: ("typedefs", "HookT", None), 4: ("enums", "HookE", None), 5: (None, None, None), 6: ("enumstructs", "HookRec", "Hook"), 7: ("methodmaps", "HookMap", None), 8: ("methodmaps", "HookMap", None), 9: (None, None, None), 10: (None, None, None), 11: ("functions", "Hook", None), 99: (None, None, None)}
     assert [r["name"] for r in search.recent_additions(s.where("category <> 'odd'"), 3).collect()] == ["HookS", "HookMap", "HookRec"]
     assert {r["strand"]: r["is_empty"] for r in search.empty_strands(s, s.where("category <> 'odd'")).collect()} == {"s": False, "t": True}
-    urls = {r["loc"] for r in search.sitemap(s, "u").collect()}
-    assert urls == {"u/s/", "u/t/", "u/s/function.Hook", "u/s/methodmap.HookMap", "u/s/function.Hook", "u/s/property.Hook", "u/s/methodmap.HookRec", "u/s/function.m", "u/s/field.Hook", "u/s/enum.HookE", "u/s/typedef.HookT", "u/s/typeset.HookS", "u/s/constant.Hook"}
+    urls = {r["loc"] for r in search.sitemap(s, "u", strands=spark.createDataFrame([("bare",), (None,)], "strand string")).collect()}
+    own = {"function.Hook", "methodmap.HookMap", "methodmap.HookMap/function.Hook", "methodmap.HookMap/property.Hook", "methodmap.HookRec", "methodmap.HookRec/function.m", "methodmap.HookRec/field.Hook", "enum.HookE", "typedef.HookT", "typeset.HookS", "constant.Hook"}
+    assert urls == {"u/s/", "u/t/", "u/bare/"} | {"u/s/" + p for p in own}
     assert "u/s/enumstruct.HookRec" in {r["loc"] for r in search.sitemap(s, "u", fix_labels=True).collect()}
 
 
+def test_recents_are_fed_frozen_and_cleared(spark):
+    rows = spark.createDataFrame([("b", "s", "methodmaps", "M", [("method", "m", (9,)), ("property", "p", (8,)), ("method", "n", None)], (5,)), ("b", "s", "functions", "f", None, (6,))], "bundle string, strand string, category string, name string, members array<struct<kind:string,name:string,created:struct<count:bigint>>>, created struct<count:bigint>")
+    feed = search.recent_feed(rows)
+    recents = search.Recents(2)
+    recents.feed(feed)
+    assert [(r["name"], r["member"]) for r in recents.held] == [("M", "m"), ("f", None)]
+    recents.freeze()
+    recents.feed(feed.withColumn("created", F.struct(F.lit(99).cast("bigint").alias("count"))))
+    assert recents.held[0]["created"]["count"] == 9
+    recents.freeze(False)
+    assert recents.held is None
+    recents.feed(feed.where("member is null"))
+    recents.feed(feed.where("member = 'm'"))
+    assert [r["name"] for r in recents.held] == ["M", "f"]
+
+
+def test_index_and_strand_documents(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    doc = lambda name, description: json.dumps({"meta": {"name": name, "description": description}, "source": {"type": "git", "repository": "r"}, "strands": {}})
+    (folder / "a.bundle").write_text(doc("x", "old"))
+    (folder / "b.bundle").write_text(doc("y", None))
+    (folder / "bad.bundle").write_text("{")
+    (folder / "c.json").write_text(doc("z", None))
+    first, second = f"file://{tmp_path}/first", f"file://{tmp_path}/second"
+    assert bundles.build_index(spark, f"file://{folder}", first) == 2
+    assert {(r["name"], r["meta"]["description"], r["file_stem"]) for r in bundles.read_index(spark, first).collect()} == {("x", "old", "a"), ("y", None, "b")}
+    assert bundles.build_index(spark, f"file://{folder}", second, known=first) == 0 and not (tmp_path / "second").exists()
+    (folder / "a.bundle").write_text(doc("x", "new"))
+    assert bundles.build_index(spark, f"file://{folder}", second, known=first) == 1
+    assert {r["name"]: r["meta"]["description"] for r in bundles.read_index(spark, second).collect()} == {"x": "new", "y": None}
+
+    strands = tmp_path / "strands"
+    strands.mkdir()
+    (strands / "one.json").write_text(json.dumps({"functions": [{"name": "f"}], "methodmaps": [{"name": "M", "methods": [{"name": "a"}], "properties": [{"name": "p"}]}], "enumstructs": [{"name": "E", "methods": [], "fields": [{"name": "x"}]}], "defines": [{"name": "D"}], "enums": [{"name": "N", "entries": [{"name": "e"}]}]}))
+    (strands / "include.json").write_text(json.dumps({"functions": [{"name": "no"}]}))
+    (strands / "empty.json").write_text("{}")
+    bare, symbols = bundles.read_strands(spark, f"file://{strands}")
+    got = {r["loc"] for r in search.sitemap(symbols, "u", strands=bare).collect()}
+    assert got == {"u/one/", "u/empty/", "u/one/function.f", "u/one/methodmap.M", "u/one/methodmap.M/function.a", "u/one/methodmap.M/property.p", "u/one/methodmap.E", "u/one/methodmap.E/field.x", "u/one/enum.N"}
+
+
 HISTORY = "bundle string, strand string, category string, name string, decl_ord bigint, h string, line bigint, version struct<hash:string,count:bigint,time:bigint>"
 
 
@@ -335,11 +379,17 @@ def test_stream_equals_batch(spark, tmp_path, tiny):
         target = flat / f"{i}.parquet"
         part.rename(target)
         os.utime(target, (1_000_000 + i, 1_000_000 + i))
-    sink = merge_stream.MergeSink(spark, f"file://{tmp_path}/state")
+    shown = []
+    sink = merge_stream.MergeSink(spark, f"file://{tmp_path}/state", lambda state, number: shown.append(number))
     merge_stream.start(spark, f"file://{flat}", rows.schema, sink, f"file://{tmp_path}/ck").awaitTermination()
     want = merge.merge(merge.held_rows(rows, symbol_attributes(), merge_stream.PAYLOAD))
     pick = lambda d: sorted((r["bundle"], r["strand"], r["category"], r["name"], r["created"]["count"], r["last_updated"]["count"]) for r in d.collect())
     assert pick(sink.state()) == pick(want)
     before = sink.table.version()
     sink(rows, 0)  # a replayed batch
-    assert sink.table.version() == before == 3
+    assert sink.table.version() == before == 3 and shown[0] == 0
+    last = rows.groupBy("bundle", "strand").agg(F.max("version.count").alias("m"))
+    again = rows.join(last, ["bundle", "strand"]).where("version.count = m").drop("m").withColumn("version", F.struct(F.lit("h").alias("hash"), (F.col("version.count") + 1).alias("count"), F.col("version.time").alias("time")))
+    many = len(shown)
+    sink(again, 3)  # the same content again: kept, but no output
+    assert sink.table.version() == 4 and len(shown) == many and pick(sink.state()) == pick(want)

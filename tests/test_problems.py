@@ -149,7 +149,7 @@ def test_symbol_attributes_keep_nulls_and_sets_apart(spark):
 
 def _run(spark, runs, deliveries):
     at = lambda x: None if x is None else dt.datetime(2020, 1, 1) + dt.timedelta(hours=x)
-    r = spark.createDataFrame([(b, i, at(t)) for b, i, t in runs], "bundle string, run_id bigint, started_at timestamp_ntz")
+    r = spark.createDataFrame([(b, i, at(t), not bad) for b, i, t, *bad in runs], "bundle string, run_id bigint, started_at timestamp_ntz, ok boolean")
     d = spark.createDataFrame([(i, b, s, at(t), 7, 7) for i, b, s, t in deliveries], "delivery_id bigint, bundle string, sha string, delivered_at timestamp_ntz, run_id bigint, started_at bigint")
     return sorted(tuple(x) for x in incremental.deltas(d, r, "bundle", "delivered_at", "delivery_id", ["bundle", "sha"]).collect())
 
@@ -159,6 +159,22 @@ def test_incremental_rules(spark):
     deliveries = [(1, "b", "x", 10), (2, "b", "y", 11), (3, "b", "x", 12), (4, "b", "z", 20), (5, "b", "w", 21), (6, "c", "x", 1), (7, None, "x", 1), (8, "c", None, 2), (9, "c", None, 3), (64, "b", "v", 2), (128, "b", "v", 2), (10, "d", "x", 1), (11, "c", "q", None)]
     assert _run(spark, runs, deliveries + deliveries[:2]) == [(1, 1), (1, 64), (2, 2), (2, 4), (4, 6), (4, 8)]
     assert _run(spark, [], deliveries) == [] == _run(spark, runs, [])
+    # a failed run leaves its records to the next one that succeeds; one ok row makes a run succeed
+    assert _run(spark, [("b", 1, 10, "failed"), ("b", 2, 10), ("b", 5, 15, "failed"), ("b", 6, 20, "failed"), ("b", 6, 20), ("b", 9, 30, "failed"), (None, 7, 10)], deliveries) == [(2, 1), (2, 64), (6, 2), (6, 4)]
+    assert _run(spark, [("b", 1, 10, "failed")], deliveries) == []
+
+
+def test_incremental_random_against_a_loop(spark):
+    rng = random.Random(11)
+    runs = [(rng.choice("bcd"), i, rng.randrange(40), *(["failed"] * (rng.random() < 0.4))) for i in range(30)]
+    deliveries = [(i, rng.choice("bcd"), rng.choice("xyzuvw"), rng.randrange(45)) for i in range(120)]
+    want, seen = [], set()
+    for i, b, s, t in sorted(deliveries, key=lambda d: (d[3], d[0])):
+        if (b, s) not in seen:
+            seen.add((b, s))
+            later = sorted((r[2], r[1]) for r in runs if r[0] == b and len(r) == 3 and r[2] >= t)
+            want += [(later[0][1], i)] if later else []
+    assert _run(spark, runs, deliveries) == sorted(want)
 
 
 def test_manifest_table_survives_failures(spark, tmp_path):
@@ -179,19 +195,39 @@ def test_manifest_table_survives_failures(spark, tmp_path):
         run_increment(source, sink, fails)
     except OSError:
         pass
-    assert sink.version() == 1 and sink.manifest()["processed"] == 2
+    assert sink.version() == 1 and sink.manifest().processed == 2
     seen = []
     run_increment(source, sink, lambda d: (seen.extend((r["k"], r["_change"]) for r in d.collect()), d)[1])
     assert sorted(seen) == [(2, "removed"), (3, "removed"), (8, "added")]
-    assert sink.manifest()["processed"] == 4 and run_increment(source, sink, fails) is None
+    assert sink.manifest().processed == 4 and run_increment(source, sink, fails) is None
     assert sorted(r["k"] for r in source.read().collect()) == [0, 1, 4, 5, 6, 7, 8]
     try:
-        source._commit(2, {})
+        source._commit(2, [{}])
         raise AssertionError("committed twice")
     except RuntimeError:
         pass
 
 
+def test_manifest_table_removals_and_spans(spark, tmp_path):
+    from symbolloom.sources.manifest_table import ManifestTable
+
+    t = ManifestTable(spark, f"file://{tmp_path}/t", "k")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k bigint")
+    assert t.read() is None and t.changes(0) is None and t.deltas([(1, 0, 5, "")], "run") is None
+    t.append(rows(1, 2))
+    first = list(t.manifest().files)
+    t.append(rows(3, None), remove=first)
+    t.delete(rows(3))
+    got = lambda d: sorted((r["_change"], r["k"] or 0) for r in d.collect())
+    assert got(t.changes(1)) == [("added", 0), ("removed", 1), ("removed", 2)] and got(t.changes(2)) == [("removed", 3)] and t.changes(3) is None
+    assert [r["k"] for r in t.read().collect()] == [None] and sorted(r["k"] for r in t.read(1).collect()) == [1, 2]
+    many = spark.createDataFrame([(0, 10), (0, 11), (2, 12)], "v int, k bigint")
+    assert t.append_versions(many, [{"scope": "a"}, {"scope": "b"}, {"scope": "a"}], "v", many.where("k = 11")) == 6
+    spans = t.deltas([(1, 3, 4, "a"), (2, 4, 6, "a"), (3, 3, 6, "b")], "run").collect()
+    assert sorted((r["run"], r["k"]) for r in spans) == [(1, 10), (2, 12)]
+    assert sorted(r["k"] or 0 for r in t.read().collect()) == [0, 10, 12]
+
+
 BAD = ['', ' ', '{', '{"a":1,}', '[1,]', '{"a" 1}', '{"a":}', '{a:1}', '"x', '"\\x"', '"\\u12g4"', '01', '1.', 'nul', '{"a":1}}', '{} {}', '[1 2]', '{"a":1 "b":2}', '["a":1]', '{"a","b"}', '"\t"', '[}', '{]', ',', ':', '{"a":1,,"b":2}', "'a'", '{"strands":{"s":NaN}}', '"\\', '{"a":"\\"}']
 GOOD = ['{}', '[]', '1', '-0.5e+3', '"x"', 'null', ' [1, {"a": []}, "\\u00e9\\n\\\\"] ', '{"a":{"b":[[],{}]},"c":"{[,:"}', '"\\\\\\""', '{"é":"ü"}']
 
