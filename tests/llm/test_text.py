@@ -91,59 +91,79 @@ def test_leakage(spark):
     assert {k for k, v in got.items() if v} == {(0, 1), (0, 5), (1, 1), (1, 5), (4, 1), (4, 5), (7, 1), (7, 2), (7, 5), (8, 2)}
     assert got[3, 1] == 0 == got[3, 5]
     assert leakage.leaked_items(docs.where("false"), items).count() == 0 == leakage.leaked_items(docs, items.where("false")).count()
-    with pytest.raises(ValueError):
-        leakage.leaked_items(docs, items, max_item_chars=10)
+    shuffled = leakage.leaked_items(docs, items, sent_windows=0)
+    assert {(r["doc_id"], r["item_id"]): r["verbatim"] for r in shuffled.collect()} == got
+
+
+def _leaks(spark, texts, items, run=12, least=6):
+    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    held = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): r["verbatim"] for r in leakage.leaked_items(docs, held, run=run, least=least).collect()}
 
 
 def test_slots_must_be_renamed_one_to_one(spark):
     item = "the first 10 rows and then 10 cells of the open table"
-    texts = [item.replace("10", "4"), item.replace("10 rows", "4 rows"), item]
-    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS)
-    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    got = {r["doc_id"]: r["verbatim"] for r in leakage.leaked_items(docs, items).collect()}
-    assert got == {0: 0, 2: 1}
+    assert _leaks(spark, [item.replace("10", "4"), item.replace("10 rows", "4 rows"), item], [item]) == {(0, 0): 0, (2, 0): 1}
 
 
-def _template_leaks(docs, items, run):
+def test_names_and_units_that_no_item_has(spark):
+    """Renamed names, numbers, measures and units are found, whatever they are; other words aren't renamed."""
+    one = "Alice walks 12 miles from Leeds to the market where Bob sells apples for 3kg each and Alice pays"
+    two = "The handler GetClientHealth returns the current value of the given slot and 30 seconds later GetClientHealth resets it"
+    texts = [
+        "Carol walks 7 kilometres from York to the market where Dave sells apples for 9g each and Carol pays", two.replace("GetClientHealth", "FetchPlayerArmor").replace("30 seconds", "5 frames"),
+        "Carol walks 7 kilometres from York to the market where Carol sells apples for 9g each and Carol pays", two.replace("current", "former").replace("given", "taken").replace("GetClientHealth", "X"),
+        "Later, alas. " + two.replace("The", "Then").replace("GetClientHealth", "A1") + ". The end", "so the " + two[4:].replace("GetClientHealth", "PlainName"), "we know that the handler" + two[11:].replace("GetClientHealth", "Other"),
+    ]
+    got = _leaks(spark, texts, [one, two], run=17, least=8)
+    assert got == {(0, 0): 0, (1, 1): 0, (4, 1): 0, (5, 1): 0, (6, 1): 0}
+
+
+def _template_leaks(docs, items, run, least):
     """Brute force over all pairs of windows of plain words."""
-    camel = lambda w: any(a.islower() and b.isupper() for a, b in zip(w, w[1:], strict=False))
-    raw = lambda t: WORD.findall(t or "")
-    names = {w.lower() for t in items for w in raw(t) if camel(w)}
-    kind = lambda w, name: "0" if w.isdecimal() else "u" if w.lower() in leakage.UNITS else "n" if name else ""
+
+    def forms(text):
+        found, number = [], False
+        for m in WORD.finditer(text or ""):
+            w = m[0]
+            kind = "#" if regex.fullmatch(r"\p{N}+", w) else "%" if regex.fullmatch(r"\p{N}+\p{L}+", w) else "@" if regex.search(r"\p{Lu}", w) else "~" if number and regex.fullmatch(r"\p{L}+", w) else ""
+            before = text[: m.start()]
+            starts = not before.strip(" \t\n\f\r") or (before[-1:] in tuple(" \t\n\f\r") and before.rstrip(" \t\n\f\r")[-1:] in tuple(".!?"))
+            found.append((w.lower(), kind, "" if kind == "@" and starts and regex.fullmatch(r"\p{Lu}[^\p{Lu}]*", w) else kind))
+            number = kind == "#"
+        return [[(w, (a, b)[f]) for w, a, b in found] for f in (0, 1)]
+
     out = {}
     for d, text in enumerate(docs):
         for i, item in enumerate(items):
-            x, y = raw(text), raw(item)
-            for a in range(len(x) - run + 1):
-                for b in range(len(y) - run + 1):
-                    pairs = [(v.lower(), w.lower(), kind(v, camel(v) or v.lower() in names), kind(w, w.lower() in names)) for v, w in zip(x[a : a + run], y[b : b + run], strict=True)]
-                    if not all(v == w or (k and k == m) for v, w, m, k in pairs):
-                        continue
-                    one = {(v, w) for v, w, _, k in pairs if k}
-                    same = all(v == w for v, w, *_ in pairs)
-                    if same or len({v for v, _ in one}) == len(one) == len({w for _, w in one}):
-                        out[d, i] = max(out.get((d, i), 0), int(same))
+            for x in forms(text):
+                for y in forms(item):
+                    for a in range(len(x) - run + 1):
+                        for b in range(len(y) - run + 1):
+                            pairs = list(zip(x[a : a + run], y[b : b + run], strict=True))
+                            if all(v[0] == w[0] for v, w in pairs):
+                                out[d, i] = 1
+                            if not all(v[1] == w[1] and (v[1] or v[0] == w[0]) for v, w in pairs) or sum(not v[1] for v, _ in pairs) < least:
+                                continue
+                            one = {(v, w) for v, w in pairs if v[1]}
+                            if len({v for v, _ in one}) == len(one) == len({w for _, w in one}):
+                                out.setdefault((d, i), 0)
     return out
 
 
-def test_identifiers_unknown_to_the_items_are_names(spark):
-    """Also where the same window has a word that only the text writes like an identifier."""
-    item = "In build 5206 the HookEvent callback resolves each signed spawn group within 30 seconds of a startup change"
-    texts = [item.replace("HookEvent", "FreeEvent"), item.replace("HookEvent", "FreeEvent").replace("startup", "startUp"), item.replace("HookEvent", "startUp"), item.replace("HookEvent", "startup"), item.replace("HookEvent", "freeevent"), item.replace("startup", "freeEvent"), item]
-    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS)
-    got = {r["doc_id"]: r["verbatim"] for r in leakage.leaked_items(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"), run=18).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 6: 1}
-
-
 def test_templates_against_brute_force(spark):
     rng = random.Random(8)
-    pool = ["aB", "ab", "bC", "cD", "CD", "dE", "de", "eF2g", "7", "12", "rows", "cells", "the", "of"]
-    items = [" ".join(rng.choice(pool[:4] + pool[6:7] + pool[8:]) for _ in range(rng.randrange(3, 9))) for _ in range(25)]
-    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 20))) for _ in range(120)]
-    docs = spark.createDataFrame([(i, t, None, None, 1, "") for i, t in enumerate(texts)], DOCS).repartition(3)
-    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in leakage.leaked_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"), run=3).collect()}
-    want = _template_leaks(texts, items, 3)
-    assert got == want and {0, 1} == set(want.values())
+    pool = ["aB", "ab", "Ab", "Cd.", "cd.", "CD", "De", "de", "7", "12", "4x", "rows", "cells", "the", "of", "!"]
+    items = [" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 9))) for _ in range(30)] + [None]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 20))) for _ in range(120)] + [None, ""]
+    want = _template_leaks(texts, items, 3, 1)
+    assert _leaks(spark, texts, items, run=3, least=1) == want and {0, 1} == set(want.values())
+
+
+def test_one_template_that_fills_texts_costs_no_pairs(spark):
+    numbers = lambda a: " ".join(str(a + i) for i in range(6000))
+    lines = lambda a: " ".join(f"line {a + i} holds the value of row number" for i in range(3000))
+    assert _leaks(spark, [numbers(0), numbers(9000), lines(0), lines(5000), "0 " * 6000], [numbers(0), lines(0), "0 " * 6000]) == {(0, 0): 1, (2, 1): 1, (3, 1): 0, (4, 2): 1}
 
 
 def _share(t):
