@@ -15,6 +15,8 @@ from functools import lru_cache
 from re import _constants as C  # type: ignore[attr-defined]
 from re import _parser  # type: ignore[attr-defined]
 
+import numpy as np
+
 
 class Chart:
     """Error-correcting recognition of one pattern."""
@@ -145,8 +147,13 @@ class Language:
     top: str
     MEMO_LENGTH = 1000
 
+    CLOSING = {"(": ")", "[": "]", "{": "}", "<": ">", "\u00ab": "\u00bb"}
+
     def __init__(self) -> None:
         self.exact = {k: re.compile(p) for k, p in self.patterns.items()}
+        self.closers = {self.CLOSING[b]: b for b in self.brackets}
+        free = "[^" + "".join(re.escape(c) for c in [*self.brackets, *self.closers]) + "]*"
+        self.group = re.compile("|".join(f"{re.escape(b)}{free}{re.escape(c)}" for c, b in self.closers.items()))
         self.memo: dict[str, str] = {}
         self.bad: list[str] = []
 
@@ -175,8 +182,6 @@ class Language:
     def role_mask(self, bracket: str, content: str) -> int:
         return sum(1 << i for i, r in enumerate(self.brackets[bracket][1]) if self.exact[r].fullmatch(self.prepare(content, r)))
 
-    _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
-
     def _fold(self, m: re.Match) -> str:
         text = m[0]
         got = self.memo.get(text)
@@ -199,52 +204,139 @@ class Language:
         self.bad.clear()
         n = 1
         while n:
-            kinds, n = self._GROUP.subn(self._fold, kinds)
+            kinds, n = self.group.subn(self._fold, kinds)
             if self.bad:
                 return False
         return self.exact[self.top].fullmatch(self.prepare(kinds, self.top)) is not None
 
+    #: Up to so many brackets that are left when matching neighbours are taken out are paired with the fewest edits;
+    #: of up to so many opening ones without a partner it is tried whether dropping them is cheaper.
+    MOST_LEFT, MOST_TRIED = 256, 8
+
     def repair(self, kinds: str) -> tuple[int, list[int], bool]:
         """(edits, positions of edits, whether brackets are still open at the end) of the cheapest repair found.
 
-        Brackets are paired first (an unpaired one is one edit); then every content is repaired with the
-        fewest edits by its cheapest role. The pairing is greedy and doesn't look at contents, nor do the
-        roles look outside, so the sum is an upper bound where more than one token is wrong.
+        Brackets are paired greedily, and with the fewest edits of brackets; an opening one without a partner is
+        closed where what is around it ends, or dropped. Of each pairing every content is repaired with the fewest
+        edits by its cheapest role, and the cheapest pairing counts. As contents don't choose the pairing, nor
+        do roles look outside, the sum is an upper bound where more than one token is wrong.
         """
-        pairs = {")": "(", "]": "[", "}": "{"}
-        stack: list[tuple[str, int, list[str], list[int]]] = [("", 0, [], [])]
+        self.spans: dict[tuple[str, str], tuple[int, int, int]] = {}
+        plan = self._pair_greedily(kinds)
+        best = self._apply(kinds, plan)
+        if best[0] > 1 and (other := self._pair_with_fewest(kinds)) not in (None, plan):
+            got = self._apply(kinds, other)
+            plan, best = (other, got) if got[0] < best[0] else (plan, best)
+        lone = [i for i, p in plan.items() if p is None]
+        for i in lone if best[0] > 1 and len(lone) <= self.MOST_TRIED else ():
+            got = self._apply(kinds, plan | {i: -1})
+            if got[0] < best[0]:
+                plan, best = plan | {i: -1}, got
+        return best
+
+    def _pair_greedily(self, kinds: str) -> dict[int, int | None]:
+        """For each bracket: its partner, -1 to drop it, or None for an opening one that is closed where what is around it ends."""
+        plan: dict[int, int | None] = {}
+        stack: list[int] = []
+        for i, c in enumerate(kinds):
+            if c in self.brackets:
+                plan[i] = None
+                stack.append(i)
+            elif c in self.closers:
+                at = next((k for k in range(len(stack) - 1, -1, -1) if kinds[stack[k]] == self.closers[c]), None) if self.closers[c] in {kinds[k] for k in stack} else None
+                plan[i] = -1
+                if at is not None:
+                    plan[i], plan[stack[at]] = stack[at], i
+                    del stack[at:]
+        return plan
+
+    def _pair_with_fewest(self, kinds: str) -> dict[int, int | None] | None:
+        """As _pair_greedily, by the fewest edits of brackets; None if too many are left. A replaced bracket has its partner's kind."""
+        plan: dict[int, int | None] = {}
+        left: list[int] = []
+        for i, c in enumerate(kinds):
+            if c in self.closers and left and kinds[left[-1]] == self.closers[c]:
+                plan[i], plan[left[-1]] = left[-1], i
+                left.pop()
+            elif c in self.brackets or c in self.closers:
+                left.append(i)
+        n = len(left)
+        if n > self.MOST_LEFT:
+            return None
+        opens = np.array([kinds[i] in self.brackets for i in left], bool)
+        kind = np.array([ord(self.closers.get(kinds[i], kinds[i])) for i in left])
+        cost, how = np.zeros((n + 1, n + 1), np.int32), np.full((n + 1, n + 1), -1, np.int32)
+        for a in range(n - 1, -1, -1):
+            pair = np.where(opens[a] & ~opens[a + 1 :], (kind[a + 1 :] != kind[a]).astype(np.int32), (~opens[a]).astype(np.int32) + opens[a + 1 :])
+            for b in range(a + 1, n + 1):
+                cost[a, b] = cost[a + 1, b] + 1
+                if b > a + 1:
+                    total = cost[a + 1, a + 1 : b] + pair[: b - a - 1] + cost[a + 2 : b + 1, b]
+                    k = int(total.argmin())
+                    if total[k] <= cost[a, b]:
+                        cost[a, b], how[a, b] = total[k], a + 1 + k
+        waiting = [(0, n)]
+        while waiting:
+            a, b = waiting.pop()
+            if a >= b:
+                continue
+            k = int(how[a, b])
+            if k < 0:
+                plan[left[a]] = None if opens[a] else -1
+                waiting.append((a + 1, b))
+            else:
+                plan[left[a]], plan[left[k]] = left[k], left[a]
+                waiting += [(a + 1, k), (k + 1, b)]
+        return plan
+
+    def _apply(self, kinds: str, plan: dict[int, int | None]) -> tuple[int, list[int], bool]:
+        stack: list[tuple[str, int, list[str], list[int]]] = [("", -1, [], [])]
         edits, places = 0, []
 
-        def close() -> None:
-            bracket, at, content, index = stack.pop()
-            cost, where, mask = self._span(bracket, "".join(content))
+        def close(inserted: bool = True) -> None:
             nonlocal edits
+            bracket, at, content, index = stack.pop()
+            n = len(content)
+            while inserted and n and content[n - 1] == "\n":
+                n -= 1  # what is missing stands at the end of a line
+            key = bracket, "".join(content[:n])
+            if key not in self.spans:
+                self.spans[key] = self._span(*key)
+            cost, where, mask = self.spans[key]
             edits += cost
             if cost:
-                places.append(index[where] if where < len(index) else (index[-1] + 1 if index else at))
-            stack[-1][2].append(chr(self.brackets[bracket][0] + mask))
-            stack[-1][3].append(at)
+                places.append(index[where] if where < n else (index[n - 1] + 1 if n else at))
+            stack[-1][2].extend([chr(self.brackets[bracket][0] + mask), *content[n:]])
+            stack[-1][3].extend([at, *index[n:]])
+
+        def edit(at: int) -> None:
+            nonlocal edits
+            edits += 1
+            places.append(at)
 
         for i, c in enumerate(kinds):
-            if c in self.brackets:
-                stack.append((c, i, [], []))
-            elif c in pairs:
-                if any(s[0] == pairs[c] for s in stack[1:]):
-                    while stack[-1][0] != pairs[c]:
-                        edits += 1
-                        places.append(i)
-                        close()
-                    close()
-                else:
-                    edits += 1
-                    places.append(i)
-            else:
+            if i not in plan:
                 stack[-1][2].append(c)
                 stack[-1][3].append(i)
+                continue
+            partner = plan[i]
+            if partner == -1:
+                edit(i)
+            elif partner is None or partner > i:
+                if c not in self.brackets:
+                    edit(i)
+                    c = kinds[partner] if kinds[partner] in self.brackets else self.closers[kinds[partner]]
+                stack.append((c, i, [], []))
+            else:
+                while stack[-1][1] != partner:
+                    edit(i)
+                    close()
+                if c not in self.closers or stack[-1][0] != self.closers[c]:
+                    edit(i)
+                close(False)
         still_open = len(stack) > 1
         while len(stack) > 1:
-            edits += 1
-            places.append(len(kinds))
+            edit(len(kinds))
             close()
         cost, where, _ = self._span("", "".join(stack[0][2]))
         if cost:

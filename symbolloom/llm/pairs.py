@@ -22,6 +22,9 @@ from symbolloom.parser import lexer
 LEAST_WORDS = 5
 _BRACES = re.compile(r"[{}]")
 _PARENS = re.compile(r"[()]")
+_BRACKETS = re.compile(r"[(){}]")
+_BODY = re.compile(r"[ /#\n]*\{")
+_STATEMENT_END = re.compile(r"[;\n]")
 _GAP = "[ /#\n]*"
 #: A declaration's head up to its parameter list: specifiers, result type or tag, name.
 _HEAD = re.compile(rf"(?:[uvkbwa]{_GAP})*(?:[nt](?:{_GAP}\[{_GAP}\])*{_GAP}(?::{_GAP})?)?(?:j?(n)|O{_GAP}[-o<>&=jI]){_GAP}\(")
@@ -124,8 +127,31 @@ def _heads(tokens: list[str], flat: str, offset: int) -> Iterator[tuple[int, str
         yield offset + m.start(), tokens[offset + name] if m.start(1) >= 0 else "operator" + tokens[offset + name].strip()
 
 
-def documented(content: bytes) -> list[tuple[str, str, str]]:
-    """(full name, bare name, comment) of the functions of one file that have a comment; [] if it isn't valid."""
+def _ends(kinds: str, heads: list[int]) -> list[int]:
+    """Last token of the function that begins at each token of ``heads``: the end of its body, or of its line or statement."""
+    closes, stack = {}, []
+    for m in _BRACKETS.finditer(kinds):
+        if m[0] in "({":
+            stack.append(m.start())
+        elif stack:
+            closes[stack.pop()] = m.start()
+    out = []
+    for h in heads:
+        at = closes[kinds.index("(", h)] + 1
+        body = _BODY.match(kinds, at)
+        if body:
+            out.append(closes[body.end() - 1])
+        else:
+            end = _STATEMENT_END.search(kinds, at)
+            out.append(end.start() - (kinds[end.start()] != ";") if end else len(kinds) - 1)
+    return out
+
+
+def documented(content: bytes) -> list[tuple[str, str, str, int, int]]:
+    """(full name, bare name, comment, start, end) of the functions of one file that have a comment; [] if it isn't valid.
+
+    start and end are the byte span of the function, from its first specifier to the end of its body or declaration.
+    """
     tokens, kinds, repair = syntax.check_sourcepawn(content)
     if repair is not None or "(" not in kinds:
         return []
@@ -151,7 +177,7 @@ def documented(content: bytes) -> list[tuple[str, str, str]]:
     hit = np.searchsorted(c_last[lead], f_line - 1, side="left")
     code = np.flatnonzero((kind != ord(" ")) & (kind != ord("\n")) & (kind != ord("/")))
     out = []
-    for (_, bare, full), line, h in zip(heads, f_line.tolist(), hit.tolist(), strict=True):
+    for (first, bare, full), line, h in zip(heads, f_line.tolist(), hit.tolist(), strict=True):
         chosen = -1
         if h < len(lead) and c_last[lead[h]] == line - 1:
             chosen = lead[h]
@@ -162,33 +188,34 @@ def documented(content: bytes) -> list[tuple[str, str, str]]:
             if j < len(comments) and c_first[j] == line and c_start[j] > 0:
                 chosen = j
         if chosen >= 0:
-            out.append((full, bare, content[c_start[chosen] : c_end[chosen] + 1].decode("utf-8", "replace")))
-    return out
+            out.append((first, full, bare, content[c_start[chosen] : c_end[chosen] + 1].decode("utf-8", "replace")))
+    ends = _ends(kinds, [r[0] for r in out])
+    return [(*rest, int(begin[first]), int(begin[end + 1])) for (first, *rest), end in zip(out, ends, strict=True)]
 
 
 def pairs(files: DataFrame, id_col: str = "blob_id", path_col: str = "path", content_col: str = "content", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id_col, func_name, comment): documented functions and methods of the valid SourcePawn files.
+    """(id_col, func_name, comment, start, end, code): documented functions and methods of the valid SourcePawn files.
 
     Functions whose comment is missing, or whose brief has fewer than ``least_words`` words of its own, are
     left out; so are files of other languages, files that are not valid, and null content. A comment that
-    starts at byte 0 documents nothing. Equal pairs of a name and a file are one row, with one comment.
-    Bytes that are not UTF-8 stand for no letters. Each file is handled where it is read.
+    starts at byte 0 documents nothing. Each function is a row, also where several have one name (a forward and
+    its body, or two sides of a condition). start and end are byte offsets, code is the text between. Bytes that are not UTF-8 stand for no letters. Each file is handled where it is read.
     """
     id_type = files.schema[id_col].dataType.simpleString()
+    names = [id_col, "func_name", "comment", "start", "end", "code"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, names, texts = [], [], []
+            rows, found = [], []
             for i, content in enumerate(batch.column(1)):
-                seen = set()
-                for full, bare, comment in documented(content.as_py()):
-                    if full not in seen and own_words(brief_of(comment), bare) >= least_words:
-                        seen.add(full)
+                content = content.as_py()
+                for full, bare, comment, start, end in documented(content):
+                    if own_words(brief_of(comment), bare) >= least_words:
                         rows.append(i)
-                        names.append(full)
-                        texts.append(comment)
+                        found.append((full, comment, start, end, content[start:end].decode("utf-8", "replace")))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names), pa.array(texts)], names=[id_col, "func_name", "comment"])
+                types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, zip(*found, strict=True), types)], names=names)
 
     source = files.where((syntax.language_of(F.col(path_col)) == "sourcepawn") & F.col(content_col).isNotNull()).select(id_col, content_col)
-    return source.mapInArrow(scan, f"`{id_col}` {id_type}, func_name string, comment string")
+    return source.mapInArrow(scan, f"`{id_col}` {id_type}, func_name string, comment string, start bigint, end bigint, code string")

@@ -60,7 +60,7 @@ class SourcePawn(Language):
     top = "file"
     _FLAT = frozenset(("args", "expr", "params", "for", "step", "index", "empty", "enum", "list", "funcenum"))
     #: A newline counts where the token before can end a statement and the next can begin one.
-    _SOFT = re.compile("(?<![nt0sIBCREĀ-῿])\n+|\n+(?=[-o&=A<>,.:?;\nĀ-࿿])|^\n+")
+    _SOFT = re.compile("(?<![\nnt0sIBCREĀ-῿])\n+|\n+(?=[-o&=A<>,.:?;\nĀ-࿿])|^\n+")
     _DROP = {ord(c): None for c in " /#"}
 
     def __init__(self) -> None:

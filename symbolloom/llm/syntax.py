@@ -1,15 +1,16 @@
 """Source files that are not valid in the language of their extension (problem 6).
 
-Each file gets the cost of a syntax repair; nonzero cost flags it, and where the edits lie tells
-truncation, merge conflict and a wrong language apart. SourcePawn and JSON are repaired by error-correcting
-chart parsing over bracketed spans (grammar.py). Python and TOML, which are not context-free over such
-spans, are decided by their own parsers and repaired by deleting the lines at which these stop.
+Each file gets the cost of a syntax repair by error-correcting chart parsing over bracketed spans
+(grammar.py); nonzero cost flags it, and where the edits lie tells truncation, merge conflict and a wrong
+language apart. For SourcePawn the chart's parse without edits decides. Of the other languages, which have
+rules that no such chart holds, a strict reader has the last word: the structural index for JSON, and their own
+parsers for Python and TOML, unless these give up at a limit of their own; then the chart decides.
 """
 
 from __future__ import annotations
 
-import json
 import re
+import sys
 import tomllib
 import warnings
 from collections.abc import Iterator
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolloom.llm import sourcepawn
+from symbolloom.llm import python_toml, sourcepawn
 from symbolloom.llm.grammar import Language
+from symbolloom.operators.nested import Index
 from symbolloom.parser import lexer
 
 #: The language of each extension.
@@ -49,26 +51,35 @@ def _json() -> Json:
     return Json()
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
+def _kind(content: bytes, places: list[int], edits: int, size: int, still_open: bool) -> str:
+    """What the places of the edits (byte offsets, in order) tell.
 
-
-def _kind(content: bytes, edits: int, size: int, at_end: bool) -> str:
-    if _MARKER.search(content):
+    conflict: an edit lies on a line with a conflict marker. truncation: all edits lie at the end (in the last
+    twentieth or the last two lines), and brackets or a token were open there. mismatch: more than a twentieth
+    of the tokens had to be edited. Else error.
+    """
+    lines = [(m.start(), content.find(b"\n", m.start())) for m in _MARKER.finditer(content)]
+    if any(a <= p and (p <= b or b < 0) for p in places for a, b in lines):
         return "conflict"
-    if at_end:
+    end = len(content.rstrip())
+    tail = min(content.rfind(b"\n", 0, max(content.rfind(b"\n", 0, end), 0)) + 1, end - end // 20)
+    if still_open and places and (places[0] >= tail or edits <= 3) and places[-1] >= tail:
         return "truncation"
     return "mismatch" if edits * 20 > size else "error"
 
 
-def _from_chart(language: Language, kinds: str, dropped: str, begin: list[int], content: bytes) -> Repair:
-    index = [i for i, c in enumerate(kinds) if c not in dropped]
-    edits, places, still_open = language.repair("".join(kinds[i] for i in index))
-    first = places[0] if places else len(index)
-    at = begin[index[first]] if first < len(index) else len(content)
-    # open at the end, or the first thing that isn't a token begins what was cut off
-    late = still_open and (not places or places[0] >= 0.9 * len(index)) or still_open and edits <= 3
-    return max(1, edits), at, _kind(content, edits, len(index), bool(late) or content.endswith(b"\0"))
+def _repair(language: Language, kinds: str, at: list[int], begin: list[int], content: bytes, least: Repair | None = None) -> Repair | None:
+    """The repair by the chart; ``at``: the token of each kind, ``begin``: offsets of the tokens. None if nothing needs one.
+
+    ``least`` (edits, place, kind) is what a strict reader has found, for files in which the chart finds nothing.
+    """
+    edits, places, still_open = language.repair(kinds)
+    if not edits:
+        return least
+    offset = lambda p: begin[at[p]] if p < len(at) and at[p] < len(begin) else len(content)
+    where = sorted(map(offset, places))
+    cut_token = bool(where) and content[where[0] : where[0] + 1] in (b'"', b"'", b"/") and where[0] >= 0.9 * len(content)
+    return edits, where[0], _kind(content, where, edits, len(kinds), still_open or cut_token or content.endswith(b"\0"))
 
 
 def conditions_match(tokens: list[str], kinds: str) -> bool:
@@ -90,71 +101,84 @@ def check_sourcepawn(content: bytes) -> tuple[list[str], str, Repair | None]:
     paired = conditions_match(tokens, kinds)
     if paired and language.accepts(language.code(kinds)):
         return tokens, kinds, None
-    repair = _from_chart(language, kinds, " /#", lexer.starts(tokens), content)
-    if not paired:
-        repair = (repair[0] + 1, repair[1], repair[2])
-    return tokens, kinds, repair
+    at = [i for i, c in enumerate(kinds) if c not in " /#"]
+    repair = _repair(language, language.code(kinds), at, lexer.starts(tokens), content, (0, len(content), "error"))
+    return tokens, kinds, (repair[0] + (not paired), repair[1], repair[2])
 
 
-def _by_lines(content: bytes, failing_line) -> Repair | None:
-    """Deletes the lines at which a parser stops, one by one."""
-    line = failing_line(content)
-    if line is None:
-        return None
-    lines, edits, first = content.splitlines(keepends=True), 0, None
-    size = len(lines)
-    while line is not None:
-        edits += 1
-        line = min(max(line, 1), max(len(lines), 1))
-        if first is None:
-            first = sum(map(len, lines[: line - 1]))
-        del lines[line - 1 : line]
-        line = failing_line(b"".join(lines)) if lines else None
-    return edits, first or 0, _kind(content, edits, max(size, 20), (first or 0) >= 0.9 * len(content))
-
-
-def _python_line(content: bytes) -> int | None:
+def _python_error(content: bytes) -> int | None:
+    """Offset of the line at which Python's parser stops, -1 where it gives up at a limit of its own, None for a valid file."""
     if b"\0" in content:
-        return len(content[: content.index(b"\0") + 1].splitlines())
+        return content.index(b"\0")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(content, "file", "exec", dont_inherit=True)
     except SyntaxError as e:
-        return e.lineno or _undecoded_line(content)
-    except (ValueError, RecursionError, MemoryError, OverflowError):
-        return 1
+        if str(e.msg).startswith("too many"):
+            return -1
+        if e.lineno is None:
+            return _undecoded(content)
+        return sum(map(len, content.splitlines(keepends=True)[: e.lineno - 1]))
+    except (RecursionError, MemoryError, OverflowError):
+        return -1
+    except ValueError:
+        return 0
     return None
 
 
-def _undecoded_line(content: bytes) -> int:
+def _undecoded(content: bytes) -> int:
     try:
         content.decode("utf-8")
     except UnicodeDecodeError as e:
-        return len(content[: e.start + 1].splitlines())
-    return 1
+        return e.start
+    return 0
 
 
-def _toml_line(content: bytes) -> int | None:
+def _toml_error(content: bytes) -> int | None:
+    """As _python_error, for TOML."""
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)  # integers of any length are valid
     try:
-        tomllib.loads(content.decode("utf-8"))
+        text = content.decode("utf-8")
+        tomllib.loads(text)
     except UnicodeDecodeError as e:
-        return content.count(b"\n", 0, e.start) + 1
-    except (tomllib.TOMLDecodeError, RecursionError) as e:
+        return e.start
+    except RecursionError:
+        return -1
+    except ValueError as e:
         m = re.search(r"line (\d+)", str(e))
-        return int(m[1]) if m else content.count(b"\n") + 1
+        return sum(len(x) + 1 for x in content.split(b"\n")[: int(m[1]) - 1]) if m else len(content)
+    finally:
+        sys.set_int_max_str_digits(digits)
     return None
 
 
+def _check_with(language: python_toml.Python | python_toml.Toml, stops: int | None, content: bytes) -> Repair | None:
+    if stops is None:
+        return None
+    text = content.decode("latin-1")  # offsets are bytes; a token outside of ASCII is a name as good as any
+    if not text.isascii():
+        text = "".join(c if c.isascii() else "_" for c in text)
+    tokens = language.tokenize(text)
+    kinds, at = language.kinds(tokens)
+    least = None if stops < 0 else (1, min(stops, len(content)), _kind(content, [min(stops, len(content))], 1, 20, False))
+    return _repair(language, kinds, at, lexer.starts(tokens), content, least)
+
+
 def check_json(content: bytes) -> Repair | None:
+    bad = None
     try:
-        json.loads(content.decode("utf-8"), parse_constant=_refuse)
-        return None
-    except (ValueError, RecursionError):
-        pass
+        content.decode("utf-8")
+        if Index(content).valid:
+            return None
+    except UnicodeDecodeError as e:
+        bad = e.start
     tokens = Json.TOKEN.findall(content.decode("latin-1"))
     language = _json()
-    return _from_chart(language, language.kinds(tokens), " ", lexer.starts(tokens), content)
+    kinds = language.kinds(tokens)
+    at = [i for i, c in enumerate(kinds) if c != " "]
+    return _repair(language, kinds.replace(" ", ""), at, lexer.starts(tokens), content, (1, len(content) if bad is None else bad, "error"))
 
 
 def check(language: str, content: bytes) -> Repair | None:
@@ -163,7 +187,9 @@ def check(language: str, content: bytes) -> Repair | None:
         return check_sourcepawn(content)[2]
     if language == "json":
         return check_json(content)
-    return _by_lines(content, _python_line if language == "python" else _toml_line)
+    if language == "python":
+        return _check_with(python_toml.python(), _python_error(content), content)
+    return _check_with(python_toml.toml(), _toml_error(content), content)
 
 
 def language_of(path: Column) -> Column:
@@ -178,8 +204,8 @@ def language_of(path: Column) -> Column:
 def repairs(files: DataFrame, id_col: str = "blob_id", path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(id_col, language, edits, first_edit, kind) of each file of a known language with content.
 
-    edits is 0 for a valid file, else the cost of the repair found, without a bound: tokens for SourcePawn and
-    JSON, deleted lines for Python and TOML. first_edit is a byte offset, -1 for valid files. Null content, null paths and unknown extensions give no row; an empty
+    edits is 0 for a valid file, else the cost of the repair found in tokens, without a bound. first_edit is a
+    byte offset, -1 for valid files. Null content, null paths and unknown extensions give no row; an empty
     SourcePawn, Python or TOML file is valid, an empty JSON one is not. Whole contents are checked where
     they are read; rows repeat as the input's do.
     """

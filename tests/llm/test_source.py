@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from symbolloom.llm import grammar, pairs, queries, sourcepawn, syntax
+from symbolloom.llm import grammar, pairs, python_toml, queries, sourcepawn, syntax
 from symbolloom.parser import lexer
 
 VALID = [
@@ -75,11 +75,88 @@ def test_repairs_have_no_ceiling():
     assert syntax.check("sourcepawn", b"int a;\n\n\n\nint b = = 1;\n")[:2] == (1, 18)  # newlines that don't count are mapped back
     assert syntax.check("sourcepawn", b"void f()\n{\n\telse x();\n}\n")[:2] == (1, 12)
     lines = b"".join(b"x = %d\n" % i + b"y = = 1\n" * (i % 20 == 7) for i in range(120))
-    assert syntax.check("python", lines)[:2] == (6, lines.index(b"y")) and syntax.check("python", lines)[2] == "error"
-    assert syntax.check("toml", lines.replace(b"x = ", b"x"))[0] == 126 and syntax.check("toml", b"".join(b"k%d = 1\n" % i + b"y = = 1\n" * (i % 20 == 7) for i in range(120)))[0] == 6
+    edits, at, kind = syntax.check("python", lines)
+    assert edits == 6 and at == lines.index(b"y") + 4 and kind == "error"
+    assert syntax.check("toml", b"".join(b"k%d = 1\n" % i + b"y = = 1\n" * (i % 20 == 7) for i in range(120)))[0] == 6
+    assert syntax.check("toml", b"x0\n" * 40)[0] >= 40
     assert syntax.check("json", b"[1,,2,,3,,4,,5,,6]")[0] == 5
 
 
+def test_size_makes_nothing_invalid():
+    """Nesting and numbers beyond the limits of recursive readers, and of what reads Python itself."""
+    deep = b"[" * 60_000 + b"]" * 60_000
+    assert syntax.check("json", deep) is None and syntax.check("json", b"[" + b"9" * 5000 + b"]") is None
+    assert syntax.check("json", deep[1:])[0] == 1
+    assert syntax.check("toml", b"a = " + b"[" * 3000 + b"]" * 3000) is None and syntax.check("toml", b"a = " + b"7" * 5000) is None
+    assert syntax.check("toml", b"a = " + b"[" * 3000 + b"]" * 2999)[0] == 1
+    assert syntax.check("python", b"x = " + b"(" * 250 + b"1" + b")" * 250 + b"\n") is None
+    assert syntax.check("python", b"x = " + b"(" * 250 + b"1" + b")" * 249 + b"\n")[0] == 1
+    nest = b"".join(b" " * i + b"if x:\n" for i in range(120)) + b" " * 120 + b"pass\n"
+    assert syntax.check("python", nest) is None
+    assert syntax.check("sourcepawn", b"void f() { x = " + b"(" * 300 + b"1" + b")" * 300 + b"; }") is None
+
+
+def test_reserved_words_are_no_names():
+    assert syntax.check("sourcepawn", b"import os\n")[2] == "mismatch" and syntax.check("sourcepawn", b"int package;")[0] == 1
+    assert syntax.check("sourcepawn", b"forward void A()\n// one\n\nstatic int B(int x)\n{\n}\n") is None  # newlines around comments
+
+
+def test_brackets_are_replaced_where_that_is_cheapest():
+    assert [syntax.check("json", c)[0] for c in (b"[[1,2},3]", b"[1,2}", b"{s[]}", b"[1]]", b"[[1]", b"}1]", b"[{]")] == [1, 1, 2, 1, 1, 1, 1]
+
+
+def test_repair_of_short_json_against_the_least():
+    """Repairs are never below the least number of edits, and mostly equal to it; README gives the rate."""
+    language, rng = syntax._json(), random.Random(9)
+    alphabet = "s0,:[]{}"
+
+    def valid(k):
+        return language.accepts(k)
+
+    def least(k):
+        seen, front, n = {k}, {k}, 0
+        while not any(map(valid, front)):
+            n += 1
+            front = {y for x in front for i in range(len(x) + 1) for y in {x[:i] + x[i + 1 :], *(x[:i] + c + x[i:] for c in alphabet), *(x[:i] + c + x[i + 1 :] for c in alphabet if i < len(x))}} - seen
+            seen |= front
+        return n
+
+    got = []
+    for _ in range(60):
+        k = rng.choice(["[0,[0,s]]", "{s:[0],s:{}}", "[{s:0},0]"])
+        for _ in range(rng.randrange(1, 3)):
+            i = rng.randrange(len(k) + 1)
+            k = k[:i] + rng.choice(["", *alphabet]) + k[i + rng.randrange(2) :]
+        got.append((language.repair(k)[0], least(k)))
+    assert all(a >= b and (a == 0) == (b == 0) for a, b in got)
+    assert sum(a == b for a, b in got) >= 0.7 * len(got) and sum(a for a, _ in got) <= 1.5 * sum(b for _, b in got), got
+
+
+PYTHON = [
+    "x = 1; y: int = 2\n", "def f(a, /, b: int = 1, *c, d=2, **e) -> int:\n    return a if b else lambda x, *y: (x, y)\n", "class A(B, k=1):\n    x: int\n    @p.q(1)\n    async def f(self): await g(*a, **b)\n", "for i, *j in z: print(i, end='')\nelse:\n    pass\n",
+    "try:\n    x[1:2, ::3] = {**a, 'b': [c for d in e if f], **{1, 2}}\nexcept (A, B) as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    del x, y\n", "with a as b, c(): pass\nwhile (n := f()) not in x is not y: n **= 2\n", "match x:\n    case [1, *r] if r: pass\n    case A(b=1) | {'k': 2}: pass\n    case _: ...\n",
+    "from . import (a as b,\n  c)\nimport a.b as c, d\nfrom ..x import *\nglobal z\nassert x, 'y'\n", "if a:\n\tif b: c\n\telif d:\n\t\te\n\n# comment\n\telse: f\ng = x,\nh = not -a ** ~b @ c // d\n", "type X[T] = list[T]\ndef f[T](x: T): return 'a' \"b\" f'{x}'\n", "x = [\n  1,\n # c\n]\nprint(a for b in c)\n",
+]
+
+
+@pytest.mark.parametrize("text", PYTHON)
+def test_python_chart(text):
+    """Valid text has no edits in the chart itself; damage has few."""
+    compile(text, "f", "exec")
+    language = python_toml.python()
+    assert language.accepts(language.kinds(language.tokenize(text))[0]), language.bad
+    for damage in (text + "x = = 1\n", text + "y = (1\n", text + "x 2\n"):
+        assert syntax.check("python", damage.encode())[0] == 1
+
+
+def test_toml_chart():
+    text = 'a = 1\nb.c."d e" = [1, 2.5, # x\n "s", ]\n\n[t.u]\n1.5 = {x = 1, y = [true]}\n[[v]]\nd = 1979-05-27T07:32:00Z\ne = """a\nb"""\nf = \'x\'\ng = +inf\nh = 07:32:00\ni = 0xff\n'
+    language = python_toml.toml()
+    assert language.accepts(language.kinds(language.tokenize(text))[0]), language.bad
+    assert syntax.check("toml", text.encode()) is None
+    assert [syntax.check("toml", (text + t).encode())[0] for t in ("z 1\n", "z = \n", "z = [1\n", "[q\n", "a = 2\nz = 1\nz = 2\n")] == [1, 1, 1, 1, 1]
+
+
 def test_chart_equals_plain_distance_without_bound():
     chart, rng = grammar.Chart("a(?:b,)*c?"), random.Random(6)
     words = ["a" + "b," * n + tail for n in range(14) for tail in ("", "c")]
@@ -192,7 +269,7 @@ native int Shared();
 
 
 def test_pairs_rules():
-    got = {full for full, bare, c in pairs.documented(SOURCE.encode()) if pairs.own_words(pairs.brief_of(c), bare) >= 5}
+    got = {full for full, bare, c, *_ in pairs.documented(SOURCE.encode()) if pairs.own_words(pairs.brief_of(c), bare) >= 5}
     assert got == {"Second", "Tail", "Tagged", "Map.Map", "Map.Push", "Rec.Do", "Old", "Shared"}
     every = {full for full, *_ in pairs.documented(SOURCE.encode())}
     assert every == got | {"TwoLines", "ReadsOpen", "OnlyTags"}
@@ -200,6 +277,26 @@ def test_pairs_rules():
     assert pairs.documented(SOURCE.encode() + b"}") == [] == pairs.documented(b"")
 
 
+def test_code_of_pairs():
+    """Spans run from the first specifier to the end of the body or declaration; equal names stay apart."""
+    content = f"""
+// {DOC}
+native int A(int x = (1));
+// {DOC}
+forward void A()
+// {DOC}
+static int[] B(int x) // tail
+{{
+	if (x) {{ return "}}"; }}
+}}
+methodmap M {{
+	// {DOC}
+	public native M(int x);
+}}""".encode()
+    found = [(full, content[a:b].decode()) for full, _, _, a, b in pairs.documented(content)]
+    assert found == [("A", "native int A(int x = (1));"), ("A", "forward void A()"), ("B", 'static int[] B(int x) // tail\n{\n\tif (x) { return "}"; }\n}'), ("M.M", "public native M(int x);")]
+
+
 @pytest.mark.parametrize("header", ["methodmap Far < Base", "enum struct Far"])
 def test_owner_far_from_its_brace(header):
     gap = "\n" + "// line\n" * 300

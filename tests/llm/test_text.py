@@ -197,6 +197,47 @@ def test_repetition_where_most_of_a_group_repeats(spark):
     assert {r["doc_id"] for r in repetition.repetitive(df).collect()} == set(range(40))
 
 
+def _stats(spark, vectors, group="en"):
+    rows = [(i, group, "s", 1, 0, 0.0, *map(float, v)) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "doc_id bigint, language string, origin string, n_words bigint, n_repeated bigint, share double, x0 double, x1 double, x2 double, x3 double")
+
+
+def _robust(x, steps=4):
+    """The estimate in numpy: squared distances of all rows."""
+
+    def fit(rows, factor):
+        return rows.mean(0), np.cov(rows.T, bias=True) * factor + repetition.RIDGE * np.eye(x.shape[1])
+
+    def d2(m, c):
+        y = x - m
+        return (y @ np.linalg.inv(c) * y).sum(1)
+
+    lower = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    off = np.abs(x - lower(x))
+    found = []
+    for d in ((off**2).sum(1), (off**2 / (2.2 * lower(off) ** 2 + repetition.RIDGE)).sum(1)):
+        for _ in range(steps):
+            m, c = fit(x[d <= lower(d)], 1.0)
+            d = d2(m, c)
+        found.append((np.linalg.det(c), d))
+    d = min(found, key=lambda f: f[0])[1]
+    return d2(*fit(x[d <= repetition.CHI2_975 * repetition.HALF], repetition.REWEIGHTED))
+
+
+def test_estimate_against_numpy_and_rate_on_clean_data(spark):
+    rng = np.random.default_rng(5)
+    clean = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 4)) * 3
+    far = rng.normal(size=(200, 4)) * 0.5 + [40, -40, 30, 30]
+    for x, known in ((clean, 900), (np.concatenate([clean, far]), 900), (np.zeros((7, 4)), 7)):
+        got = {r["doc_id"]: (r["d2"], r["rejected"]) for r in repetition.robust(_stats(spark, x)).collect()}
+        want = _robust(x)
+        assert np.allclose([got[i][0] for i in range(len(x))], want, rtol=1e-6, atol=1e-9)
+        assert all(got[i][1] for i in range(known, len(x)))
+        assert sum(got[i][1] for i in range(known)) <= 0.05 * known and (known < 900 or sum(got[i][1] for i in range(known)) >= 0.01 * known)
+    shuffled = repetition.robust(_stats(spark, clean[:50]), sent_groups=0).collect()
+    assert np.allclose([r["d2"] for r in sorted(shuffled, key=lambda r: r["doc_id"])], _robust(clean[:50]))
+
+
 def test_outliers_are_far_from_their_group(spark):
     rng = random.Random(4)
     plain = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(80, 120))) for _ in range(120)]
