@@ -17,6 +17,9 @@ KEYWORDS = {
     "if": "i", "else": "l", "for": "h", "while": "H", "do": "d", "switch": "S", "case": "c", "default": "D", "return": "R", "break": "B", "continue": "C", "new": "N", "decl": "L", "sizeof": "z",
     "view_as": "V", "delete": "Z", "operator": "O", "using": "U", "functag": "g", "funcenum": "G", "exit": "x", "goto": "x", "assert": "x", "int": TYPE, "float": TYPE, "bool": TYPE, "char": TYPE, "any": TYPE, "void": TYPE,
 }
+#: Words that the language reserves for later; they are no names.
+RESERVED = "acquire as catch cast_to double explicit finally foreach implicit import in interface let namespace nullable object package private protected readonly sealed throw try typeof union var variant virtual volatile with".split()
+KEYWORDS |= dict.fromkeys(RESERVED, BAD)
 DIRECTIVES = "include tryinclude define undef if else elseif endif endinput pragma error warning assert file line emit deprecate".split()
 OPERATORS = {
     "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}", ";": ";", ",": ",", ".": ".", ":": ":", "?": "?", "=": "=", "~": "j", "!": "j", "-": "-", "&": "&", "<": "<", ">": ">", "++": "I", "--": "I", "::": "J", "...": "E",
