@@ -4,18 +4,52 @@ Cycles are set apart by pointer doubling, which also sums subtree sizes. Heavy-p
 cuts the trees into chains: each node's heaviest child continues its chain. Chain segments of paths are
 joined by doubling along the chains, and chains are joined along light edges, of which no way to a root
 has more than log2(n). Every node gets an interval that holds exactly the numbers of its descendants.
+
+Nodes are 64-bit hashes in all rounds; names come in for the segments and the result. A node that has
+arrived leaves the rounds: only those still on their way are joined and written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolloom.session import cut, cut_counting
+from symbolloom.session import Stored
 
 SIBLING_BUCKETS = 64
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+class _Rounds:
+    """Pointer doubling over rows (id, up, values): ``up`` is an id, or null for a row that has arrived.
+
+    ``done`` holds those that have arrived, each written once; ``live`` the last round's others. A round joins
+    the live rows with what their ``up`` has reached by then; ``merge`` gives the new values from the row's own
+    columns and those of its ``up``, which end in 2.
+    """
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.step, first = 1, Stored(rows, "up")
+        self.done, self.live, self.n = [first.df.where("up is null")], first.df.where("up is not null"), first.n
+
+    def go(self, merge: dict[str, Column], extra: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        wanted = ["up", *merge]
+        targets = _union([d.select("id", *wanted) for d in [*self.done, self.live]])
+        targets = targets.select(F.col("id").alias("up"), *(F.col(c).alias(f"{c}2") for c in wanted))
+        moved = self.live.join(targets, "up").select("id", F.col("up2").alias("up"), *(v.alias(c) for c, v in merge.items()), *([c for c in self.live.columns if c not in ("id", *wanted)]))
+        new = Stored(extra(moved) if extra else moved, "up")
+        self.done.append(new.df.where("up is null"))
+        self.live, self.n, self.step = new.df.where("up is not null"), new.n, self.step * 2
+
+
 def hierarchy(links: DataFrame) -> DataFrame:
     """From (tree, name, parent), unique in (tree, name): root, depth, path, below, state, first and last.
 
@@ -23,79 +57,81 @@ def hierarchy(links: DataFrame) -> DataFrame:
     ``on_cycle`` if it returns to the node, else ``below_cycle``; for the last two root and path are '',
     depth, below, first and last -1. In a tree, the nodes numbered first..last (of the same root) are the
     node and its descendants, and below = last - first. Null names or tree keys give no rows; an empty
-    table gives none. All steps are joins and partial aggregations on (tree, name): no group is gathered.
+    table gives none. All steps are joins and partial aggregations on node ids: no group is gathered.
     """
-    links = links.where("tree is not null and name is not null")
-    known = links.select("tree", F.col("name").alias("parent"), F.lit(True).alias("known"))
-    nodes, left = cut_counting(links.join(known, ["tree", "parent"], "left").select("tree", "name", F.when(F.col("known"), F.col("parent")).alias("parent")), "parent")
-
-    # pointer doubling: up is the ancestor 2**k above, size the number of nodes less than 2**k below (with itself)
-    state = nodes.select("tree", "name", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("name")).alias("root"), F.when(F.col("parent").isNull(), F.lit(0)).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size"))
-    step, before = 1, -1
-    while left and left != before:
-        up = state.select("tree", F.col("name").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        more = state.where("up is not null").groupBy("tree", F.col("up").alias("name")).agg(F.sum("size").alias("more"))
-        joined = state.join(up, ["tree", "up"], "left").join(more, ["tree", "name"], "left")
-        before = left
-        state, left = cut_counting(joined.select("tree", "name", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), F.coalesce("depth", F.col("depth2") + step).alias("depth"), F.when(F.coalesce("root", "root2").isNotNull() | F.lit(step < 1 << 30), F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "up")
-        step *= 2
-
-    # what never ends: the images of longer and longer jumps shrink to the cycles
-    looped = state.where("up is not null").select("tree", "name", "up")
-    if left:
-        jump, before = looped, -1
-        image = looped.select("tree", "up").distinct().count()
+    ids = links.where("tree is not null and name is not null").select(F.xxhash64("tree", "name").alias("id"), F.when(F.col("parent").isNotNull(), F.xxhash64("tree", "parent")).alias("pid"), "tree", "name")
+    names = Stored(ids).df
+    known = names.select(F.col("id").alias("pid"), F.lit(True).alias("known"))
+    linked = names.select("id", "pid").join(known, "pid", "left").select("id", F.when(F.col("known"), F.col("pid")).alias("up"))
+
+    # up is the ancestor 2**k above, size the number of nodes less than 2**k below (with itself); more: what a round adds
+    top = F.col("up").isNull()
+    rounds = _Rounds(linked.select("id", "up", F.col("up").alias("parent"), F.when(top, F.col("id")).alias("root"), F.when(top, F.lit(0)).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")))
+    more, before = [], -1
+    while rounds.n and rounds.n != before:
+        before = rounds.n
+        more.append(rounds.live.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more")))
+        grown = lambda moved: moved.join(more[-1], "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        rounds.go({"root": F.col("root2"), "depth": F.col("depth2") + rounds.step}, grown)
+    trees = _union([d.select("id", "parent", "root", "depth") for d in rounds.done])
+    if more:
+        trees = trees.join(_union(more).groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
+    trees = Stored(trees.select("id", "parent", "root", "depth", ((F.coalesce("more", F.lit(0)) if more else F.lit(0)) + 1).cast("bigint").alias("size"))).df
+    return _labels(trees, names).unionByName(_loops(rounds, names))
+
+
+def _loops(rounds: _Rounds, names: DataFrame) -> DataFrame:
+    """Nodes whose way up never ends: the images of longer and longer jumps shrink to the cycles."""
+    state = rounds.live.select("id", F.lit("on_cycle").alias("state"))
+    if rounds.n:
+        jump, before = Stored(rounds.live.select("id", "up")), -1
+        image = jump.df.select("up").distinct().count()
         while image != before:
-            up = jump.select("tree", F.col("name").alias("up"), F.col("up").alias("up2"))
-            jump = cut(jump.join(up, ["tree", "up"]).select("tree", "name", F.col("up2").alias("up")))
-            before, image = image, jump.select("tree", "up").distinct().count()
-        on_cycle = jump.select("tree", F.col("up").alias("name"), F.lit("on_cycle").alias("state")).distinct()
-        rest = jump.select("tree", "name").join(on_cycle, ["tree", "name"], "left").withColumn("state", F.coalesce("state", F.lit("below_cycle")))
-    else:
-        rest = looped.select("tree", "name", F.lit("on_cycle").alias("state"))
+            up = jump.df.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+            after = Stored(jump.df.join(up, "up").select("id", F.col("up2").alias("up")))
+            jump.drop()
+            jump, before = after, image
+            image = jump.df.select("up").distinct().count()
+        on_cycle = jump.df.select(F.col("up").alias("id"), F.lit("on_cycle").alias("state")).distinct()
+        state = jump.df.select("id").join(on_cycle, "id", "left").withColumn("state", F.coalesce("state", F.lit("below_cycle")))
     minus, empty = F.lit(-1).cast("bigint"), F.lit("")
-    rest = rest.select("tree", "name", empty.alias("root"), minus.alias("depth"), empty.alias("path"), minus.alias("below"), "state", minus.alias("first"), minus.alias("last"))
-
-    trees = cut(nodes.join(state.where("up is null").select("tree", "name", "root", "depth", "size"), ["tree", "name"]))
-    return _labels(trees).unionByName(rest)
-
-
-def _labels(trees: DataFrame) -> DataFrame:
-    """Paths and intervals of nodes (tree, name, parent, root, depth, size) by heavy chains."""
-    children = trees.where("parent is not null")
-    heavy = children.groupBy("tree", "parent").agg(F.max_by("name", F.struct("size", "name")).alias("heavy"), F.max("size").alias("heavy_size"))
-    # numbers of siblings: the heavy child first, then by bucket, then by name; sums cross buckets by one row a bucket
-    bucket = F.pmod(F.xxhash64("name"), F.lit(SIBLING_BUCKETS))
-    placed = children.join(heavy, ["tree", "parent"]).withColumn("is_heavy", F.col("name") == F.col("heavy")).withColumn("bucket", bucket)
-    light = placed.where("not is_heavy")
-    in_bucket = Window.partitionBy("tree", "parent", "bucket").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    totals = light.groupBy("tree", "parent", "bucket").agg(F.sum("size").alias("total"))
-    totals = totals.withColumn("earlier", F.coalesce(F.sum("total").over(Window.partitionBy("tree", "parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    light = light.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(totals.drop("total"), ["tree", "parent", "bucket"])
-    offsets = placed.where("is_heavy").select("tree", "name", F.lit(1).cast("bigint").alias("offset"), F.lit(True).alias("is_heavy"))
-    offsets = offsets.unionByName(light.select("tree", "name", (1 + F.col("heavy_size") + F.col("earlier") + F.col("inside")).alias("offset"), F.lit(False).alias("is_heavy")))
-    nodes = cut(trees.join(offsets, ["tree", "name"], "left").select("*", F.coalesce("is_heavy", F.lit(False)).alias("down")).drop("is_heavy"))
+    return state.join(names.select("id", "tree", "name"), "id").select("tree", "name", empty.alias("root"), minus.alias("depth"), empty.alias("path"), minus.alias("below"), "state", minus.alias("first"), minus.alias("last"))
+
+
+def _labels(trees: DataFrame, names: DataFrame) -> DataFrame:
+    """Paths and intervals of nodes (id, parent, root, depth, size) by heavy chains."""
+    children = trees.where("parent is not null").select("id", "parent", "size")
+    heavy = children.groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select("parent", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size"))
+    # numbers of siblings: the heavy child first, then by bucket, then by id; sums cross buckets by one row a bucket
+    placed = children.join(heavy, "parent").withColumn("bucket", F.pmod("id", F.lit(SIBLING_BUCKETS)))
+    light = placed.where("id <> heavy")
+    in_bucket = Window.partitionBy("parent", "bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    totals = light.groupBy("parent", "bucket").agg(F.sum("size").alias("total"))
+    totals = totals.select("parent", "bucket", F.coalesce(F.sum("total").over(Window.partitionBy("parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    light = light.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(totals, ["parent", "bucket"])
+    offsets = placed.where("id = heavy").select("id", F.lit(1).cast("bigint").alias("offset"), F.lit(True).alias("down"))
+    offsets = offsets.unionByName(light.select("id", (1 + F.col("heavy_size") + F.col("earlier") + F.col("inside")).alias("offset"), F.lit(False).alias("down")))
+    nodes = Stored(trees.join(offsets, "id", "left").join(names.select("id", "name"), "id").select("id", "parent", "name", F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce("down", F.lit(False)).alias("down"))).df
 
     # segments within chains
-    seg = nodes.select("tree", "name", F.when(F.col("down"), F.col("parent")).alias("up"), F.when(~F.col("down"), F.col("name")).alias("head"), F.col("name").alias("seg"), F.lit(0).cast("bigint").alias("steps"))
-    step, left = 1, 1
-    while left:
-        up = seg.select("tree", F.col("name").alias("up"), F.col("up").alias("up2"), F.col("head").alias("head2"), F.col("seg").alias("seg2"), F.col("steps").alias("steps2"))
-        seg, left = cut_counting(seg.join(up, ["tree", "up"], "left").select("tree", "name", F.col("up2").alias("up"), F.coalesce("head", "head2").alias("head"), F.concat_ws("/", "seg2", "seg").alias("seg"), F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.coalesce("steps2", F.lit(0)) + step).alias("steps")), "up")
-        step *= 2
+    chains = _Rounds(nodes.select("id", F.when(F.col("down"), F.col("parent")).alias("up"), F.when(~F.col("down"), F.col("id")).alias("head"), F.col("name").alias("seg"), F.lit(0).cast("bigint").alias("steps")))
+    while chains.n:
+        chains.go({"head": F.col("head2"), "seg": F.concat_ws("/", "seg2", "seg"), "steps": F.col("steps2") + chains.step})
+    seg = _union(chains.done)
 
     # chains along light edges: what stands before a chain's head
-    heads = nodes.where("not down").select("tree", F.col("name").alias("head"), F.col("parent").alias("attach"), F.coalesce("offset", F.lit(0)).alias("offset"))
-    above = seg.select("tree", F.col("name").alias("attach"), F.col("head").alias("up"), F.col("seg").alias("prefix"), F.col("steps").alias("lead"))
-    chains, left = cut_counting(heads.join(above, ["tree", "attach"], "left").select("tree", "head", "up", "prefix", (F.col("offset") + F.coalesce("lead", F.lit(0))).alias("first")), "up")
-    while left:
-        up = chains.select("tree", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("prefix").alias("prefix2"), F.col("first").alias("first2"))
-        chains, left = cut_counting(chains.join(up, ["tree", "up"], "left").select("tree", "head", F.col("up2").alias("up"), F.when(F.col("prefix2").isNotNull(), F.concat_ws("/", "prefix2", "prefix")).otherwise(F.col("prefix")).alias("prefix"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first")), "up")
-
-    whole = seg.select("tree", "name", "head", "seg", "steps").join(chains.drop("up"), ["tree", "head"]).join(trees.select("tree", "name", "root", "depth", "size"), ["tree", "name"])
+    heads = nodes.where("not down").select("id", F.col("parent").alias("attach"), "offset")
+    above = seg.select(F.col("id").alias("attach"), F.col("head").alias("up"), F.col("seg").alias("prefix"), F.col("steps").alias("lead"))
+    light_edges = _Rounds(heads.join(above, "attach", "left").select("id", "up", "prefix", (F.col("offset") + F.coalesce("lead", F.lit(0))).alias("first")))
+    while light_edges.n:
+        light_edges.go({"prefix": F.concat_ws("/", "prefix2", "prefix"), "first": F.col("first") + F.col("first2")})
+    before = _union(light_edges.done).select(F.col("id").alias("head"), "prefix", "first")
+
+    whole = seg.select("id", "head", "seg", "steps").join(before, "head").join(trees.drop("parent"), "id").join(names.select("id", "tree", "name"), "id")
+    whole = whole.join(names.select(F.col("id").alias("root"), F.col("name").alias("root_name")), "root")
     first = F.col("first") + F.col("steps")
     last = first + F.col("size") - 1
-    return whole.select("tree", "name", "root", "depth", F.concat_ws("/", "prefix", "seg").alias("path"), (last - first).alias("below"), F.lit("tree").alias("state"), first.alias("first"), last.alias("last"))
+    return whole.select("tree", "name", F.col("root_name").alias("root"), "depth", F.concat_ws("/", "prefix", "seg").alias("path"), (last - first).alias("below"), F.lit("tree").alias("state"), first.alias("first"), last.alias("last"))
 
 
 def declared(rows: DataFrame) -> DataFrame:

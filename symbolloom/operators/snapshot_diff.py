@@ -14,14 +14,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolloom.session import cut, null_safe_hash
+from symbolloom.session import Stored, null_safe_hash
 
 PARTS, WIDTH = 3, 8
 CELLS = PARTS * WIDTH
 BUCKET_KEYS, SPLIT = 256, 8
+#: Rows of a strand that are handled in one place, at most.
+BLOCK_ROWS = 1 << 20
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
@@ -80,45 +82,50 @@ def _peel_all(count: np.ndarray, key: np.ndarray, digest: np.ndarray, item: np.n
     return *merged, clean
 
 
-BUCKET = ["bundle", "strand", "bucket"]
+BUCKET = ["sh", "bucket", "block", "inner", "rev"]
 #: Columns of peeled items; rows with sign 0 mark buckets that didn't come apart.
-_ITEMS = "bundle string, strand string, bucket bigint, inner bigint, rev bigint, prev bigint, sign int, kh bigint"
-_FIXED = 6
+_ITEMS = "sh bigint, bucket bigint, block bigint, inner bigint, rev bigint, sign int, kh bigint"
 
 
 def _peel(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Peels subtracted tables: six fixed columns, then the cells' four fields."""
+    """Peels subtracted tables: the columns of BUCKET, then the cells' four fields."""
     names = [x.split()[0] for x in _ITEMS.split(", ")]
+    fixed = len(BUCKET)
     for batch in batches:
         if not batch.num_rows:
             continue
-        field = lambda f: np.stack([batch.column(_FIXED + f * CELLS + c).to_numpy(zero_copy_only=False) for c in range(CELLS)], 1)
+        field = lambda f: np.stack([batch.column(fixed + f * CELLS + c).to_numpy(zero_copy_only=False) for c in range(CELLS)], 1)
         row, sign, key, _, clean = _peel_all(field(0).astype(np.int64), *(np.ascontiguousarray(field(f).astype(np.int64)).view(np.uint64) for f in (1, 2, 3)), depth)
         failed, fine = np.flatnonzero(~clean), clean[row]
         take = pa.array(np.concatenate([row[fine], failed]))
         none = np.zeros(len(failed), np.int64)
         signs, keys = np.concatenate([sign[fine], none]), np.concatenate([key[fine].view(np.int64), none])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(_FIXED)), pa.array(signs.astype(np.int32)), pa.array(keys)], names=names)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(fixed)), pa.array(signs.astype(np.int32)), pa.array(keys)], names=names)
 
 
-def _subtracted(held: DataFrame, pairs: DataFrame, level: int, depth: int) -> DataFrame:
-    """Tables of the later snapshot less those of the earlier one, for each bucket of ``pairs``.
+def _signed(held: DataFrame, tasks: int) -> DataFrame:
+    """The rows by bucket and block, each +1 in the table of its snapshot and -1 in that of the next one.
 
-    ``pairs``: BUCKET, and ``todo``, an array of (rev, prev, inner). A row of ``held`` counts +1 where its
-    snapshot is the later one and -1 where it is the earlier one; equal items cancel. The join and the
-    aggregation use the partitioning by BUCKET that both sides have, so nothing is shuffled.
+    A row is sent once, or twice where the next snapshot's table is in another block. The tables' aggregation
+    uses this partitioning.
     """
-    inner = F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level))
-    hits = F.filter("todo", lambda p: (p["inner"] == F.col("inner")) & ((p["rev"] == F.col("rev")) | (p["prev"] == F.col("rev"))))
-    rows = held.withColumn("inner", inner).join(pairs.hint("shuffle_hash"), BUCKET).select(*BUCKET, "inner", "kh", "dg", F.xxhash64("kh", "dg").alias("ih"), F.col("rev").alias("own"), F.explode(hits).alias("p"))
-    rows = rows.select(*BUCKET, "inner", F.col("p.rev").alias("rev"), F.col("p.prev").alias("prev"), "kh", "dg", "ih", F.when(F.col("own") == F.col("p.rev"), 1).otherwise(-1).alias("sign"))
+    here = F.when(F.col("first"), F.lit(None)).otherwise(F.struct("block", F.col("rev"), F.lit(1).alias("sign")))
+    there = F.when(F.col("next").isNotNull(), F.struct(F.col("next_block").alias("block"), F.col("next").alias("rev"), F.lit(-1).alias("sign")))
+    both = F.filter(F.array(here, there), lambda x: x.isNotNull())
+    shared = (F.col("block") == F.col("next_block")) | F.col("next").isNull()
+    sent = held.select("sh", F.pmod(F.col("kh"), F.col("buckets")).alias("bucket"), "kh", "dg", F.explode(F.when(shared, F.array(both)).otherwise(F.transform(both, lambda x: F.array(x)))).alias("todo")).where("size(todo) > 0")
+    sent = sent.select("sh", "bucket", F.get("todo", 0)["block"].alias("block"), "kh", "dg", F.transform("todo", lambda x: F.struct(x["rev"].alias("rev"), x["sign"].alias("sign"))).alias("todo"))
+    rows = sent.repartition(tasks, "sh", "bucket", "block").select("sh", "bucket", "block", "kh", "dg", F.xxhash64("kh", "dg").alias("ih"), F.explode("todo").alias("p"))
+    return rows.select("sh", "bucket", "block", "kh", "dg", "ih", "p.rev", "p.sign")
+
+
+def _subtracted(rows: DataFrame, depth: int) -> DataFrame:
+    """The table of each snapshot less that of the one before, for each bucket; equal items cancel."""
     aggs = []
     for c, hit in enumerate(_cells(F.col("ih"), depth)):
         aggs.append(F.coalesce(F.sum(F.when(hit, F.col("sign"))), F.lit(0)).cast("int").alias(f"n{c}"))
         aggs += [F.coalesce(F.bit_xor(F.when(hit, F.col(s))), F.lit(0)).alias(f"{t}{c}") for s, t in (("kh", "k"), ("dg", "d"), ("ih", "i"))]
-    fixed = [*BUCKET, "inner", "rev", "prev"]
-    tables = rows.groupBy(*fixed).agg(*aggs)
-    return tables.select(*fixed, *(f"{t}{c}" for t in "nkdi" for c in range(CELLS)))
+    return rows.groupBy(*BUCKET).agg(*aggs).select(*BUCKET, *(f"{t}{c}" for t in "nkdi" for c in range(CELLS)))
 
 
 def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
@@ -127,53 +134,46 @@ def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
     A snapshot is all rows of a (bundle, strand) with one version.count; rows with a null version count or
     a null bundle or strand belong to none. Where a key (category, name; null is a value) occurs more than
     once, the row with the highest decl_ord holds (null lowest; equal ones: the highest digest).
-    ``attributes`` are compared by 64-bit digests, null equal to null only. The first snapshot of a strand
-    gives nothing; an empty table gives nothing; other columns don't matter.
+    ``attributes`` are compared by 64-bit digests, null equal to null only; strands and keys are 64-bit hashes
+    until the end. The first snapshot of a strand gives nothing; an empty table gives nothing; other columns
+    don't matter.
 
-    Copies are combined before they are shuffled; one shuffle then brings the digests together by (bundle,
-    strand, bucket). Strands with more than BUCKET_KEYS
-    rows in a snapshot have more buckets, so no strand gathers in one task; only the list of its version
-    counts does.
+    Copies are combined before they are shuffled. Strands with more than BUCKET_KEYS rows in a snapshot have
+    more buckets, and those with more than BLOCK_ROWS rows have blocks of consecutive snapshots, so no strand
+    gathers in one task; only its version counts pass through one.
     """
-    key_hash = null_safe_hash(F.col("category"), F.col("name"))
+    key_hash, strand_hash = null_safe_hash(F.col("category"), F.col("name")), F.xxhash64("bundle", "strand")
     base = snapshots.where("bundle is not null and strand is not null and version.count is not null")
-    rev = F.col("version.count")
-    n = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(c) for c in BUCKET]
-    sizes = base.groupBy("bundle", "strand", rev.alias("rev")).agg(F.count(F.lit(1)).alias("n"))
-    strands = cut(sizes.groupBy("bundle", "strand").agg(F.ceil(F.max("n") / BUCKET_KEYS).cast("int").alias("buckets"), F.sort_array(F.collect_list("rev")).alias("revs")))
-    hot = strands.where("buckets > 1").select("bundle", "strand", "buckets")
-    n_hot = hot.count()
-    slim = base.select("bundle", "strand", rev.alias("rev"), key_hash.alias("kh"), F.struct(F.col("decl_ord").alias("ord"), null_safe_hash(*attributes).alias("dg")).alias("m"))
-    if n_hot:
-        slim = slim.join(F.broadcast(hot) if n_hot <= 10_000 else hot, ["bundle", "strand"], "left")
-        slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.coalesce("buckets", F.lit(1)).cast("bigint")))
-    else:
-        slim = slim.withColumn("bucket", F.pmod(F.col("kh"), F.lit(1).cast("bigint")))
-    # copies of a row meet in a partial aggregation first, so that none of them moves; then one row a key and snapshot does
-    held = slim.groupBy(*BUCKET, "rev", "kh").agg(F.max("m").alias("m")).select(*BUCKET, "rev", "kh", F.col("m.dg").alias("dg"))
-    held = cut(held.repartition(n, *by))
-
-    steps = F.transform(F.sequence(F.lit(1), F.size("revs") - 1), lambda i: F.struct(F.get("revs", i).alias("rev"), F.get("revs", i - 1).alias("prev"), F.lit(0).cast("bigint").alias("inner"))).cast("array<struct<rev:bigint,prev:bigint,inner:bigint>>")
-    pairs = strands.where("size(revs) > 1").select("bundle", "strand", F.explode(F.sequence(F.lit(0), F.greatest("buckets", F.lit(1)) - 1).cast("array<bigint>")).alias("bucket"), steps.alias("todo")).repartition(n, *by)
-    parts, level = [], 1
+    tasks = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = base.select(strand_hash.alias("sh"), F.col("version.count").alias("rev"), key_hash.alias("kh"), F.struct(F.col("decl_ord").alias("ord"), null_safe_hash(*attributes).alias("dg")).alias("m"))
+
+    # what each snapshot's rows need: the next snapshot, and how the strand is cut
+    strand = Window.partitionBy("sh")
+    revs = base.select(strand_hash.alias("sh"), F.col("version.count").alias("rev")).groupBy("sh", "rev").agg(F.count(F.lit(1)).alias("n"))
+    revs = revs.withColumn("block", F.floor(F.sum("n").over(strand.orderBy("rev").rowsBetween(Window.unboundedPreceding, -1)) / BLOCK_ROWS)).withColumn("first", F.col("block").isNull()).withColumn("block", F.coalesce("block", F.lit(0)))
+    revs = revs.withColumn("next", F.lead("rev").over(strand.orderBy("rev"))).withColumn("next_block", F.lead("block").over(strand.orderBy("rev"))).withColumn("buckets", F.ceil(F.max("n").over(strand) / BUCKET_KEYS))
+    held = slim.groupBy("sh", "rev", "kh").agg(F.max("m").alias("m")).select("sh", "rev", "kh", F.col("m.dg").alias("dg"))
+    held = Stored(held.join(revs.drop("n"), ["sh", "rev"])).df
+
+    rows, parts, level = _signed(held, tasks).withColumn("inner", F.lit(0).cast("bigint")), [], 1
     while True:
         depth = len(parts)
-        parts.append(cut(_subtracted(held, pairs, level, depth).mapInArrow(partial(_peel, depth=depth), _ITEMS)))
-        failed = parts[-1].where("sign = 0")
+        parts.append(Stored(_subtracted(rows, depth).mapInArrow(partial(_peel, depth=depth), _ITEMS)).df)
+        failed = parts[-1].where("sign = 0").select(*BUCKET)
         if failed.isEmpty():
             break
         # failed buckets again: each is cut into SPLIT ones by further bits of the key hash
-        again = F.sequence(F.col("inner"), F.col("inner") + level * (SPLIT - 1), F.lit(level).cast("bigint"))
-        pairs = failed.select(*BUCKET, "rev", "prev", F.explode(again).alias("inner")).select(*BUCKET, F.struct("rev", "prev", "inner").alias("p")).repartition(n, *by).groupBy(*BUCKET).agg(F.collect_list("p").alias("todo"))
+        again = F.explode(F.sequence(F.col("inner"), F.col("inner") + level * (SPLIT - 1), F.lit(level).cast("bigint")))
         level *= SPLIT
+        rows = _signed(held, tasks).withColumn("inner", F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level)))
+        rows = rows.join(failed.select("sh", "bucket", "block", "rev", again.alias("inner")), BUCKET, "left_semi")
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
-    found = items.where("sign <> 0").groupBy("bundle", "strand", "rev", "kh").agg(F.max("sign").alias("most"), F.min("sign").alias("least"))
+    found = items.where("sign <> 0").groupBy("sh", "rev", "kh").agg(F.max("sign").alias("most"), F.min("sign").alias("least"))
     change = F.when(F.col("least") > 0, "added").when(F.col("most") < 0, "removed").otherwise("changed")
-    names = base.select("bundle", "strand", key_hash.alias("kh"), "category", "name").distinct()
-    return found.join(names, ["bundle", "strand", "kh"]).select("bundle", "strand", "category", "name", F.col("rev").alias("rev_count"), change.alias("change"))
+    names = base.select("bundle", "strand", "category", "name").distinct().withColumn("sh", strand_hash).withColumn("kh", key_hash)
+    return found.join(names, ["sh", "kh"]).select("bundle", "strand", "category", "name", F.col("rev").alias("rev_count"), change.alias("change"))
 
 
 def symbol_attributes() -> list[Column]:

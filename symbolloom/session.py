@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def cut_counting(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+class Stored:
+    """A frame written once to the shared checkpoint folder and read back from there.
+
+    Unlike a checkpoint it is computed by one job and its size is known to the planner; unlike a cached frame
+    it survives lost executors. ``counting``: a column of which ``n`` is the number of rows where it isn't null,
+    counted by the job that writes.
+    """
+
+    def __init__(self, df: DataFrame, counting: str | None = None) -> None:
+        spark = df.sparkSession
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}")
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        seen = Observation()
+        whole = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.col(counting) if counting else F.lit(1)).alias("n"))
+        whole.write.parquet(self._path.toString())
+        counts = seen.get
+        self.rows, self.n = counts["rows"], counts["n"]
+        self.df = spark.read.schema(df.schema).parquet(self._path.toString())
+
+    def drop(self) -> None:
+        """Deletes the files; nothing that still reads them may be run afterwards."""
+        self._fs.delete(self._path, True)
+
+
 def null_safe_hash(*cols: Column, seed: int = 0) -> Column:
     """64-bit hash of columns in which a null differs from every value and from its neighbours.
 
