@@ -1,9 +1,9 @@
 """History of changing attributes: validity periods from updates (problem 1).
 
-Snapshots are taken at block boundaries of the version count. Each snapshot is a Merkle tree of hash key
-buckets: bundle, branch, leaf. Digests of a level are XORs of the level below; consecutive snapshots are
-compared from the roots down and only differing branches are descended. The rows of changed leaves are
-compared one by one, and new versions are appended.
+Snapshots are taken at block boundaries of the version count. Each snapshot has a Merkle tree over all keys
+that it holds, by hash buckets: bundle, branch, leaf; a digest is the XOR of what is below. The trees of
+consecutive snapshots are compared from the roots down, and only differing branches are descended. The rows
+of changed leaves are read and compared one by one, and new versions are appended.
 """
 
 from __future__ import annotations
@@ -12,25 +12,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolloom.operators.blocked import block_of, boundaries
-from symbolloom.session import cut, null_safe_hash
+from symbolloom.session import Stored, null_safe_hash
 
 KEY = ["bundle", "strand", "category", "name"]
-BRANCHES, LEAVES = 64, 64
+#: Rows that a leaf should hold, and the bounds of the number of leaves of a bundle (a power of four).
+LEAF_ROWS, LEAST_LEAVES, MOST_LEAVES = 256, 1 << 8, 1 << 24
+PATH = ["root", "block", "branch", "leaf"]
 
 
-def _differing(leaves: DataFrame) -> DataFrame:
-    """The leaves that differ from the snapshot before, found from the roots down."""
-    path = ["bundle", "block", "branch", "leaf"]
-    digests = [F.bit_xor(c).alias(c) for c in ("b1", "b2", "a1", "a2")]
-    unequal = (F.col("b1") != F.col("a1")) | (F.col("b2") != F.col("a2"))
-    levels = [leaves]
-    for depth in (3, 2):
-        levels.append(levels[-1].groupBy(*path[:depth]).agg(*digests))
-    open_nodes = levels[-1].where(unequal).select(*path[:2])
-    for depth, level in ((3, levels[1]), (4, levels[0])):
-        inside = [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in path[: depth - 1]]
-        open_nodes = level.where(unequal).alias("n").join(open_nodes.alias("p"), inside, "left_semi").select(*path[:depth])
-    return open_nodes
+def _trees(ends: DataFrame, depth: int) -> DataFrame:
+    """Digests of the nodes of one level in every snapshot in which something below them was written.
+
+    A state counts in the snapshots from its block up to the one that replaces it, so the running XOR over
+    the blocks is the digest of all keys below the node, whether or not they were written in the block. The
+    digests of the snapshot before are those of the node's row before. ``moved`` counts keys that took
+    several states within the block, which its end doesn't show.
+    """
+    node = [c for c in PATH[:depth] if c != "block"]
+    both = F.array(F.struct(F.col("block"), F.col("moved")), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("block"), F.lit(0).alias("moved"))))
+    marks = ends.select(*node, "s1", "s2", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select(*node, "s1", "s2", "x.*")
+    sums = marks.groupBy(*node, "block").agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.sum("moved").alias("moved"))
+    line = Window.partitionBy(*node).orderBy("block")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sums.select(*node, "block", "moved", F.bit_xor("s1").over(upto).alias("s1"), F.bit_xor("s2").over(upto).alias("s2")).withColumn("was1", F.coalesce(F.lag("s1").over(line), F.lit(0))).withColumn("was2", F.coalesce(F.lag("s2").over(line), F.lit(0)))
+
+
+def _differing(ends: DataFrame) -> DataFrame:
+    """The leaves (PATH) whose snapshot differs from the one before, found from the roots down."""
+    unequal = (F.col("s1") != F.col("was1")) | (F.col("s2") != F.col("was2")) | (F.col("moved") > 0)
+    found = None
+    for depth in (2, 3, 4):
+        level = _trees(ends, depth).where(unequal).select(*PATH[:depth])
+        found = level if found is None else level.join(found, PATH[: depth - 1], "left_semi")
+    return found
 
 
 def versions(updates: DataFrame, order: Column, received: list[Column], deleted: Column, attributes: list[Column], key: list[str] | None = None) -> DataFrame:
@@ -41,46 +55,42 @@ def versions(updates: DataFrame, order: Column, received: list[Column], deleted:
     deleted (null: not deleted) and is the first, follows a deleted one, or differs in ``attributes`` (null
     equals null only); valid_to is the count at which the next one begins or the key is deleted, else -1.
     Nulls in a key are a value. Repeated rows change nothing; an empty table gives none. Other columns are
-    ignored, whatever their names. Attributes are compared by 128-bit digests.
+    ignored, whatever their names. Keys and attributes are compared by 128-bit digests. A key's rows are
+    spread over the blocks; across blocks it has one row each.
     """
     key = key or KEY
-    rows = updates.select(*key, order.alias("at"), F.struct(*received).alias("received"), F.struct(F.coalesce(deleted, F.lit(False)).alias("gone"), null_safe_hash(*attributes).alias("d1"), null_safe_hash(*attributes, seed=1).alias("d2")).alias("state"))
-    rows = rows.where("at is not null")
-    cuts = boundaries(rows, F.col("at"))
-    held = rows.groupBy(*key, "at").agg(F.max_by("state", "received").alias("state")).withColumn("block", block_of(F.col("at"), cuts))
-    held = cut(held)
-
-    # one row per key and block: what the snapshot at the block's end holds, and whether anything moved in between
-    shown = F.when(F.col("state.gone"), F.lit(0)).otherwise(F.col("state.d1"))
-    ends = held.groupBy(*key, "block").agg(F.max_by("state", "at").alias("last"), F.min(shown).alias("low"), F.max(shown).alias("high"))
-    prior = F.lag("last").over(Window.partitionBy(*key).orderBy("block"))
-    ends = ends.withColumn("prior", prior)
-    digest = lambda s, c: F.when(F.coalesce(F.col(f"{s}.gone"), F.lit(True)), F.lit(0)).otherwise(F.col(f"{s}.{c}"))
-    mixed = [F.col(k) for k in key]
-    node = ends.select(
-        *key, "block", "prior", F.pmod(null_safe_hash(*mixed), F.lit(BRANCHES)).alias("branch"), F.pmod(null_safe_hash(*mixed, seed=2), F.lit(LEAVES)).alias("leaf"),
-        *(null_safe_hash(*mixed, digest("prior", d), digest("prior", "d1"), digest("prior", "d1"), seed=3).alias(b) for d, b in (("d1", "b1"), ("d2", "b2"))),
-        *(null_safe_hash(*mixed, digest("last", d), F.col("low"), F.col("high"), seed=3).alias(a) for d, a in (("d1", "a1"), ("d2", "a2"))),
-    )
-    if key[0] != "bundle":
-        node = node.withColumn("bundle", F.col(key[0]).cast("string"))
-    leaves = node.groupBy("bundle", "block", "branch", "leaf").agg(*(F.bit_xor(c).alias(c) for c in ("b1", "b2", "a1", "a2")))
-    changed = _differing(leaves)
-    on = [F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("bundle", "block", "branch", "leaf")]
-    within = node.alias("n").join(changed.alias("c"), on, "left_semi").select(*key, "block", "prior")
+    rows = updates.select(*key, order.alias("__at"), F.struct(*received).alias("__received"), F.struct(F.coalesce(deleted, F.lit(False)).alias("gone"), null_safe_hash(*attributes).alias("d1"), null_safe_hash(*attributes, seed=1).alias("d2")).alias("__state"))
+    rows = rows.where("__at is not null")
+    cuts = boundaries(rows, F.col("__at"))
+    held = rows.groupBy(*key, "__at").agg(F.max_by("__state", "__received").alias("s"))
+    named = F.struct(*key).alias("key")
+    held = held.select(named, null_safe_hash(*map(F.col, key)).alias("k1"), null_safe_hash(*map(F.col, key), seed=2).alias("k2"), F.xxhash64(key[0]).alias("root"), F.col("__at").alias("at"), block_of(F.col("__at"), cuts).alias("block"), F.col("s.gone").alias("gone"), F.when(~F.col("s.gone"), F.col("s.d1")).otherwise(0).alias("d1"), F.when(~F.col("s.gone"), F.col("s.d2")).otherwise(0).alias("d2"))
+    held = Stored(held)
+
+    # one row per key and block: the state that the snapshot at the block's end holds, and the next block that has another
+    leaves = LEAST_LEAVES
+    while leaves < MOST_LEAVES and leaves * LEAF_ROWS < held.rows:
+        leaves *= 4
+    side = 1 << (leaves.bit_length() // 2)
+    ends = held.df.groupBy("root", "k1", "k2", "block").agg(*(F.max_by(c, "at").alias(c) for c in ("gone", "d1", "d2")), F.min("d1").alias("low"), F.max("d1").alias("high"))
+    line = Window.partitionBy("root", "k1", "k2").orderBy("block")
+    prior = F.lag(F.struct("gone", "d1", "d2")).over(line)
+    seen = lambda c: F.when(F.col("gone"), F.lit(0)).otherwise(null_safe_hash(F.col("k1"), F.col("k2"), F.col("d1"), F.col("d2"), seed=c))
+    ends = ends.select("root", "k1", "k2", "block", (F.col("low") != F.col("high")).cast("int").alias("moved"), F.lead("block").over(line).alias("next"), prior.alias("prior"), seen(3).alias("s1"), seen(4).alias("s2"))
+    ends = Stored(ends.withColumn("branch", F.pmod(F.shiftright("k1", 32), F.lit(side))).withColumn("leaf", F.pmod("k1", F.lit(side)))).df
+    within = ends.join(_differing(ends), PATH, "left_semi").select("k1", "k2", "block", "prior")
 
     # rows of changed leaves, compared with the row before them
-    same_key = [F.col(f"h.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*key, "block"]]
-    rows = held.alias("h").join(within.alias("w"), same_key).select("h.*", "w.prior")
-    in_block = Window.partitionBy(*key, "block").orderBy("at")
-    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(in_block), F.col("prior")))
+    at_block = ["k1", "k2", "block"]
+    in_block = Window.partitionBy(*at_block).orderBy("at")
+    rows = held.df.select("key", *at_block, "at", "gone", "d1", "d2").join(within, at_block)
+    rows = rows.withColumn("before", F.coalesce(F.lag(F.struct("gone", "d1", "d2")).over(in_block), F.col("prior")))
     alive = F.coalesce(~F.col("before.gone"), F.lit(False))
-    differs = (F.col("state.d1") != F.col("before.d1")) | (F.col("state.d2") != F.col("before.d2"))
-    begins = ~F.col("state.gone") & (~alive | differs)
-    events = rows.withColumn("begins", begins).where(F.col("begins") | (F.col("state.gone") & alive)).select(*key, "block", "at", "begins")
-
-    first = events.groupBy(*key, "block").agg(F.min("at").alias("first"))
-    later = first.withColumn("later", F.lead("first").over(Window.partitionBy(*key).orderBy("block")))
-    same_key = [F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*key, "block"]]
-    ended = events.withColumn("next", F.lead("at").over(in_block)).alias("e").join(later.alias("l"), same_key, "left")
-    return ended.where("e.begins").select(*(f"e.{k}" for k in key), F.col("e.at").alias("valid_from"), F.coalesce("e.next", "l.later", F.lit(-1)).cast("bigint").alias("valid_to"))
+    differs = (F.col("d1") != F.col("before.d1")) | (F.col("d2") != F.col("before.d2"))
+    begins = ~F.col("gone") & (~alive | differs)
+    events = Stored(rows.select("key", *at_block, "at", begins.alias("begins"), alive.alias("alive"), "gone").where("begins or (gone and alive)").drop("alive", "gone")).df
+
+    first = events.groupBy(*at_block).agg(F.min("at").alias("first"))
+    later = first.select(*at_block, F.lead("first").over(Window.partitionBy("k1", "k2").orderBy("block")).alias("later")).where("later is not null")
+    ended = events.withColumn("following", F.lead("at").over(in_block)).join(later, at_block, "left")
+    return ended.where("begins").select(*(F.col(f"key.{k}").alias(k) for k in key), F.col("at").alias("valid_from"), F.coalesce("following", "later", F.lit(-1)).cast("bigint").alias("valid_to"))

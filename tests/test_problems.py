@@ -63,6 +63,31 @@ def test_versions_random_against_fold(spark):
     assert _versions(spark, rows) == sorted(want)
 
 
+def test_only_changed_leaves_are_descended(spark):
+    """A key that is written again without a change moves no tree; one that changes and turns back does."""
+    rows = [(1, k, 0, b, None if b == 3 else b + 1, m, 7 + k, 9 + k) for k in range(200) for b, m in ((0, 0), (1, 0), (2, int(k == 5)), (3, 0))]
+    rows = [r if r[1:4:2] != (8, 3) else (*r[:6], 1, 2) for r in rows]
+    ends = spark.createDataFrame([(*r, r[1] % 16, r[1] // 16) for r in rows], "root bigint, k1 bigint, k2 bigint, block int, next int, moved int, s1 bigint, s2 bigint, branch int, leaf int")
+    assert sorted(tuple(r) for r in history._differing(ends).where("block > 0").collect()) == [(1, 2, 5, 0), (1, 3, 8, 0)]
+    assert history._differing(ends).where("block = 0").count() == len({(k % 16, k // 16) for k in range(200)})
+
+
+def test_versions_of_a_hot_key_over_many_blocks(spark, monkeypatch):
+    from symbolloom.operators import blocked
+
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", 8)
+    rows = [("b", "s", "c", "hot", n, 1, n % 50 == 49, "pq"[n // 7 % 2], None) for n in range(600)]
+    want, before = [], None
+    for n in range(600):
+        gone, a = n % 50 == 49, "pq"[n // 7 % 2]
+        if want and want[-1][2] == -1 and (gone or a != before):
+            want[-1] = (*want[-1][:2], n)
+        if not gone and (before is None or a != before):
+            want.append(("hot", n, -1))
+        before = None if gone else a
+    assert _versions(spark, rows) == want
+
+
 def _tree(spark, links):
     df = spark.createDataFrame(links, "tree string, name string, parent string")
     return {(r["tree"], r["name"]): r for r in hierarchy.hierarchy(df).collect()}
@@ -140,6 +165,15 @@ def test_snapshot_changes_of_everything_and_of_large_strands(spark):
     assert _changes(spark, rows) == sorted(want)
 
 
+def test_snapshot_changes_of_a_strand_with_many_snapshots(spark, monkeypatch):
+    """The strand is cut into blocks of snapshots; every snapshot is still compared with the one before."""
+    monkeypatch.setattr(snapshot_diff, "BLOCK_ROWS", 50)
+    rows = [("b", "s", "f", f"k{i}", 0, str(n // 3 if i == 1 else 0), n * 2) for n in range(2000) for i in range(3) if i or n % 5]
+    want = [("s", "k0", n * 2, "removed" if n % 5 == 0 else "added") for n in range(1, 2000) if n % 5 in (0, 1)]
+    want += [("s", "k1", n * 2, "changed") for n in range(3, 2000, 3)]
+    assert _changes(spark, rows) == sorted(want)
+
+
 def test_symbol_attributes_keep_nulls_and_sets_apart(spark):
     ddl = "k int, docs struct<brief:string,tags:array<struct<tag:string,text:string>>>, kind string, return_type string, parent string, arguments array<struct<type:string>>, members array<struct<kind:string,name:string>>"
     a = [(0, None, None, "x", None, None, [("m", "a"), ("m", "b")]), (1, None, None, "x", None, None, [("m", "b"), ("m", "a"), ("m", "a")]), (2, None, "x", None, None, None, [("m", "a"), ("m", "b")]), (3, None, None, "x", None, [], [("m", "a"), ("m", "b")]), (4, ("", None), None, "x", None, None, [("m", "a"), ("m", "b")])]
