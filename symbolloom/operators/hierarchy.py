@@ -21,13 +21,6 @@ from symbolloom.session import Stored
 SIBLING_BUCKETS = 64
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 class _Rounds:
     """Pointer doubling over rows (id, up, values): ``up`` is an id, or null for a row that has arrived.
 
@@ -37,17 +30,22 @@ class _Rounds:
     """
 
     def __init__(self, rows: DataFrame) -> None:
-        self.step, first = 1, Stored(rows, "up")
-        self.done, self.live, self.n = [first.df.where("up is null")], first.df.where("up is not null"), first.n
+        self.step, self.paths = 1, []
+        self._put(rows)
+
+    def _put(self, rows: DataFrame) -> None:
+        new = Stored(rows, "up")
+        self.paths.append(new.path)
+        self.every = rows.sparkSession.read.schema(new.schema).parquet(*self.paths)
+        self.done, self.live, self.n = self.every.where("up is null"), new.df.where("up is not null"), new.n
 
     def go(self, merge: dict[str, Column], extra: Callable[[DataFrame], DataFrame] | None = None) -> None:
         wanted = ["up", *merge]
-        targets = _union([d.select("id", *wanted) for d in [*self.done, self.live]])
+        targets = self.done.select("id", *wanted).unionByName(self.live.select("id", *wanted))
         targets = targets.select(F.col("id").alias("up"), *(F.col(c).alias(f"{c}2") for c in wanted))
         moved = self.live.join(targets, "up").select("id", F.col("up2").alias("up"), *(v.alias(c) for c, v in merge.items()), *([c for c in self.live.columns if c not in ("id", *wanted)]))
-        new = Stored(extra(moved) if extra else moved, "up")
-        self.done.append(new.df.where("up is null"))
-        self.live, self.n, self.step = new.df.where("up is not null"), new.n, self.step * 2
+        self._put((extra(moved) if extra else moved).select(self.live.columns))
+        self.step *= 2
 
 
 def hierarchy(links: DataFrame) -> DataFrame:
@@ -67,16 +65,16 @@ def hierarchy(links: DataFrame) -> DataFrame:
     # up is the ancestor 2**k above, size the number of nodes less than 2**k below (with itself); more: what a round adds
     top = F.col("up").isNull()
     rounds = _Rounds(linked.select("id", "up", F.col("up").alias("parent"), F.when(top, F.col("id")).alias("root"), F.when(top, F.lit(0)).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")))
-    more, before = [], -1
+    before = -1
     while rounds.n and rounds.n != before:
         before = rounds.n
-        more.append(rounds.live.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more")))
-        grown = lambda moved: moved.join(more[-1], "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        more = rounds.live.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        grown = lambda moved: moved.join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))  # noqa: E731, B023
         rounds.go({"root": F.col("root2"), "depth": F.col("depth2") + rounds.step}, grown)
-    trees = _union([d.select("id", "parent", "root", "depth") for d in rounds.done])
-    if more:
-        trees = trees.join(_union(more).groupBy("id").agg(F.sum("more").alias("more")), "id", "left")
-    trees = Stored(trees.select("id", "parent", "root", "depth", ((F.coalesce("more", F.lit(0)) if more else F.lit(0)) + 1).cast("bigint").alias("size"))).df
+    # what all rounds add to a node; nodes on and below cycles, which add to one another without end, are in no tree
+    more = rounds.every.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+    trees = rounds.done.select("id", "parent", "root", "depth").join(more, "id", "left")
+    trees = Stored(trees.select("id", "parent", "root", "depth", (F.coalesce("more", F.lit(0)) + 1).cast("bigint").alias("size"))).df
     return _labels(trees, names).unionByName(_loops(rounds, names))
 
 
@@ -117,7 +115,7 @@ def _labels(trees: DataFrame, names: DataFrame) -> DataFrame:
     chains = _Rounds(nodes.select("id", F.when(F.col("down"), F.col("parent")).alias("up"), F.when(~F.col("down"), F.col("id")).alias("head"), F.col("name").alias("seg"), F.lit(0).cast("bigint").alias("steps")))
     while chains.n:
         chains.go({"head": F.col("head2"), "seg": F.concat_ws("/", "seg2", "seg"), "steps": F.col("steps2") + chains.step})
-    seg = _union(chains.done)
+    seg = chains.done
 
     # chains along light edges: what stands before a chain's head
     heads = nodes.where("not down").select("id", F.col("parent").alias("attach"), "offset")
@@ -125,7 +123,7 @@ def _labels(trees: DataFrame, names: DataFrame) -> DataFrame:
     light_edges = _Rounds(heads.join(above, "attach", "left").select("id", "up", "prefix", (F.col("offset") + F.coalesce("lead", F.lit(0))).alias("first")))
     while light_edges.n:
         light_edges.go({"prefix": F.concat_ws("/", "prefix2", "prefix"), "first": F.col("first") + F.col("first2")})
-    before = _union(light_edges.done).select(F.col("id").alias("head"), "prefix", "first")
+    before = light_edges.done.select(F.col("id").alias("head"), "prefix", "first")
 
     whole = seg.select("id", "head", "seg", "steps").join(before, "head").join(trees.drop("parent"), "id").join(names.select("id", "tree", "name"), "id")
     whole = whole.join(names.select(F.col("id").alias("root"), F.col("name").alias("root_name")), "root")

@@ -63,7 +63,8 @@ class Stored:
         whole.write.parquet(self._path.toString())
         counts = seen.get
         self.rows, self.n = counts["rows"], counts["n"]
-        self.df = spark.read.schema(df.schema).parquet(self._path.toString())
+        self.path, self.schema = self._path.toString(), df.schema
+        self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Deletes the files; nothing that still reads them may be run afterwards."""
