@@ -24,6 +24,8 @@ CELLS = PARTS * WIDTH
 BUCKET_KEYS, SPLIT = 256, 8
 #: Rows of a strand that are handled in one place, at most.
 BLOCK_ROWS = 1 << 20
+#: Failed buckets up to this number are sent to every task that reads their rows again; more are joined by a shuffle.
+SENT_BUCKETS = 1 << 17
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
@@ -103,20 +105,20 @@ def _peel(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(fixed)), pa.array(signs.astype(np.int32)), pa.array(keys)], names=names)
 
 
-def _signed(held: DataFrame, tasks: int) -> DataFrame:
-    """The rows by bucket and block, each +1 in the table of its snapshot and -1 in that of the next one.
+_ROWS = ["sh", "bucket", "block", "kh", "dg", "p.rev", "p.sign"]
 
-    A row is sent once, or twice where the next snapshot's table is in another block. The tables' aggregation
-    uses this partitioning.
+
+def _sent(held: DataFrame) -> DataFrame:
+    """The rows by bucket and block with ``todo``: +1 in the table of their snapshot and -1 in that of the next one.
+
+    A row is sent once, or twice where the next snapshot's table is in another block.
     """
     here = F.when(F.col("first"), F.lit(None)).otherwise(F.struct("block", F.col("rev"), F.lit(1).alias("sign")))
     there = F.when(F.col("next").isNotNull(), F.struct(F.col("next_block").alias("block"), F.col("next").alias("rev"), F.lit(-1).alias("sign")))
     both = F.filter(F.array(here, there), lambda x: x.isNotNull())
     shared = (F.col("block") == F.col("next_block")) | F.col("next").isNull()
     sent = held.select("sh", F.pmod(F.col("kh"), F.col("buckets")).alias("bucket"), "kh", "dg", F.explode(F.when(shared, F.array(both)).otherwise(F.transform(both, lambda x: F.array(x)))).alias("todo")).where("size(todo) > 0")
-    sent = sent.select("sh", "bucket", F.get("todo", 0)["block"].alias("block"), "kh", "dg", F.transform("todo", lambda x: F.struct(x["rev"].alias("rev"), x["sign"].alias("sign"))).alias("todo"))
-    rows = sent.repartition(tasks, "sh", "bucket", "block").select("sh", "bucket", "block", "kh", "dg", F.xxhash64("kh", "dg").alias("ih"), F.explode("todo").alias("p"))
-    return rows.select("sh", "bucket", "block", "kh", "dg", "ih", "p.rev", "p.sign")
+    return sent.select("sh", "bucket", F.get("todo", 0)["block"].alias("block"), "kh", "dg", F.transform("todo", lambda x: F.struct(x["rev"].alias("rev"), x["sign"].alias("sign"))).alias("todo"))
 
 
 def _subtracted(rows: DataFrame, depth: int) -> DataFrame:
@@ -125,7 +127,7 @@ def _subtracted(rows: DataFrame, depth: int) -> DataFrame:
     for c, hit in enumerate(_cells(F.col("ih"), depth)):
         aggs.append(F.coalesce(F.sum(F.when(hit, F.col("sign"))), F.lit(0)).cast("int").alias(f"n{c}"))
         aggs += [F.coalesce(F.bit_xor(F.when(hit, F.col(s))), F.lit(0)).alias(f"{t}{c}") for s, t in (("kh", "k"), ("dg", "d"), ("ih", "i"))]
-    return rows.groupBy(*BUCKET).agg(*aggs).select(*BUCKET, *(f"{t}{c}" for t in "nkdi" for c in range(CELLS)))
+    return rows.withColumn("ih", F.xxhash64("kh", "dg")).groupBy(*BUCKET).agg(*aggs).select(*BUCKET, *(f"{t}{c}" for t in "nkdi" for c in range(CELLS)))
 
 
 def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
@@ -155,18 +157,23 @@ def changes(snapshots: DataFrame, attributes: list[Column]) -> DataFrame:
     held = slim.groupBy("sh", "rev", "kh").agg(F.max("m").alias("m")).select("sh", "rev", "kh", F.col("m.dg").alias("dg"))
     held = Stored(held.join(revs.drop("n"), ["sh", "rev"])).df
 
-    rows, parts, level = _signed(held, tasks).withColumn("inner", F.lit(0).cast("bigint")), [], 1
+    place = ["sh", "bucket", "block"]  # the tables' aggregation uses this partitioning
+    rows = _sent(held).repartition(tasks, *place).withColumn("p", F.explode("todo")).select(*_ROWS, F.lit(0).cast("bigint").alias("inner"))
+    parts, level = [], 1
     while True:
         depth = len(parts)
         parts.append(Stored(_subtracted(rows, depth).mapInArrow(partial(_peel, depth=depth), _ITEMS)).df)
         failed = parts[-1].where("sign = 0").select(*BUCKET)
-        if failed.isEmpty():
+        n_failed = failed.count()
+        if not n_failed:
             break
         # failed buckets again: each is cut into SPLIT ones by further bits of the key hash
         again = F.explode(F.sequence(F.col("inner"), F.col("inner") + level * (SPLIT - 1), F.lit(level).cast("bigint")))
         level *= SPLIT
-        rows = _signed(held, tasks).withColumn("inner", F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level)))
-        rows = rows.join(failed.select("sh", "bucket", "block", "rev", again.alias("inner")), BUCKET, "left_semi")
+        failed = failed.select("sh", "bucket", "block", "rev", again.alias("inner"))
+        inner = F.pmod(F.xxhash64("kh", F.lit(7)), F.lit(level)).alias("inner")
+        rows = _sent(held).withColumn("p", F.explode("todo")).select(*_ROWS, inner)
+        rows = rows.join(F.broadcast(failed) if n_failed <= SENT_BUCKETS else failed, BUCKET, "left_semi").repartition(tasks, *place)
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
