@@ -18,17 +18,26 @@ from re import _parser  # type: ignore[attr-defined]
 import numpy as np
 
 
+def _bits(items: int) -> list[int]:
+    out = []
+    while items:
+        low = items & -items
+        out.append(low.bit_length() - 1)
+        items ^= low
+    return out
+
+
 class Chart:
     """Error-correcting recognition of one pattern."""
 
     def __init__(self, pattern: str) -> None:
         self._sets: list[frozenset[int]] = []
         self._follow: list[int] = []
-        first, last, empty = self._build(_parser.parse(pattern))
-        self.first, self.last, self.empty = first, last, empty
+        self.first, self.last, self.empty = self._build(_parser.parse(pattern))
+        self._merge()
         self._by_char: dict[str, int] = {}
         self._next: dict[int, int] = {}
-        self._closure: dict[int, int] = {}
+        self._bytes: dict[tuple[int, int], int] = {}
 
     def _build(self, node) -> tuple[int, int, bool]:
         first, last, empty = 0, 0, True
@@ -40,6 +49,29 @@ class Chart:
             empty = empty and e
         return first, last, empty
 
+    def _merge(self) -> None:
+        """Makes positions one that match the same tokens and go on alike (the coarsest such partition, by refinement)."""
+        members: dict[int, int] = {}
+        which = [members.setdefault(f, len(members)) for f in self._follow]
+        after = [_bits(f) for f in members]
+        seen: dict = {}
+        start = [seen.setdefault((tokens, self.last >> i & 1), len(seen)) for i, tokens in enumerate(self._sets)]
+        classes, n = start, 0
+        while len(seen) != n:
+            n, bit = len(seen), [1 << c for c in classes]
+            marks = []
+            for follow in after:
+                mark = 0
+                for p in follow:
+                    mark |= bit[p]
+                marks.append(mark)
+            seen = {}
+            classes = [seen.setdefault((c, marks[w]), len(seen)) for c, w in zip(start, which, strict=True)]
+        image = lambda items: sum(1 << c for c in {classes[p] for p in _bits(items)})
+        one = {c: p for p, c in enumerate(classes)}
+        self._sets, self._follow = [self._sets[one[c]] for c in range(len(one))], [image(self._follow[one[c]]) for c in range(len(one))]
+        self.first, self.last = image(self.first), image(self.last)
+
     def _link(self, last: int, first: int) -> None:
         while last:
             low = last & -last
@@ -75,14 +107,20 @@ class Chart:
         raise ValueError(f"not in the subset: {op}")
 
     def _after(self, items: int) -> int:
-        """All items that can come next after some of ``items``."""
+        """All items that can come next after some of ``items``: a union over bytes of the set, each remembered."""
         got = self._next.get(items)
         if got is None:
-            got, rest = 0, items
-            while rest:
-                low = rest & -rest
-                got |= self._follow[low.bit_length() - 1]
-                rest ^= low
+            got = 0
+            for at, byte in enumerate(items.to_bytes((items.bit_length() + 7) // 8, "little")):
+                if byte:
+                    part = self._bytes.get((at, byte))
+                    if part is None:
+                        part = 0
+                        for k in range(8):
+                            if byte >> k & 1 and 8 * at + k < len(self._follow):
+                                part |= self._follow[8 * at + k]
+                        self._bytes[at, byte] = part
+                    got |= part
             if len(self._next) < 50_000:
                 self._next[items] = got
         return got
