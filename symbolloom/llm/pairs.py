@@ -152,8 +152,8 @@ def documented(content: bytes) -> list[tuple[str, str, str, int, int]]:
 
     start and end are the byte span of the function, from its first specifier to the end of its body or declaration.
     """
-    tokens, kinds, repair = syntax.check_sourcepawn(content)
-    if repair is not None or "(" not in kinds:
+    tokens, kinds, valid = syntax.read_sourcepawn(content)
+    if not valid or "(" not in kinds:
         return []
     begin = np.array(lexer.starts(tokens))
     kind = np.frombuffer(kinds.encode("latin-1"), np.uint8)

@@ -94,13 +94,19 @@ def conditions_match(tokens: list[str], kinds: str) -> bool:
     return depth == 0
 
 
-def check_sourcepawn(content: bytes) -> tuple[list[str], str, Repair | None]:
-    """(tokens, kinds, repair or None if valid)."""
+def read_sourcepawn(content: bytes) -> tuple[list[str], str, bool]:
+    """(tokens, kinds, whether the chart has a parse without edits)."""
     tokens, kinds = lexer.tokenize(content.decode("latin-1"))
     language = sourcepawn.language()
-    paired = conditions_match(tokens, kinds)
-    if paired and language.accepts(language.code(kinds)):
+    return tokens, kinds, conditions_match(tokens, kinds) and language.accepts(language.code(kinds))
+
+
+def check_sourcepawn(content: bytes) -> tuple[list[str], str, Repair | None]:
+    """(tokens, kinds, repair or None if valid)."""
+    tokens, kinds, fine = read_sourcepawn(content)
+    if fine:
         return tokens, kinds, None
+    language, paired = sourcepawn.language(), conditions_match(tokens, kinds)
     at = [i for i, c in enumerate(kinds) if c not in " /#"]
     repair = _repair(language, language.code(kinds), at, lexer.starts(tokens), content, (0, len(content), "error"))
     return tokens, kinds, (repair[0] + (not paired), repair[1], repair[2])
