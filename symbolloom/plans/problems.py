@@ -58,7 +58,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over whole tables, written apart from the operators. p2_intervals has none: numbering is free."""
+    symbols = """
+            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            cats as (select file_id, strand, c as category, json_extract(j, '$.' || c) as j from strands, unnest(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs']) t(c) where json_type(j, '$.' || c) = 'OBJECT'),
+            syms as (select file_id, strand, category, k as symbol, json_extract(j, '$."' || k || '"') as d from (select *, unnest(json_keys(j)) as k from cats))"""
     return {
+        "p4_symbols": symbols + " select file_id, strand, category, symbol, d->>'name' as name, d->>'kind' as kind, d->>'returnType' as return_type, d->>'parent' as parent, try_cast(d->>'refLine' as bigint) as ref_line from syms",
+        "p4_members": symbols + """,
+            mems as (select file_id, strand, category, symbol, kind, k as member, json_extract(j, '$."' || k || '"') as d from (
+                select file_id, strand, category, symbol, kind, json_extract(d, '$.' || kind) as j, unnest(json_keys(d, '$.' || kind)) as k
+                from syms, unnest(['methods', 'properties', 'fields', 'entries', 'types']) t(kind) where json_type(d, '$.' || kind) = 'OBJECT'))
+            select file_id, strand, category, symbol, kind as member_kind, member, d->>'name' as name, d->>'kind' as kind, d->>'type' as type, d->>'value' as value, d->>'returnType' as return_type from mems""",
         "p1_found": """
             with held as (
                 select bundle, strand, category, name, last_updated.count as ver, coalesce(is_deleted, false) as gone,

@@ -244,7 +244,10 @@ def bundle_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return bundles.symbols_document(_symbols(spark, sf))
+    """Symbols of bundles' documents, written whole and read again."""
+    written = bundles.symbols_document(_symbols(spark, sf)).withColumnRenamed("bundle", "owner").withColumnRenamed("json", "body")
+    read = bundles.document_symbols(bundles.parse_bundles(written), "owner")
+    return read.select(F.col("owner").alias("bundle"), "strand", "category", "name", "kind", "type", "parent")
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,6 +385,9 @@ def oracle_sql() -> dict[str, str]:
             select file_id, strand, category, name, member_kind, member, case when category = 'functions' or member_kind = 'method' then v->>'kind' end as kind,
                    case when category = 'functions' or member_kind = 'method' then v->>'returnType' when category = 'typedefs' or member_kind in ('property', 'field', 'type') then v->>'type' end as type,
                    case when category = 'defines' or member_kind = 'entry' then v->>'value' end as value, case when category = 'methodmaps' and member_kind is null then v->>'parent' end as parent from every""",
+        "symbol_documents": f"""
+            with {_SYMBOLS} select bundle, strand, category, name, case when category = 'functions' then kind end as kind, case when category = 'functions' then return_type end as type,
+                   case when category = 'methodmaps' then parent end as parent from symbols""",
         "strand_is_empty": """
             with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
             strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
