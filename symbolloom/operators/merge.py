@@ -75,6 +75,15 @@ def diff_count(held: DataFrame) -> DataFrame:
     return changed.unionByName(fresh).agg(F.sum("n").alias("diffs"))
 
 
+def diffs_since(held: DataFrame, prior: DataFrame | None = None) -> int:
+    """diff_count() of what ``held`` brings beyond ``prior``, an earlier result of merge()."""
+    if prior is None:
+        return diff_count(held).first()["diffs"]
+    fresh = held.select(*STRAND).distinct().join(prior.select(*STRAND).distinct(), STRAND, "left_anti").count()
+    before = prior.select(*KEY, F.lit(-1).cast("bigint").alias("rev"), "h").join(held.select(*STRAND).distinct(), STRAND, "left_semi")
+    return fresh + lives(held.select(*KEY, "rev", "h").unionByName(before)).where("is_upd").count()
+
+
 def key_diff(old: DataFrame, new: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """(keys..., change): new, deleted or changed keys of two snapshots; one full outer join. Nulls in a key are values."""
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]

@@ -186,9 +186,10 @@ def as_map(rows: DataFrame, group: list[str], key: str, value: Column, name: str
     return one.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), "__v")))).alias(name))
 
 
-def symbols_document(symbols: DataFrame) -> DataFrame:
-    """(bundle, json): flat symbols nested as strand, category, name; for the document sink."""
-    payload = F.struct("name", F.col("return_type").alias("returnType"), "kind", "parent", "arguments")
+def symbols_document(symbols: DataFrame, payload: Column | None = None) -> DataFrame:
+    """(bundle, json): flat symbols nested as strand, category, name; for the document sink. ``payload``: what a symbol holds."""
+    if payload is None:
+        payload = F.struct("name", F.col("return_type").alias("returnType"), "kind", "parent", "arguments")
     names = as_map(symbols, ["bundle", "strand", "category"], "name", payload, "names")
     cats = names.groupBy("bundle", "strand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.to_json("names").alias("j"))))).alias("c"))
     inner = cats.select("bundle", "strand", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("c"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}")).alias("j"))
@@ -197,6 +198,20 @@ def symbols_document(symbols: DataFrame) -> DataFrame:
     return out.select("bundle", F.concat(F.lit('{"strands":{'), "s", F.lit("}}")).alias("json"))
 
 
+def write_bundle(symbols: DataFrame, about: DataFrame, version: Column, path: str) -> None:
+    """Writes the document of one bundle: meta and source (the row of ``about``), strands and version.
+
+    ``symbols``: bundle, strand, category, name, docs, kind, return_type, parent, arguments, ref_line, doc_start,
+    doc_end, created, last_updated. Without symbols the document has no strands.
+    """
+    stamps = F.struct("created", "last_updated").alias("metadata")
+    payload = F.struct("name", F.col("ref_line").alias("refLine"), F.col("doc_start").alias("docStart"), F.col("doc_end").alias("docEnd"), "docs", stamps, "kind", F.col("return_type").alias("returnType"), "parent", "arguments")
+    strands = symbols_document(symbols, payload).select(F.expr("substring(json, 12, length(json) - 12)").alias("strands"))
+    whole = about.join(strands, F.lit(True), "left")  # one row each
+    parts = [F.lit('{"meta":'), F.to_json("meta"), F.lit(',"source":'), F.to_json("source"), F.lit(',"strands":'), F.coalesce("strands", F.lit("{}")), F.lit(',"version":'), F.to_json(version), F.lit("}")]
+    whole.select(F.concat(*parts).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_if_changed(rows: DataFrame, path: str, diffs: int) -> bool:
     """Writes one JSON-lines file if there are differences; tells whether it did."""
     if diffs <= 0:

@@ -1,11 +1,12 @@
-"""Commit history of a local git repository as a Spark data source.
+"""Commit history of a git repository as a Spark data source, in batches or as a stream.
 
 ``spark.read.format("git_history").option("path", repo).option("patterns", "*.inc;*.sp").load()``
 
-Rows: commit_hash, rev_count (0-based, over all commits of HEAD's history, oldest first), rev_time,
+Rows: commit_hash, rev_count (0-based, over all commits of HEAD's history, oldest first by time), rev_time,
 parent_count, path, content. Only single-parent commits give rows, one for each added or modified file
-that matches; deletions give none. The driver lists commits; executors read contents, and only if the
-column is selected.
+that matches; deletions give none. The driver lists commits; executors read the repository at ``path``, which
+all of them have to see, and contents unless the option ``content`` is false. As a stream (readStream), offsets
+are numbers of commits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from symbolloom.functions.paths import glob_regex
@@ -48,32 +49,90 @@ class Commits(InputPartition):
         self.commits = commits
 
 
-class _Reader(DataSourceReader):
+def _commits(repo: str) -> list[tuple[str, int, int, int]]:
+    """(hash, ordinal, time, number of parents) of all commits of HEAD's history, oldest first; of equal times an ancestor comes first."""
+    lines = _git(repo, "log", "--reverse", "--topo-order", "--format=%H %ct %P", "HEAD").decode().splitlines()
+    rows = sorted((int(time), i, sha, len(parents)) for i, (sha, time, *parents) in enumerate(map(str.split, lines)))
+    return [(sha, n, time, parents) for n, (time, _, sha, parents) in enumerate(rows)]
+
+
+class _Blobs:
+    """Contents of blobs by one process; a blob that isn't there has none."""
+
+    def __init__(self, repo: str) -> None:
+        self.process = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def __enter__(self) -> _Blobs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process.wait()
+
+    def read(self, blob: str) -> bytes | None:
+        self.process.stdin.write(f"{blob}\n".encode())
+        self.process.stdin.flush()
+        header = self.process.stdout.readline().split()
+        if len(header) != 3:
+            return None
+        content = self.process.stdout.read(int(header[2]))
+        self.process.stdout.read(1)
+        return content
+
+
+class _Files:
+    """What both readers share: options, and the files of a slice of commits, by two processes however many there are."""
+
     def __init__(self, options: dict[str, str]) -> None:
         self.repo = options["path"]
         self.patterns = [p for p in options.get("patterns", "").split(";") if p]
         self.since = int(options.get("from_time", "-9223372036854775808"))
         self.with_content = options.get("content", "true").lower() == "true"
 
-    def partitions(self) -> list[Commits]:
-        listed = []
-        for i, line in enumerate(_git(self.repo, "log", "--reverse", "--date-order", "--format=%H %ct %P", "HEAD").decode().splitlines()):
-            sha, time, *parents = line.split()
-            if int(time) >= self.since and len(parents) == 1:
-                listed.append((sha, i, int(time), len(parents)))
+    def slices(self, first: int = 0, end: int | None = None) -> list[Commits]:
+        listed = [c for c in _commits(self.repo)[first:end] if c[2] >= self.since and c[3] == 1]
         return [Commits(listed[i : i + 200]) for i in range(0, len(listed), 200)] or [Commits([])]
 
     def read(self, partition: Commits) -> Iterator[tuple]:
         import re
 
         wanted = [re.compile(glob_regex(p)) for p in self.patterns]
-        for sha, i, time, parents in partition.commits:
-            fields = _git(self.repo, "diff-tree", "-r", "-z", "--no-renames", "--diff-filter=AMT", "--no-commit-id", sha).split(b"\0")
-            for head, name in zip(fields[::2], fields[1::2], strict=False):
-                path = name.decode("utf-8", "replace")
+        known = {c[0]: c for c in partition.commits}
+        if not known:
+            return
+        args = ["git", "-c", "safe.directory=*", "-C", self.repo, "diff-tree", "--stdin", "-r", "-z", "--no-renames", "--diff-filter=AMT"]
+        fields = iter(subprocess.run(args, input="\n".join(known).encode() + b"\n", check=True, capture_output=True).stdout.split(b"\0"))
+        commit = None
+        with _Blobs(self.repo) as blobs:
+            for head in fields:
+                if not head.startswith(b":"):
+                    commit = known.get(head.strip().decode(), commit)
+                    continue
+                path = next(fields).decode("utf-8", "replace")
                 if not wanted or any(w.search(path) for w in wanted):
-                    blob = head.split()[3].decode()
-                    yield sha, i, time, parents, path, _git(self.repo, "cat-file", "blob", blob) if self.with_content else None
+                    yield *commit, path, blobs.read(head.split()[3].decode()) if self.with_content else None
+
+
+class _Reader(_Files, DataSourceReader):
+    def partitions(self) -> list[Commits]:
+        return self.slices()
+
+
+class _StreamReader(_Files, DataSourceStreamReader):
+    """Offsets are numbers of commits: a batch has those that were added to the history since the last one."""
+
+    def initialOffset(self) -> dict:  # noqa: N802  names of the interface
+        return {"commits": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"commits": len(_commits(self.repo))}
+
+    def partitions(self, start: dict, end: dict) -> list[Commits]:
+        return self.slices(start["commits"], end["commits"])
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class GitHistory(DataSource):
@@ -89,6 +148,9 @@ class GitHistory(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _StreamReader(dict(self.options))
+
 
 def open_repository(path: str, remote: str | None = None) -> str:
     """``path`` if it is a repository, else a clone of ``remote`` there. An existing one is not fetched."""

@@ -52,20 +52,9 @@ class MergeSink:
         touched = sorted({int(b) for f in old for b in now.files[f][1].split(",")} | set(touched))
         merged = cut(merge.merge(held, None if prior is None else prior.drop("bucket")))
         self.table.append(merged.withColumn("bucket", bucket), processed=number + 1, remove=old, scope=",".join(map(str, touched)))
-        if self.output and self._diffs(held, prior):
+        if self.output and merge.diffs_since(held, prior):
             self.output(self.state(), number)
 
-    @staticmethod
-    def _diffs(held: DataFrame, prior: DataFrame | None) -> bool:
-        """Whether the batch brings a strand that wasn't known, or a symbol differs from the state before it."""
-        if prior is None:
-            return True
-        if not held.select(*merge.STRAND).join(prior.select(*merge.STRAND).distinct(), merge.STRAND, "left_anti").isEmpty():
-            return True
-        before = prior.select(*merge.KEY, F.lit(-1).cast("bigint").alias("rev"), "h")
-        rows = merge.lives(held.select(*merge.KEY, "rev", "h").unionByName(before.join(held.select(*merge.STRAND).distinct(), merge.STRAND, "left_semi")))
-        return not rows.where("is_upd").isEmpty()
-
 
 def start(spark: SparkSession, source: str, schema, sink: MergeSink, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
     """Merges snapshot files of a folder as they arrive, in order of arrival, and ends when all are done."""

@@ -361,6 +361,58 @@ def test_git_history(spark, tmp_path):
     assert git.head_stems(repo, ["*.inc"]) == ["a", "b"] and git.open_repository(repo) == repo
 
 
+def test_run_from_manifest_to_document(spark, tmp_path):
+    """Walk, merge, keep what HEAD has, write; again from there; nothing without differences; the walk as a stream."""
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    clock = iter(range(1_000_000_000, 1_000_000_999))
+
+    def run(*args):
+        when = f"{next(clock)} +0000"
+        subprocess.run(["git", "-C", str(repo), *args], check=True, capture_output=True, env={"GIT_AUTHOR_DATE": when, "GIT_COMMITTER_DATE": when, "GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@b", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@b", "PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(repo)})
+
+    def commit(**files):
+        for name, text in files.items():
+            target = repo / f"{name}.inc"
+            target.unlink() if text is None else target.write_text(text)
+        run("add", "-A")
+        run("commit", "-q", "--allow-empty", "-m", "m")
+
+    run("init", "-q", "-b", "main")
+    commit(root="native int Root();")
+    commit(a="\n// one\nnative int A();\nnative int B();", gone="native int G();")
+    commit(a="\n// two\nnative int A();", gone=None)
+    manifest = '[meta]\nname = "n"\n[source]\ntype = "git"\nrepository = "r"\npatterns = ["*.inc"]'
+    first, second, third = (f"file://{tmp_path}/{n}" for n in ("first", "second", "third"))
+    assert generate.run(spark, manifest, str(repo), first) == 3  # two strands, one change
+    read = lambda out: bundles.parse_bundles(spark.read.text(f"{out}/document").withColumnRenamed("value", "body")).select("bundle.*").first()
+    doc = read(first)
+    assert doc["meta"]["name"] == "n" and doc["source"]["patterns"] == ["*.inc"] and doc["version"]["count"] == 2 and set(doc["strands"]) == {"a"}
+    a = doc["strands"]["a"]["functions"]["A"]
+    assert set(doc["strands"]["a"]["functions"]) == {"A"} and (a["metadata"]["created"]["count"], a["metadata"]["last_updated"]["count"]) == (1, 2) and a["docs"]["brief"] == "two" and a["returnType"] == "int"
+    assert generate.run(spark, manifest, str(repo), second, prior=first) == 0 and not (tmp_path / "second").exists()
+    commit(a="\n// two\nnative float A();\nnative int C();", b="native int D();")
+    assert generate.run(spark, manifest, str(repo), third, prior=first) == 2
+    doc = read(third)
+    stamps = {(s, n): (f["metadata"]["created"]["count"], f["metadata"]["last_updated"]["count"]) for s, v in doc["strands"].items() for n, f in v["functions"].items()}
+    assert stamps == {("a", "A"): (1, 3), ("a", "C"): (3, 3), ("b", "D"): (3, 3)}
+
+    spark.dataSource.register(git.GitHistory)
+    seen = []
+
+    def walk():
+        stream = spark.readStream.format("git_history").option("path", str(repo)).option("patterns", "*.inc").load()
+        keep = lambda batch, n: seen.extend((r["rev_count"], r["path"]) for r in batch.collect())
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/walk").trigger(availableNow=True).start().awaitTermination()
+
+    walk()
+    assert sorted(seen) == [(1, "a.inc"), (1, "gone.inc"), (2, "a.inc"), (3, "a.inc"), (3, "b.inc")]
+    seen.clear()
+    commit(b="native int E();")
+    walk()
+    assert seen == [(4, "b.inc")]
+
+
 def test_stream_equals_batch(spark, tmp_path, tiny):
     from symbolloom.operators.snapshot_diff import symbol_attributes
     from symbolloom.session import table
