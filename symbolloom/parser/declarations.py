@@ -12,9 +12,10 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from symbolloom.parser import lexer
+from symbolloom.parser import expressions, lexer
 
 _ARG = "STRUCT<type STRING, name STRING, decl STRING, `default` STRING>"
 _DOC = "ref_line BIGINT, doc_start BIGINT, doc_end BIGINT"
@@ -90,6 +91,10 @@ class _Reader:
             last = self.index[j]
         return out
 
+    def expression(self, first: int, end: int) -> str:
+        """The expression of a token range in one spelling."""
+        return expressions.render([self.text(j) for j in range(first, end)], "".join(self.kinds[first:end]))
+
     def pieces(self, first: int, end: int) -> Iterator[tuple[int, int]]:
         """Token ranges between top-level commas."""
         depth, start = 0, first
@@ -106,7 +111,7 @@ class _Reader:
         out = []
         for a, b in self.pieces(first, end):
             equal = next((j for j in range(a, b) if self.kinds[j] == "="), b)
-            default = self.render(equal + 1, b) if equal < b else None
+            default = self.expression(equal + 1, b) if equal < b else None
             decl = self.render(a, equal).strip()
             names = [j for j in range(a, equal) if self.kinds[j] in "nt"]
             dots = any(self.kinds[j] == "E" for j in range(a, equal))
@@ -250,7 +255,7 @@ def parse(content: bytes) -> Iterator[dict[str, Any]]:
                 for x, y in r.pieces(a, b):
                     at = x + 2 if r.kinds[x + 1 : x + 2] == [":"] else x
                     equal = next((j for j in range(x, y) if r.kinds[j] == "="), y)
-                    entries.append(_plain("entry", r.text(at), r.doc(x), value=r.render(equal + 1, y) if equal < y else None))
+                    entries.append(_plain("entry", r.text(at), r.doc(x), value=r.expression(equal + 1, y) if equal < y else None))
                 if name is None:
                     yield from (symbol("constants", e["name"], {n: e[n] for n in ("ref_line", "doc_start", "doc_end")}) for e in entries)
                 else:
@@ -312,26 +317,23 @@ def parse_files(files: DataFrame, keys: list[str], content_col: str = "content")
     Bytes that are no UTF-8 are replaced in texts. A file that can't be read gives one row with an error
     and no symbol. Files are parsed where they are read.
     """
-    import json
-
-    columns = [c.split()[0] for c in ("category", "name", "kind", "return_type", "type", "parent", "value", "arguments", "members", "ref_line", "doc_start", "doc_end", "doc_text", "decl_ord", "error")]
+    arrow = to_arrow_schema(StructType.fromDDL(SYMBOL))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, docs = [], []
+            rows, found = [], []
             for i, content in enumerate(batch.column(batch.num_columns - 1)):
                 if content.is_valid:
+                    text = content.as_py()
                     try:
-                        text = content.as_py()
-                        found = [json.dumps({c: s.get(c) for c in columns} | {"doc_text": _doc_text(text, s["doc_start"], s["doc_end"])}) for s in parse(text)]
-                    except (IndexError, RecursionError) as e:
-                        found = [json.dumps({"error": type(e).__name__})]
-                    docs += found
-                    rows += [i] * len(found)
+                        symbols = [s | {"doc_text": _doc_text(text, s["doc_start"], s["doc_end"])} for s in parse(text)]
+                    except (IndexError, RecursionError, ValueError) as e:
+                        symbols = [{"error": type(e).__name__}]
+                    found += symbols
+                    rows += [i] * len(symbols)
             if rows:
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(docs, pa.string())], names=[*keys, "json"])
+                take, out = pa.array(rows), pa.RecordBatch.from_pylist(found, schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), *out.columns], names=[*keys, *arrow.names])
 
-    schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys) + ", json string"
-    out = files.select(*keys, content_col).mapInArrow(scan, schema)
-    return out.select(*keys, F.from_json("json", SYMBOL).alias("s")).select(*keys, "s.*")
+    schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    return files.select(*keys, content_col).mapInArrow(scan, f"{schema}, {SYMBOL}")

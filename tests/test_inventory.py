@@ -298,6 +298,20 @@ def test_declarations():
     assert got["typedefs", "Cb"]["type"] == "function void (int a)" and [m["name"] for m in got["typesets", "Cbs"]["members"]] == ["function int (int a)", "function void ()"]
 
 
+def test_expressions_in_one_spelling():
+    """Expected texts written from the rules of the printer that has to be matched."""
+    want = {
+        "0x1F": "31", "0b101": "5", "0o17": "15", "1_000": "1000", "1.5": "1.500000", "2.0e3": "2000.000000", "'a'": "'a'", "'\\n'": "'\n'", '"x  y"': '"x  y"', "a+b*(c-1)": "a + b * c - 1", "-1": "-1", "a-1": "a - 1", "~x|!y": "~x | !y",
+        "f( 1,g (2) )": "f(1, g(2))", "{1,2}": "{ 1, 2 }", "{}": "{}", "{0,...}": "{ 0, ... }", "a?b:c": "a ? b : c", "x[1].y": "x[1].y", "x++": "x++", "++x": "++x", "view_as< int >(2)": "view_as<int>(2)", "sizeof(x)": "sizeof(x)",
+        "new Foo(1)": "new Foo(1)", "this.a=3": "this.a = 3", "1<<4": "1 << 4", "(1 << 2) /* c */": "1 << 2", "a==b&&c": "a == b && c", "(a)[1]": "a[1]", "x&-1": "x & -1",
+    }
+    from symbolloom.parser import expressions
+
+    assert {k: expressions.render(*lexer.tokenize(k)) for k in want} == want
+    add = {(s["category"], s["name"]): s for s in declarations.parse(b"enum X { A = 0x10, B = (1<<3) }\nnative int F(int a = 0xFF, float b=1.0, int c[] = {1,2});")}
+    assert [m["value"] for m in add["enums", "X"]["members"]] == ["16", "1 << 3"] and [a["default"] for a in add["functions", "F"]["arguments"]] == ["255", "1.000000", "{ 1, 2 }"]
+
+
 def test_declarations_of_anything():
     """Cut or garbled text gives some symbols or none, and never hangs or raises."""
     rng = random.Random(7)
