@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symbolloom.functions import docs, paths, scoring, signature
 from symbolloom.operators import catalogue, merge, nested, search
 from symbolloom.operators.snapshot_diff import symbol_attributes
+from symbolloom.parser.declarations import parse_files
 from symbolloom.plans import generate
 from symbolloom.schemas import VERSION
 from symbolloom.session import table
@@ -22,15 +23,42 @@ PATTERNS = ["*.inc", "scripting/*.sp"]
 BASE_URL = "https://docs.example.org/#"
 
 
-def _symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols of every strand's last snapshot, in the shape that search takes."""
+def _last_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of every strand's last snapshot; of a key that occurs twice the one declared last."""
     rows = table(spark, sf, "snapshots").where("bundle is not null and strand is not null and version.count is not null")
     last = rows.groupBy("bundle", "strand").agg(F.max("version.count").alias("last"))
     rows = rows.join(last, ["bundle", "strand"]).where("version.count = last")
-    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by(F.struct("return_type", "arguments", "members", "parent", "kind"), "decl_ord").alias("r"))
-    members = F.transform("r.members", lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("name"), F.when(m["kind"] == "method", m["detail"]).alias("return_type"), F.lit(None).cast("array<struct<type:string,name:string>>").alias("arguments")))
-    arguments = F.transform("r.arguments", lambda a: F.struct(a["type"].alias("type"), a["name"].alias("name")))
-    return held.select("bundle", "strand", "category", "name", "r.return_type", arguments.alias("arguments"), members.alias("members"), "r.kind", "r.parent")
+    held = rows.groupBy("bundle", "strand", "category", "name").agg(F.max_by(F.struct("return_type", "arguments", "members", "parent", "kind", "docs"), "decl_ord").alias("r"))
+    return held.select("bundle", "strand", "category", "name", "r.*")
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of every strand's last snapshot, in the shape that search takes."""
+    held = _last_rows(spark, sf)
+    members = F.transform("members", lambda m: F.struct(m["kind"].alias("kind"), m["name"].alias("name"), F.when(m["kind"] == "method", m["detail"]).alias("return_type"), F.lit(None).cast("array<struct<type:string,name:string>>").alias("arguments")))
+    arguments = F.transform("arguments", lambda a: F.struct(a["type"].alias("type"), a["name"].alias("name")))
+    return held.select("bundle", "strand", "category", "name", "return_type", arguments.alias("arguments"), members.alias("members"), "kind", "parent")
+
+
+def parsed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Every strand's last snapshot written as a source file and parsed again: functions, method maps and enums with all they hold."""
+    held = _last_rows(spark, sf).withColumn("result", F.when(F.col("return_type").isin("native", "forward", "stock"), "int").otherwise(F.col("return_type")))
+    comment = F.concat(F.lit("/**\n * "), F.col("docs.brief"), F.array_join(F.transform(F.coalesce("docs.tags", F.array()), lambda t: F.concat(F.lit("\n * @"), t["tag"], F.lit(" "), t["text"])), ""), F.lit("\n */\n"))
+    arguments = F.array_join(F.transform("arguments", lambda a: F.concat(a["decl"], F.coalesce(F.concat(F.lit(" = "), a["default"]), F.lit("")))), ", ")
+    body = F.when(F.col("kind").isin("native", "forward"), ";\n").otherwise("\n{\n\treturn 0; // nothing\n}\n")
+    function = F.concat("kind", F.lit(" "), "result", F.lit(" "), "name", F.lit("("), arguments, F.lit(")"), body)
+    kind_of = lambda d: F.when(d.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), d).otherwise("int")  # noqa: E731  some details are no types
+    member = lambda m: F.when(m["kind"] == "method", F.concat(F.lit("\tpublic native "), kind_of(m["detail"]), F.lit(" "), m["name"], F.lit("();\n"))).otherwise(F.concat(F.lit("\tproperty "), kind_of(m["detail"]), F.lit(" "), m["name"], F.lit(" {\n\t\tpublic native get();\n\t}\n")))
+    methodmap = F.concat(F.lit("methodmap "), "name", F.coalesce(F.concat(F.lit(" < "), "parent"), F.lit("")), F.lit("\n{\n"), F.array_join(F.transform("members", member), ""), F.lit("}\n"))
+    enum = F.concat(F.lit("enum "), "name", F.lit(" {\n"), F.array_join(F.transform("members", lambda m: F.concat(F.lit("\t"), m["name"], F.coalesce(F.concat(F.lit(" = "), m["detail"]), F.lit("")), F.lit(",\n"))), ""), F.lit("}\n"))
+    text = F.concat(F.lit("\n"), F.coalesce(comment, F.lit("")), F.when(F.col("category") == "functions", function).when(F.col("category") == "methodmaps", methodmap).otherwise(enum))
+    files = held.select("bundle", "strand", F.struct("category", "name", text.alias("text")).alias("t")).groupBy("bundle", "strand").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), ""), "utf-8").alias("content"))
+    out = parse_files(files, ["bundle", "strand"]).where("error is null")
+    named = F.array_join(F.transform("arguments", lambda a: F.concat_ws(" ", a["type"], a["name"], a["default"])), ";")
+    held_members = F.array_join(F.array_sort(F.array_distinct(F.transform("members", lambda m: F.concat_ws(" ", m["kind"], m["name"], m["type"], m["value"])))), ";")
+    pick = lambda c, v: F.when(F.col("category") == c, v)
+    brief = docs.parse_comment(F.col("doc_text"))["brief"]
+    return out.select("bundle", "strand", "category", "name", pick("functions", F.col("kind")).alias("kind"), pick("functions", F.col("return_type")).alias("return_type"), pick("methodmaps", F.col("parent")).alias("parent"), pick("functions", named).alias("arguments"), F.when(F.col("category") != "functions", held_members).alias("members"), brief.alias("brief"))
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +287,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
-    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes,
+    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes, parsed_sources,
     generate_history, bundle_versions, bundle_symbols, symbol_documents, page_texts,
 )
 
@@ -385,6 +413,13 @@ def oracle_sql() -> dict[str, str]:
             select file_id, strand, category, name, member_kind, member, case when category = 'functions' or member_kind = 'method' then v->>'kind' end as kind,
                    case when category = 'functions' or member_kind = 'method' then v->>'returnType' when category = 'typedefs' or member_kind in ('property', 'field', 'type') then v->>'type' end as type,
                    case when category = 'defines' or member_kind = 'entry' then v->>'value' end as value, case when category = 'methodmaps' and member_kind is null then v->>'parent' end as parent from every""",
+        "parsed_sources": f"""
+            with {_SYMBOLS}, said as (
+                select *, list_transform(arguments, lambda a: a.type || ' ' || a.name || coalesce(' ' || case when a."default" = '(1 << 3)' then '1 << 3' when a."default" = '{{0, 0, 0}}' then '{{ 0, 0, 0 }}' when a."default" = '0.0' then '0.000000' else a."default" end, '')) as args,
+                       list_sort(list_distinct(list_transform(members, lambda m: m.kind || ' ' || m.name || coalesce(' ' || case when m.kind <> 'entry' then case when regexp_full_match(m.detail, '[A-Za-z_][A-Za-z0-9_]*') then m.detail else 'int' end when regexp_full_match(m.detail, '[0-9]+[.][0-9]+') then format('{{:f}}', m.detail::double) else trim(m.detail, '()') end, '')))) as held from symbols)
+            select bundle, strand, category, name, case when category = 'functions' then kind end as kind, case when category = 'functions' then case when return_type in ('native', 'forward', 'stock') then 'int' else return_type end end as return_type,
+                   case when category = 'methodmaps' then parent end as parent, case when category = 'functions' then array_to_string(args, ';') end as arguments, case when category <> 'functions' then array_to_string(held, ';') end as members,
+                   trim(regexp_replace(docs.brief, '\\s+', ' ', 'g')) as brief from said""",
         "symbol_documents": f"""
             with {_SYMBOLS} select bundle, strand, category, name, case when category = 'functions' then kind end as kind, case when category = 'functions' then return_type end as type,
                    case when category = 'methodmaps' then parent end as parent from symbols""",
