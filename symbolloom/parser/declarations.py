@@ -311,11 +311,18 @@ def _doc_text(content: bytes, start: int, end: int) -> str | None:
         return None
 
 
+def _readable(content: bytes) -> None:
+    """Raises ValueError for contents that can't be a source text: with a zero byte, or not in UTF-8."""
+    if b"\0" in content:
+        raise ValueError("zero byte")
+    content.decode("utf-8")
+
+
 def parse_files(files: DataFrame, keys: list[str], content_col: str = "content") -> DataFrame:
     """``keys`` and the symbol columns of every declaration in binary contents; null content gives nothing.
 
-    Bytes that are no UTF-8 are replaced in texts. A file that can't be read gives one row with an error
-    and no symbol. Files are parsed where they are read.
+    A file that can't be read, among them those with a zero byte or bytes that are no UTF-8, gives one row with
+    an error and no symbol. Files are parsed where they are read.
     """
     arrow = to_arrow_schema(StructType.fromDDL(SYMBOL))
 
@@ -326,6 +333,7 @@ def parse_files(files: DataFrame, keys: list[str], content_col: str = "content")
                 if content.is_valid:
                     text = content.as_py()
                     try:
+                        _readable(text)
                         symbols = [s | {"doc_text": _doc_text(text, s["doc_start"], s["doc_end"])} for s in parse(text)]
                     except (IndexError, RecursionError, ValueError) as e:
                         symbols = [{"error": type(e).__name__}]

@@ -19,6 +19,11 @@ def symbols_of(files: DataFrame) -> DataFrame:
     return parsed.withColumn("docs", parse_comment(F.col("doc_text"))).drop("doc_text", "error")
 
 
+def failures_of(files: DataFrame) -> DataFrame:
+    """(bundle, strand, version, error) of the file versions that symbols_of() passes over, for a table of their own."""
+    return parse_files(files, ["bundle", "strand", "version"]).where("error is not null").select("bundle", "strand", "version", "error")
+
+
 def file_versions(blobs: DataFrame) -> DataFrame:
     """(bundle, strand, version, content) of blob rows: SourcePawn files by stem; rows loaded late or twice count once."""
     rows = blobs.where(F.col("repo").isNotNull() & F.col("content").isNotNull() & F.lower("path").rlike(r"\.(inc|sp)$"))

@@ -255,6 +255,11 @@ def parse_includes(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.select("bundle", "strand", F.col("version.count").alias("rev"), "category", "name", "kind", "return_type", F.size("arguments").alias("n_arguments"), "ref_line", F.col("docs.brief").alias("brief"))
 
 
+def unreadable_includes(spark: SparkSession, sf: str) -> DataFrame:
+    """File versions that give no symbols as they can't be read."""
+    return generate.failures_of(generate.file_versions(table(spark, sf, "blobs"))).select("bundle", "strand", F.col("version.count").alias("rev"))
+
+
 def generate_history(spark: SparkSession, sf: str) -> DataFrame:
     out = generate.generate(generate.file_versions(table(spark, sf, "blobs")))
     return out.select("bundle", "strand", "category", "name", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"))
@@ -287,7 +292,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
-    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes, parsed_sources,
+    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes, unreadable_includes, parsed_sources,
     generate_history, bundle_versions, bundle_symbols, symbol_documents, page_texts,
 )
 
@@ -413,6 +418,13 @@ def oracle_sql() -> dict[str, str]:
             select file_id, strand, category, name, member_kind, member, case when category = 'functions' or member_kind = 'method' then v->>'kind' end as kind,
                    case when category = 'functions' or member_kind = 'method' then v->>'returnType' when category = 'typedefs' or member_kind in ('property', 'field', 'type') then v->>'type' end as type,
                    case when category = 'defines' or member_kind = 'entry' then v->>'value' end as value, case when category = 'methodmaps' and member_kind is null then v->>'parent' end as parent from every""",
+        "unreadable_includes": r"""
+            with rows_ as (
+                select repo as bundle, regexp_replace(string_split(replace(path, chr(92), '/'), '/')[-1], '(.)\.[^.]*$', '\1') as strand, rev_count as rev, replace(path, chr(92), '/') as p, content
+                from blobs where repo is not null and content is not null and regexp_matches(lower(path), '\.(inc|sp)$')),
+            held as (select * from rows_ qualify row_number() over (partition by bundle, strand, rev order by p desc, sha256(content) desc) = 1)
+            select bundle, strand, rev from held where contains(hex(content), '00') and regexp_matches(hex(content), '^(..)*00') or not regexp_full_match(hex(content),
+              '([0-7].|(C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(E[1-9A-CEF])[89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].)*')""",
         "parsed_sources": f"""
             with {_SYMBOLS}, said as (
                 select *, list_transform(arguments, lambda a: a.type || ' ' || a.name || coalesce(' ' || case when a."default" = '(1 << 3)' then '1 << 3' when a."default" = '{{0, 0, 0}}' then '{{ 0, 0, 0 }}' when a."default" = '0.0' then '0.000000' else a."default" end, '')) as args,
