@@ -1,7 +1,7 @@
 """History of changing attributes: validity periods from updates (problem 1).
 
 Snapshots are taken at block boundaries of the version count. Each snapshot has a Merkle tree over all keys
-that it holds, by hash buckets: bundle, branch, leaf; a digest is the XOR of what is below. The trees of
+that it holds, by hash buckets: root, branch, leaf; a digest is the XOR of what is below. The trees of
 consecutive snapshots are compared from the roots down, and only differing branches are descended. The rows
 of changed leaves are read and compared one by one, and new versions are appended.
 """
@@ -15,34 +15,42 @@ from symbolloom.operators.blocked import block_of, boundaries
 from symbolloom.session import Stored, null_safe_hash
 
 KEY = ["bundle", "strand", "category", "name"]
-#: Rows that a leaf should hold, and the bounds of the number of leaves of a bundle (a power of four).
-LEAF_ROWS, LEAST_LEAVES, MOST_LEAVES = 256, 1 << 8, 1 << 24
-PATH = ["root", "block", "branch", "leaf"]
+#: Rows that a leaf should hold, and the bounds of the number of leaves (powers of four).
+LEAF_ROWS, LEAST_LEAVES, MOST_LEAVES = 64, 1 << 8, 1 << 30
+PATH = ["block", "branch", "leaf"]
 
 
-def _trees(ends: DataFrame, depth: int) -> DataFrame:
+def _marks(ends: DataFrame) -> DataFrame:
+    """Per leaf and block: the XOR of what the block brings to the leaf's digest and takes from it; one partial aggregation.
+
+    A state counts in the snapshots from its block up to the one that replaces it. ``moved`` counts keys that
+    took several states within the block, which its end doesn't show.
+    """
+    both = F.array(F.struct("block", "moved"), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("block"), F.lit(0).alias("moved"))))
+    marks = ends.select("branch", "leaf", "s1", "s2", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("branch", "leaf", "s1", "s2", "x.*")
+    return marks.groupBy(*PATH).agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.sum("moved").alias("moved"))
+
+
+def _trees(marks: DataFrame, depth: int) -> DataFrame:
     """Digests of the nodes of one level in every snapshot in which something below them was written.
 
-    A state counts in the snapshots from its block up to the one that replaces it, so the running XOR over
-    the blocks is the digest of all keys below the node, whether or not they were written in the block. The
-    digests of the snapshot before are those of the node's row before. ``moved`` counts keys that took
-    several states within the block, which its end doesn't show.
+    The running XOR over the blocks is the digest of all keys below the node, whether or not they were written
+    in the block. The digests of the snapshot before are those of the node's row before.
     """
-    node = [c for c in PATH[:depth] if c != "block"]
-    both = F.array(F.struct(F.col("block"), F.col("moved")), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("block"), F.lit(0).alias("moved"))))
-    marks = ends.select(*node, "s1", "s2", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select(*node, "s1", "s2", "x.*")
-    sums = marks.groupBy(*node, "block").agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.sum("moved").alias("moved"))
+    node = PATH[1:depth]
+    sums = marks.groupBy("block", *node).agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.sum("moved").alias("moved"))
     line = Window.partitionBy(*node).orderBy("block")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.select(*node, "block", "moved", F.bit_xor("s1").over(upto).alias("s1"), F.bit_xor("s2").over(upto).alias("s2")).withColumn("was1", F.coalesce(F.lag("s1").over(line), F.lit(0))).withColumn("was2", F.coalesce(F.lag("s2").over(line), F.lit(0)))
+    return sums.select("block", *node, "moved", F.bit_xor("s1").over(upto).alias("s1"), F.bit_xor("s2").over(upto).alias("s2")).withColumn("was1", F.coalesce(F.lag("s1").over(line), F.lit(0))).withColumn("was2", F.coalesce(F.lag("s2").over(line), F.lit(0)))
 
 
 def _differing(ends: DataFrame) -> DataFrame:
     """The leaves (PATH) whose snapshot differs from the one before, found from the roots down."""
     unequal = (F.col("s1") != F.col("was1")) | (F.col("s2") != F.col("was2")) | (F.col("moved") > 0)
+    marks = Stored(_marks(ends)).df
     found = None
-    for depth in (2, 3, 4):
-        level = _trees(ends, depth).where(unequal).select(*PATH[:depth])
+    for depth in (1, 2, 3):
+        level = _trees(marks, depth).where(unequal).select(*PATH[:depth])
         found = level if found is None else level.join(found, PATH[: depth - 1], "left_semi")
     return found
 
@@ -59,12 +67,14 @@ def versions(updates: DataFrame, order: Column, received: list[Column], deleted:
     spread over the blocks; across blocks it has one row each.
     """
     key = key or KEY
-    rows = updates.select(*key, order.alias("__at"), F.struct(*received).alias("__received"), F.struct(F.coalesce(deleted, F.lit(False)).alias("gone"), null_safe_hash(*attributes).alias("d1"), null_safe_hash(*attributes, seed=1).alias("d2")).alias("__state"))
-    rows = rows.where("__at is not null")
-    cuts = boundaries(rows, F.col("__at"))
-    held = rows.groupBy(*key, "__at").agg(F.max_by("__state", "__received").alias("s"))
-    named = F.struct(*key).alias("key")
-    held = held.select(named, null_safe_hash(*map(F.col, key)).alias("k1"), null_safe_hash(*map(F.col, key), seed=2).alias("k2"), F.xxhash64(key[0]).alias("root"), F.col("__at").alias("at"), block_of(F.col("__at"), cuts).alias("block"), F.col("s.gone").alias("gone"), F.when(~F.col("s.gone"), F.col("s.d1")).otherwise(0).alias("d1"), F.when(~F.col("s.gone"), F.col("s.d2")).otherwise(0).alias("d2"))
+    state = F.struct(F.coalesce(deleted, F.lit(False)).alias("gone"), null_safe_hash(*attributes).alias("d1"), null_safe_hash(*attributes, seed=1).alias("d2"), F.struct(*key).alias("key"))
+    names = list(map(F.col, key))
+    rows = updates.select(null_safe_hash(*names).alias("k1"), null_safe_hash(*names, seed=2).alias("k2"), order.alias("at"), F.struct(*received).alias("received"), state.alias("s")).where("at is not null")
+    cuts = boundaries(rows, F.col("at"))
+    # sorted and shuffled by the hashes of keys, which are short and spread
+    held = rows.groupBy("k1", "k2", "at").agg(F.max_by("s", "received").alias("s"))
+    alive = lambda d: F.when(~F.col("s.gone"), F.col(f"s.{d}")).otherwise(0).alias(d)
+    held = held.select("s.key", "k1", "k2", "at", block_of(F.col("at"), cuts).alias("block"), "s.gone", alive("d1"), alive("d2"))
     held = Stored(held)
 
     # one row per key and block: the state that the snapshot at the block's end holds, and the next block that has another
@@ -72,11 +82,11 @@ def versions(updates: DataFrame, order: Column, received: list[Column], deleted:
     while leaves < MOST_LEAVES and leaves * LEAF_ROWS < held.rows:
         leaves *= 4
     side = 1 << (leaves.bit_length() // 2)
-    ends = held.df.groupBy("root", "k1", "k2", "block").agg(*(F.max_by(c, "at").alias(c) for c in ("gone", "d1", "d2")), F.min("d1").alias("low"), F.max("d1").alias("high"))
-    line = Window.partitionBy("root", "k1", "k2").orderBy("block")
+    ends = held.df.groupBy("k1", "k2", "block").agg(*(F.max_by(c, "at").alias(c) for c in ("gone", "d1", "d2")), F.min("d1").alias("low"), F.max("d1").alias("high"))
+    line = Window.partitionBy("k1", "k2").orderBy("block")
     prior = F.lag(F.struct("gone", "d1", "d2")).over(line)
     seen = lambda c: F.when(F.col("gone"), F.lit(0)).otherwise(null_safe_hash(F.col("k1"), F.col("k2"), F.col("d1"), F.col("d2"), seed=c))
-    ends = ends.select("root", "k1", "k2", "block", (F.col("low") != F.col("high")).cast("int").alias("moved"), F.lead("block").over(line).alias("next"), prior.alias("prior"), seen(3).alias("s1"), seen(4).alias("s2"))
+    ends = ends.select("k1", "k2", "block", (F.col("low") != F.col("high")).cast("int").alias("moved"), F.lead("block").over(line).alias("next"), prior.alias("prior"), seen(3).alias("s1"), seen(4).alias("s2"))
     ends = Stored(ends.withColumn("branch", F.pmod(F.shiftright("k1", 32), F.lit(side))).withColumn("leaf", F.pmod("k1", F.lit(side)))).df
     within = ends.join(_differing(ends), PATH, "left_semi").select("k1", "k2", "block", "prior")
 

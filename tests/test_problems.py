@@ -65,10 +65,10 @@ def test_versions_random_against_fold(spark):
 
 def test_only_changed_leaves_are_descended(spark):
     """A key that is written again without a change moves no tree; one that changes and turns back does."""
-    rows = [(1, k, 0, b, None if b == 3 else b + 1, m, 7 + k, 9 + k) for k in range(200) for b, m in ((0, 0), (1, 0), (2, int(k == 5)), (3, 0))]
-    rows = [r if r[1:4:2] != (8, 3) else (*r[:6], 1, 2) for r in rows]
-    ends = spark.createDataFrame([(*r, r[1] % 16, r[1] // 16) for r in rows], "root bigint, k1 bigint, k2 bigint, block int, next int, moved int, s1 bigint, s2 bigint, branch int, leaf int")
-    assert sorted(tuple(r) for r in history._differing(ends).where("block > 0").collect()) == [(1, 2, 5, 0), (1, 3, 8, 0)]
+    rows = [(k, b, None if b == 3 else b + 1, m, 7 + k, 9 + k) for k in range(200) for b, m in ((0, 0), (1, 0), (2, int(k == 5)), (3, 0))]
+    rows = [r if r[:2] != (8, 3) else (*r[:4], 1, 2) for r in rows]
+    ends = spark.createDataFrame([(*r, r[0] % 16, r[0] // 16) for r in rows], "k1 bigint, block int, next int, moved int, s1 bigint, s2 bigint, branch int, leaf int")
+    assert sorted(tuple(r) for r in history._differing(ends).where("block > 0").collect()) == [(2, 5, 0), (3, 8, 0)]
     assert history._differing(ends).where("block = 0").count() == len({(k % 16, k // 16) for k in range(200)})
 
 
