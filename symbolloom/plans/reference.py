@@ -61,6 +61,28 @@ def parsed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("bundle", "strand", "category", "name", pick("functions", F.col("kind")).alias("kind"), pick("functions", F.col("return_type")).alias("return_type"), pick("methodmaps", F.col("parent")).alias("parent"), pick("functions", named).alias("arguments"), F.when(F.col("category") != "functions", held_members).alias("members"), brief.alias("brief"))
 
 
+def parsed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Enum structs, constants, defines, type sets and type definitions of the documents, written as source files and parsed again."""
+    typed = bundles.parse_bundles(table(spark, sf, "bundle_files").select("file_id", "body"))
+    rows = bundles.document_symbols(typed, "file_id").where(F.col("category").isin("enumstructs", "constants", "defines", "typesets", "typedefs"))
+    word, signature = "^[A-Za-z_][A-Za-z0-9_]*$", r"^function .*\(.*\)$"
+    member = F.when(F.col("member").isNotNull(), F.struct("member_kind", "member", F.when(F.col("type").rlike(word), F.col("type")).otherwise("int").alias("type")))
+    own = F.max(F.when(F.col("member").isNull(), F.struct("type", "value"))).alias("own")
+    held = rows.groupBy("file_id", "strand", "category", "name").agg(own, F.array_sort(F.collect_set(member)).alias("members"))
+    line = lambda m: F.when(m["member_kind"] == "field", F.concat(F.lit("\t"), m["type"], F.lit(" "), m["member"], F.lit(";\n"))).when(m["member_kind"] == "method", F.concat(F.lit("\t"), m["type"], F.lit(" "), m["member"], F.lit("()\n\t{\n\t}\n"))).otherwise(F.concat(F.lit("\t"), m["member"], F.lit(";\n")))
+    body = F.array_join(F.transform("members", line), "")
+    kind = F.when(F.col("own.type").rlike(signature), F.col("own.type")).otherwise("function void ()")
+    text = (
+        F.when(F.col("category") == "enumstructs", F.concat(F.lit("enum struct "), "name", F.lit("\n{\n"), body, F.lit("}\n"))).when(F.col("category") == "constants", F.concat(F.lit("enum\n{\n\t"), "name", F.lit("\n};\n")))
+        .when(F.col("category") == "defines", F.concat(F.lit("#define "), "name", F.lit(" "), F.coalesce("own.value", F.lit("")), F.lit("\n"))).when(F.col("category") == "typesets", F.concat(F.lit("typeset "), "name", F.lit("\n{\n"), body, F.lit("}\n")))
+        .otherwise(F.concat(F.lit("typedef "), "name", F.lit(" = "), kind, F.lit(";\n")))
+    )
+    files = held.select("file_id", "strand", F.struct("category", "name", text.alias("text")).alias("t")).groupBy("file_id", "strand").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "\n"), "utf-8").alias("content"))
+    out = parse_files(files, ["file_id", "strand"]).where("error is null")
+    members = F.array_join(F.array_sort(F.transform("members", lambda m: F.concat_ws(" ", m["kind"], m["name"], F.when(m["kind"] != "type", m["type"])))), ";")
+    return out.select("file_id", "strand", "category", "name", F.when(F.col("category") == "typedefs", F.col("type")).alias("type"), F.when(F.col("category") == "defines", F.coalesce("value", F.lit(""))).alias("value"), F.when(F.col("category").isin("enumstructs", "typesets"), members).alias("members"))
+
+
 def _held(spark: SparkSession, sf: str) -> DataFrame:
     return merge.held_rows(table(spark, sf, "snapshots"), symbol_attributes(), ["members", "ref_line"])
 
@@ -292,7 +314,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES = (
     score_names, search_weighted, search_l1only, search_top, recent_additions, path_lookup, path_normalize, strand_is_empty, commit_number, resume_commits, version_merge, version_merge_members,
-    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes, unreadable_includes, parsed_sources,
+    merge_diff_count, merge_resume, recent_members, search_documents, key_diff, retain_strands, index_upsert, source_checks, keyby_last_wins, comment_attach, text_slices, signature_parse, file_stems, sitemap_urls, parse_includes, unreadable_includes, parsed_sources, parsed_documents,
     generate_history, bundle_versions, bundle_symbols, symbol_documents, page_texts,
 )
 
@@ -425,6 +447,21 @@ def oracle_sql() -> dict[str, str]:
             held as (select * from rows_ qualify row_number() over (partition by bundle, strand, rev order by p desc, sha256(content) desc) = 1)
             select bundle, strand, rev from held where contains(hex(content), '00') and regexp_matches(hex(content), '^(..)*00') or not regexp_full_match(hex(content),
               '([0-7].|(C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(E[1-9A-CEF])[89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].)*')""",
+        "parsed_documents": r"""
+            with docs as (select file_id, json(body) as j from bundle_files where json_valid(body)),
+            strands as (select file_id, k as strand, json_extract(j, '$.strands."' || k || '"') as j from (select file_id, j, unnest(json_keys(j, '$.strands')) as k from docs where json_type(j, '$.strands') = 'OBJECT')),
+            cats as (select file_id, strand, c as category, json_extract(j, '$.' || c) as j from strands, unnest(['functions', 'methodmaps', 'enumstructs', 'constants', 'defines', 'enums', 'typesets', 'typedefs']) t(c)),
+            syms as (select file_id, strand, category, k as name, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from cats where json_type(j) = 'OBJECT')),
+            held as (select s.*, kd as member_kind, json_extract(v, '$.' || f) as j from syms s, (values ('methodmaps', 'method', 'methods'), ('methodmaps', 'property', 'properties'), ('enumstructs', 'method', 'methods'), ('enumstructs', 'field', 'fields'), ('enums', 'entry', 'entries'), ('typesets', 'type', 'types')) t(c, kd, f) where c = category),
+            mems as (select file_id, strand, category, name, member_kind, k as member, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from held where json_type(j) = 'OBJECT')),
+            every as (select file_id, strand, category, name, null as member_kind, null as member, v from syms union all select * from mems),
+            said as (
+                select *, case member_kind when 'type' then 'type ' || member else member_kind || ' ' || member || ' ' || case when regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') then t else 'int' end end as m
+                from (select *, case when member_kind = 'method' then v->>'returnType' else v->>'type' end as t from every where category in ('enumstructs', 'constants', 'defines', 'typesets', 'typedefs')))
+            select file_id, strand, category, name, max(case when category = 'typedefs' then case when regexp_matches(t, '^function .*\(.*\)$') then t else 'function void ()' end end) as type,
+                   max(case when category = 'defines' then coalesce(trim(v->>'value'), '') end) as value,
+                   case when category in ('enumstructs', 'typesets') then coalesce(array_to_string(list_sort(list(m) filter (m is not null)), ';'), '') end as members
+            from said group by file_id, strand, category, name""",
         "parsed_sources": f"""
             with {_SYMBOLS}, said as (
                 select *, list_transform(arguments, lambda a: a.type || ' ' || a.name || coalesce(' ' || case when a."default" = '(1 << 3)' then '1 << 3' when a."default" = '{{0, 0, 0}}' then '{{ 0, 0, 0 }}' when a."default" = '0.0' then '0.000000' else a."default" end, '')) as args,
