@@ -220,8 +220,8 @@ class Language:
     def role_mask(self, bracket: str, content: str) -> int:
         return sum(1 << i for i, r in enumerate(self.brackets[bracket][1]) if self.exact[r].fullmatch(self.prepare(content, r)))
 
-    def _fold(self, m: re.Match) -> str:
-        text = m[0]
+    def _symbol(self, text: str) -> str:
+        """The symbol of a bracketed span; '' if its content plays no role."""
         got = self.memo.get(text)
         if got is None:
             base, roles = self.brackets[text[0]]
@@ -231,20 +231,49 @@ class Language:
                 self.memo.clear()
             if len(text) <= self.MEMO_LENGTH:
                 self.memo[text] = got
+        return got
+
+    def _fold(self, m: re.Match) -> str:
+        got = self._symbol(m[0])
         if not got:
-            self.bad.append(text)
-            base, roles = self.brackets[text[0]]
+            self.bad.append(m[0])
+            base, roles = self.brackets[m[0][0]]
             return chr(base + (1 << len(roles)) - 1)
         return got
 
+    def _fold_deep(self, kinds: str) -> str | None:
+        """All spans folded in one pass, however deep they are; None if one plays no role or brackets don't match."""
+        stack: list[list[str]] = [[]]
+        for c in kinds:
+            if c in self.brackets:
+                stack.append([c])
+            elif c in self.closers:
+                if stack[-1][:1] != [self.closers[c]] or len(stack) < 2:
+                    return None
+                got = self._symbol("".join(stack.pop()) + c)
+                if not got:
+                    return None
+                stack[-1].append(got)
+            else:
+                stack[-1].append(c)
+        return "".join(stack[0]) if len(stack) == 1 else None
+
+    #: Passes that fold innermost spans before the rest, which is deeper, is folded in one.
+    PASSES = 32
+
     def accepts(self, kinds: str) -> bool:
         """Whether the chart has a parse without edits."""
         self.bad.clear()
-        n = 1
-        while n:
+        for _ in range(self.PASSES):
             kinds, n = self.group.subn(self._fold, kinds)
             if self.bad:
                 return False
+            if not n:
+                break
+        else:
+            kinds = self._fold_deep(kinds)
+            if kinds is None:
+                return False
         return self.exact[self.top].fullmatch(self.prepare(kinds, self.top)) is not None
 
     #: Up to so many brackets that are left when matching neighbours are taken out are paired with the fewest edits;
@@ -276,16 +305,20 @@ class Language:
         """For each bracket: its partner, -1 to drop it, or None for an opening one that is closed where what is around it ends."""
         plan: dict[int, int | None] = {}
         stack: list[int] = []
+        held = dict.fromkeys(self.brackets, 0)
         for i, c in enumerate(kinds):
             if c in self.brackets:
                 plan[i] = None
                 stack.append(i)
+                held[c] += 1
             elif c in self.closers:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if kinds[stack[k]] == self.closers[c]), None) if self.closers[c] in {kinds[k] for k in stack} else None
                 plan[i] = -1
-                if at is not None:
-                    plan[i], plan[stack[at]] = stack[at], i
-                    del stack[at:]
+                if held[self.closers[c]]:
+                    while kinds[stack[-1]] != self.closers[c]:
+                        held[kinds[stack.pop()]] -= 1
+                    at = stack.pop()
+                    held[kinds[at]] -= 1
+                    plan[i], plan[at] = at, i
         return plan
 
     def _pair_with_fewest(self, kinds: str) -> dict[int, int | None] | None:

@@ -93,7 +93,9 @@ def test_size_makes_nothing_invalid():
     assert syntax.check("python", b"x = " + b"(" * 250 + b"1" + b")" * 249 + b"\n")[0] == 1
     nest = b"".join(b" " * i + b"if x:\n" for i in range(120)) + b" " * 120 + b"pass\n"
     assert syntax.check("python", nest) is None
-    assert syntax.check("sourcepawn", b"void f() { x = " + b"(" * 300 + b"1" + b")" * 300 + b"; }") is None
+    for n in (30, 31, 32, 33, 300, 40_000):
+        source = b"void f() { x = " + b"(" * n + b"1" + b")" * n + b"; }"
+        assert syntax.check("sourcepawn", source) is None and syntax.check("sourcepawn", source.replace(b"))", b")", 1))[0] == 1
 
 
 def test_reserved_words_are_no_names():
