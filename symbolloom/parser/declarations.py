@@ -7,7 +7,7 @@ members, arguments and the byte span of the comment that documents each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -318,11 +318,12 @@ def _readable(content: bytes) -> None:
     content.decode("utf-8")
 
 
-def parse_files(files: DataFrame, keys: list[str], content_col: str = "content") -> DataFrame:
+def parse_files(files: DataFrame, keys: list[str], content_col: str = "content", valid: Callable[[bytes], bool] | None = None) -> DataFrame:
     """``keys`` and the symbol columns of every declaration in binary contents; null content gives nothing.
 
     A file that can't be read, among them those with a zero byte or bytes that are no UTF-8, gives one row with
-    an error and no symbol. Files are parsed where they are read.
+    an error and no symbol; so do files that ``valid`` (a function of a content, such as a syntax check) refuses.
+    Files are parsed where they are read.
     """
     arrow = to_arrow_schema(StructType.fromDDL(SYMBOL))
 
@@ -334,8 +335,10 @@ def parse_files(files: DataFrame, keys: list[str], content_col: str = "content")
                     text = content.as_py()
                     try:
                         _readable(text)
+                        if valid and not valid(text):
+                            raise SyntaxError
                         symbols = [s | {"doc_text": _doc_text(text, s["doc_start"], s["doc_end"])} for s in parse(text)]
-                    except (IndexError, RecursionError, ValueError) as e:
+                    except (IndexError, RecursionError, ValueError, SyntaxError) as e:
                         symbols = [{"error": type(e).__name__}]
                     found += symbols
                     rows += [i] * len(symbols)

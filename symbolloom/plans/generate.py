@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +15,18 @@ from symbolloom.session import Stored
 from symbolloom.sources import bundles, git
 
 
-def symbols_of(files: DataFrame) -> DataFrame:
-    """Symbols of each file version (bundle, strand, version, content), with parsed docs."""
-    parsed = parse_files(files, ["bundle", "strand", "version"]).where("error is null")
+Valid = Callable[[bytes], bool] | None
+
+
+def symbols_of(files: DataFrame, valid: Valid = None) -> DataFrame:
+    """Symbols of each file version (bundle, strand, version, content), with parsed docs; ``valid`` may refuse contents."""
+    parsed = parse_files(files, ["bundle", "strand", "version"], valid=valid).where("error is null")
     return parsed.withColumn("docs", parse_comment(F.col("doc_text"))).drop("doc_text", "error")
 
 
-def failures_of(files: DataFrame) -> DataFrame:
+def failures_of(files: DataFrame, valid: Valid = None) -> DataFrame:
     """(bundle, strand, version, error) of the file versions that symbols_of() passes over, for a table of their own."""
-    return parse_files(files, ["bundle", "strand", "version"]).where("error is not null").select("bundle", "strand", "version", "error")
+    return parse_files(files, ["bundle", "strand", "version"], valid=valid).where("error is not null").select("bundle", "strand", "version", "error")
 
 
 def file_versions(blobs: DataFrame) -> DataFrame:
@@ -36,10 +41,10 @@ def file_versions(blobs: DataFrame) -> DataFrame:
 PAYLOAD = ["docs", "kind", "return_type", "parent", "arguments", "members", "ref_line", "doc_start", "doc_end"]
 
 
-def held(files: DataFrame) -> DataFrame:
+def held(files: DataFrame, valid: Valid = None) -> DataFrame:
     """The symbols of every file version, as merge() takes them."""
     content = [F.to_json(F.struct("docs", "kind", "return_type", "type", "parent", "value", "arguments", "members"))]
-    return merge.held_rows(symbols_of(files), content, PAYLOAD)
+    return merge.held_rows(symbols_of(files, valid), content, PAYLOAD)
 
 
 def generate(files: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -47,12 +52,12 @@ def generate(files: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     return merge.merge(held(files), prior)
 
 
-def run(spark: SparkSession, manifest: str, repository: str, out: str, prior: str | None = None) -> int:
+def run(spark: SparkSession, manifest: str, repository: str, out: str, prior: str | None = None, valid: Valid = None) -> int:
     """A bundle from its manifest (TOML text): walks the repository, merges into ``prior``, keeps what HEAD still has, writes ``out``.
 
     ``out`` gets the state (``symbols``), the nested document (``document``) and the last version (``version``), and
     ``prior`` is an ``out`` of before, from whose time the walk goes on. Returns the number of differences;
-    without any nothing is written. An existing repository is not fetched.
+    without any nothing is written. An existing repository is not fetched. Contents that ``valid`` refuses are passed over.
     """
     about = bundles.read_manifest(spark, manifest)
     source = about.first()["source"]
@@ -62,7 +67,7 @@ def run(spark: SparkSession, manifest: str, repository: str, out: str, prior: st
     commits = git.history(spark, repository, source["patterns"], last["time"] if last else None)
     version = F.struct(F.col("commit_hash").alias("hash"), F.col("rev_count").alias("count"), F.col("rev_time").alias("time"))
     files = Stored(commits.select(name.alias("bundle"), F.col("stem").alias("strand"), version.alias("version"), "content").where("content is not null")).df
-    rows = Stored(held(files)).df
+    rows = Stored(held(files, valid)).df
     old = spark.read.parquet(f"{prior}/symbols") if prior else None
     diffs = merge.diffs_since(rows, old)
     if diffs:

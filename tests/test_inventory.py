@@ -375,6 +375,15 @@ def test_git_history(spark, tmp_path):
     assert git.head_stems(repo, ["*.inc"]) == ["a", "b"] and git.open_repository(repo) == repo
 
 
+def test_unreadable_files_go_to_a_table_of_their_own(spark):
+    rows = [("b", "s", ("h", n, n), c) for n, c in enumerate([b"native int A();", b"native int B();\0", b"native int C(); // \xff", b"native int D(", None])]
+    files = spark.createDataFrame(rows, f"bundle string, strand string, version {bundles.BUNDLE.rsplit('version ', 1)[1]}, content binary")
+    valid = lambda content: content.endswith(b";")
+    assert {(r["version"]["count"], r["error"]) for r in generate.failures_of(files, valid).collect()} == {(1, "ValueError"), (2, "UnicodeDecodeError"), (3, "SyntaxError")}
+    assert [r["name"] for r in generate.symbols_of(files, valid).collect()] == ["A"]
+    assert {r["version"]["count"] for r in generate.failures_of(files).collect()} == {1, 2}
+
+
 def test_run_from_manifest_to_document(spark, tmp_path):
     """Walk, merge, keep what HEAD has, write; again from there; nothing without differences; the walk as a stream."""
     repo = tmp_path / "repo"
