@@ -101,6 +101,11 @@ def read_sourcepawn(content: bytes) -> tuple[list[str], str, bool]:
     return tokens, kinds, conditions_match(tokens, kinds) and language.accepts(language.code(kinds))
 
 
+def is_sourcepawn(content: bytes) -> bool:
+    """Whether a content is valid SourcePawn; for readers of declarations that take such a check."""
+    return read_sourcepawn(content)[2]
+
+
 def check_sourcepawn(content: bytes) -> tuple[list[str], str, Repair | None]:
     """(tokens, kinds, repair or None if valid)."""
     tokens, kinds, fine = read_sourcepawn(content)

@@ -313,6 +313,13 @@ def test_briefs_and_own_words():
     assert pairs.own_words("Gets the foo2bar HUDMenu value don't", "Foo_GetHUDMenu3Bar") == 6 and pairs.own_words("", "x") == 0
 
 
+def test_syntax_check_of_parsed_files(spark):
+    from symbolloom.parser.declarations import parse_files
+
+    files = spark.createDataFrame([(1, b"native int A();"), (2, b"native int B(")], "id int, content binary")
+    assert {(r["id"], r["name"], r["error"]) for r in parse_files(files, ["id"], valid=syntax.is_sourcepawn).collect()} == {(1, "A", None), (2, None, "SyntaxError")}
+
+
 def test_pairs_table(spark):
     rows = [(1, "a.INC", SOURCE.encode()), (2, "a.py", SOURCE.encode()), (3, "a.inc", None), (4, None, SOURCE.encode()), (5, "a.sp", SOURCE.encode() + b"{"), (6, "x\\a.sp", SOURCE.replace("\n", "\r\n").encode()), (1, "a.INC", SOURCE.encode()), (7, "a.sp", ("// " + "\u043e\u0434\u0438\u043d \u0434\u0432\u0430 \u0442\u0440\u0438 \u0447\u0435\u0442\u044b\u0440\u0435 \u043f\u044f\u0442\u044c").encode().join([b"\n", b" \xff\nnative int A();\n// x\n"]) * 2)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "blob_id bigint, path string, content binary, func_name string")
