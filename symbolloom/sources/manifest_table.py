@@ -162,6 +162,13 @@ class ManifestTable:
             gone.select(F.col("__file").alias("file"), self.key, F.lit(base + 1).cast("bigint").alias("since")).write.parquet(f"{self.path}/deleted/{vectors[0]}")
         return self._commit(base, [{"vectors": vectors, "processed": processed}])
 
+    def vacuum(self, before: int) -> int:
+        """Deletes data files that no version from ``before`` on holds, and says how many; earlier versions can't be read any more."""
+        log = self.log()
+        kept = set(self.manifest(before, log).files) | {f for e in log if e["version"] > before for f in e["add"]}
+        gone = [f for e in log if e["version"] <= before for f in e["remove"] if f not in kept]
+        return sum(self._fs.delete(self._path(f"{self.path}/data/{f}"), True) for f in gone)
+
     def _scan(self, files: Iterable[str]) -> DataFrame:
         """All rows of data files, which have one schema, with ``__file``; one scan."""
         rows = self.spark.read.parquet(*[f"{self.path}/data/{f}" for f in files])

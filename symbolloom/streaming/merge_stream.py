@@ -54,6 +54,7 @@ class MergeSink:
         self.table.append(merged.withColumn("bucket", bucket), processed=number + 1, remove=old, scope=",".join(map(str, touched)))
         if self.output and merge.diffs_since(held, prior):
             self.output(self.state(), number)
+        self.table.vacuum(self.table.version())
 
 
 def start(spark: SparkSession, source: str, schema, sink: MergeSink, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:

@@ -260,6 +260,7 @@ def test_manifest_table_removals_and_spans(spark, tmp_path):
     spans = t.deltas([(1, 3, 4, "a"), (2, 4, 6, "a"), (3, 3, 6, "b")], "run").collect()
     assert sorted((r["run"], r["k"]) for r in spans) == [(1, 10), (2, 12)]
     assert sorted(r["k"] or 0 for r in t.read().collect()) == [0, 10, 12]
+    assert t.vacuum(1) == 0 and t.vacuum(6) == 1 and t.vacuum(6) == 0 and sorted(r["k"] or 0 for r in t.read().collect()) == [0, 10, 12]
 
 
 BAD = ['', ' ', '{', '{"a":1,}', '[1,]', '{"a" 1}', '{"a":}', '{a:1}', '"x', '"\\x"', '"\\u12g4"', '01', '1.', 'nul', '{"a":1}}', '{} {}', '[1 2]', '{"a":1 "b":2}', '["a":1]', '{"a","b"}', '"\t"', '[}', '{]', ',', ':', '{"a":1,,"b":2}', "'a'", '{"strands":{"s":NaN}}', '"\\', '{"a":"\\"}']
