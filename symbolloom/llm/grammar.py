@@ -17,6 +17,8 @@ from re import _parser  # type: ignore[attr-defined]
 
 import numpy as np
 
+from symbolloom.llm.brackets import pair
+
 
 def _bits(items: int) -> list[int]:
     out = []
@@ -172,6 +174,22 @@ class Chart:
         return out
 
 
+class _Content:
+    """What stands in a bracket: its text, the edits it takes, what stands for it outside, and where that is."""
+
+    def __init__(self, bracket: str, begin: int) -> None:
+        self.bracket, self.begin = bracket, begin
+        self.text, self.edits, self.shown = "", 0, ""
+        self.around: _Content | None = None
+        self.at, self.gone = 0, False
+
+    def place(self) -> tuple[_Content, int]:
+        """(the content around it, position there), past brackets that are gone and whose texts stand in those around them."""
+        while self.around.gone:
+            self.around, self.at = self.around.around, self.around.at + self.at
+        return self.around, self.at
+
+
 class Language:
     """Bracketed text: the content of each bracket pair is matched by itself and stands as one symbol outside.
 
@@ -276,10 +294,6 @@ class Language:
                 return False
         return self.exact[self.top].fullmatch(self.prepare(kinds, self.top)) is not None
 
-    #: Up to so many brackets that are left when matching neighbours are taken out are paired with the fewest edits;
-    #: of up to so many opening ones without a partner it is tried whether dropping them is cheaper.
-    MOST_LEFT, MOST_TRIED = 256, 8
-
     def repair(self, kinds: str) -> tuple[int, list[int], bool]:
         """(edits, positions of edits, whether brackets are still open at the end) of the cheapest repair found.
 
@@ -291,16 +305,53 @@ class Language:
         self.spans: dict[tuple[str, str], tuple[int, int, int]] = {}
         plan = self._pair_greedily(kinds)
         best = self._apply(kinds, plan)
-        if best[0] > 1 and (other := self._pair_with_fewest(kinds)) not in (None, plan):
+        if best[0] > 1 and (other := self._pair_with_fewest(kinds)) != plan:
             got = self._apply(kinds, other)
             plan, best = (other, got) if got[0] < best[0] else (plan, best)
         lone = [i for i, p in plan.items() if p is None]
-        for i in lone if best[0] > 1 and len(lone) <= self.MOST_TRIED else ():
-            got = self._apply(kinds, plan | {i: -1})
-            if got[0] < best[0]:
-                plan, best = plan | {i: -1}, got
+        if best[0] > 1 and lone and (dropped := self._better_dropped(kinds, plan, lone)):
+            best = self._apply(kinds, plan | dict.fromkeys(dropped, -1))
         return best
 
+    def _better_dropped(self, kinds: str, plan: dict[int, int | None], lone: list[int]) -> list[int]:
+        """Those of the opening brackets without a partner that are cheaper dropped than closed, tried one after another.
+
+        A trial puts the content into the one around it, and looks at those farther out only while they change.
+        """
+        spans: dict[int, _Content] = {}
+        self._apply(kinds, plan, spans)
+        out = []
+        for i in lone:
+            inner = spans[i]
+            around, at = inner.place()
+            changes, edits, text = [], -inner.edits, around.text[:at] + inner.text
+            while True:
+                got = self._content(around.bracket, text, around.bracket != "" and plan[around.begin] is None)
+                edits += got[0] - around.edits
+                changes.append((around, text, got))
+                if around.bracket == "" or got[1] == around.shown:
+                    break
+                wider, begin = around.place()
+                text = wider.text[:begin] + got[1] + wider.text[begin + len(around.shown) :]
+                around = wider
+            if edits < 0:
+                out.append(i)
+                inner.around, inner.at, inner.gone = changes[0][0], at, True
+                for content, text, (content.edits, content.shown) in changes:
+                    content.text = text
+        return out
+
+    def _content(self, bracket: str, text: str, inserted: bool) -> tuple[int, str]:
+        """(edits, what stands for it outside) of one content, as _apply has them."""
+        if not bracket:
+            return self._span("", text)[0], ""
+        n = len(text.rstrip("\n")) if inserted else len(text)
+        key = bracket, text[:n]
+        if key not in self.spans:
+            self.spans[key] = self._span(*key)
+        cost, _, mask = self.spans[key]
+        return cost, chr(self.brackets[bracket][0] + mask) + text[n:]
+
     def _pair_greedily(self, kinds: str) -> dict[int, int | None]:
         """For each bracket: its partner, -1 to drop it, or None for an opening one that is closed where what is around it ends."""
         plan: dict[int, int | None] = {}
@@ -321,8 +372,8 @@ class Language:
                     plan[i], plan[at] = at, i
         return plan
 
-    def _pair_with_fewest(self, kinds: str) -> dict[int, int | None] | None:
-        """As _pair_greedily, by the fewest edits of brackets; None if too many are left. A replaced bracket has its partner's kind."""
+    def _pair_with_fewest(self, kinds: str) -> dict[int, int | None]:
+        """As _pair_greedily, by the fewest edits of brackets. A replaced bracket has its partner's kind."""
         plan: dict[int, int | None] = {}
         left: list[int] = []
         for i, c in enumerate(kinds):
@@ -331,38 +382,21 @@ class Language:
                 left.pop()
             elif c in self.brackets or c in self.closers:
                 left.append(i)
-        n = len(left)
-        if n > self.MOST_LEFT:
-            return None
         opens = np.array([kinds[i] in self.brackets for i in left], bool)
-        kind = np.array([ord(self.closers.get(kinds[i], kinds[i])) for i in left])
-        cost, how = np.zeros((n + 1, n + 1), np.int32), np.full((n + 1, n + 1), -1, np.int32)
-        for a in range(n - 1, -1, -1):
-            pair = np.where(opens[a] & ~opens[a + 1 :], (kind[a + 1 :] != kind[a]).astype(np.int32), (~opens[a]).astype(np.int32) + opens[a + 1 :])
-            for b in range(a + 1, n + 1):
-                cost[a, b] = cost[a + 1, b] + 1
-                if b > a + 1:
-                    total = cost[a + 1, a + 1 : b] + pair[: b - a - 1] + cost[a + 2 : b + 1, b]
-                    k = int(total.argmin())
-                    if total[k] <= cost[a, b]:
-                        cost[a, b], how[a, b] = total[k], a + 1 + k
-        waiting = [(0, n)]
-        while waiting:
-            a, b = waiting.pop()
-            if a >= b:
-                continue
-            k = int(how[a, b])
+        kind = np.array([ord(self.closers.get(kinds[i], kinds[i])) for i in left], np.int32)
+        for a, k in pair(opens, kind):
             if k < 0:
                 plan[left[a]] = None if opens[a] else -1
-                waiting.append((a + 1, b))
             else:
                 plan[left[a]], plan[left[k]] = left[k], left[a]
-                waiting += [(a + 1, k), (k + 1, b)]
         return plan
 
-    def _apply(self, kinds: str, plan: dict[int, int | None]) -> tuple[int, list[int], bool]:
+    def _apply(self, kinds: str, plan: dict[int, int | None], contents: dict[int, _Content] | None = None) -> tuple[int, list[int], bool]:
+        """The repair by one pairing. ``contents`` gets the content of each bracket, by its position, and at -1 the outermost."""
         stack: list[tuple[str, int, list[str], list[int]]] = [("", -1, [], [])]
         edits, places = 0, []
+        if contents is not None:
+            contents[-1] = _Content("", -1)
 
         def close(inserted: bool = True) -> None:
             nonlocal edits
@@ -377,7 +411,12 @@ class Language:
             edits += cost
             if cost:
                 places.append(index[where] if where < n else (index[n - 1] + 1 if n else at))
-            stack[-1][2].extend([chr(self.brackets[bracket][0] + mask), *content[n:]])
+            shown = [chr(self.brackets[bracket][0] + mask), *content[n:]]
+            if contents is not None:
+                got = contents[at]
+                got.text, got.edits, got.shown = "".join(content), cost, "".join(shown)
+                got.around, got.at = contents[stack[-1][1]], len(stack[-1][2])
+            stack[-1][2].extend(shown)
             stack[-1][3].extend([at, *index[n:]])
 
         def edit(at: int) -> None:
@@ -398,6 +437,8 @@ class Language:
                     edit(i)
                     c = kinds[partner] if kinds[partner] in self.brackets else self.closers[kinds[partner]]
                 stack.append((c, i, [], []))
+                if contents is not None:
+                    contents[i] = _Content(c, i)
             else:
                 while stack[-1][1] != partner:
                     edit(i)
@@ -409,7 +450,10 @@ class Language:
         while len(stack) > 1:
             edit(len(kinds))
             close()
-        cost, where, _ = self._span("", "".join(stack[0][2]))
+        text = "".join(stack[0][2])
+        cost, where, _ = self._span("", text)
+        if contents is not None:
+            contents[-1].text, contents[-1].edits = text, cost
         if cost:
             edits += cost
             index = stack[0][3]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from symbolloom.llm import grammar, pairs, python_toml, queries, sourcepawn, syntax
+from symbolloom.llm import brackets, grammar, pairs, python_toml, queries, sourcepawn, syntax
 from symbolloom.parser import lexer
 
 VALID = [
@@ -107,6 +108,70 @@ def test_brackets_are_replaced_where_that_is_cheapest():
     assert [syntax.check("json", c)[0] for c in (b"[[1,2},3]", b"[1,2}", b"{s[]}", b"[1]]", b"[[1]", b"}1]", b"[{]")] == [1, 1, 2, 1, 1, 1, 1]
 
 
+def test_any_number_of_brackets_is_paired_with_the_fewest_edits():
+    """Against the plain recurrence over all intervals, beyond 256 brackets too."""
+    rng = random.Random(8)
+
+    def edits(s, a, b):
+        return (s[a].lower() != s[b].lower()) if s[a].islower() and s[b].isupper() else s[a].isupper() + s[b].islower()
+
+    def least(s):
+        n = len(s)
+        cost = np.zeros((n + 2, n + 2), int)
+        for a in range(n - 1, -1, -1):
+            pair = np.array([edits(s, a, k) for k in range(a + 1, n)], int)
+            for b in range(a + 1, n + 1):
+                cost[a, b] = min([cost[a + 1, b] + 1, *(cost[a + 1, a + 1 : b] + pair[: b - a - 1] + cost[a + 2 : b + 1, b])])
+        return cost[0, n]
+
+    crossed = "ab" * 70 + "c" + "AB" * 70  # lower case opens
+    for s in [*("".join(rng.choice("abAB") for _ in range(rng.randrange(1, 14))) for _ in range(200)), "".join(rng.choice("abcABC") for _ in range(280)), crossed, "a" * 290, "A" * 150 + "a" * 151]:
+        out = brackets.pair(np.array([c.islower() for c in s]), np.array([ord(c.lower()) for c in s]))
+        assert sorted(i for p in out for i in p if i >= 0) == list(range(len(s)))
+        assert sum(edits(s, a, k) if k >= 0 else 1 for a, k in out) == least(s), s
+    assert [syntax.check("sourcepawn", b"void f() {\n" + b" y(;\n" * n + b"}\n")[0] for n in (200, 400, 1600)] == [200, 400, 1600]
+    for n in (2, 20_000):  # crossed far inside
+        assert syntax.check("json", b"[" * n + b"[{1]}" + b"]" * n)[0] == 2
+
+
+def test_packed_costs_give_the_same_pairs(monkeypatch):
+    rng, cases = random.Random(5), []
+    for n in (7, 30, 90, 120):
+        s = "".join(rng.choice("abAB") for _ in range(n))
+        cases.append((np.array([c.islower() for c in s]), np.array([ord(c.lower()) for c in s])))
+    plain = [brackets.pair(*c) for c in cases]
+    monkeypatch.setattr(brackets, "PACKED", 5)
+    monkeypatch.setattr(brackets, "RECENT", 2)
+    assert [brackets.pair(*c) for c in cases] == plain
+    row = np.array([0, 1, 0, 1, 2, 2, 1], np.int16)
+    kept = brackets._packed(row)
+    assert isinstance(kept, brackets._Packed) and kept.row().tolist() == row.tolist() == [kept[i] for i in range(7)]
+
+
+def test_dropping_is_tried_for_any_number_of_open_brackets():
+    assert [syntax.check("json", b"{" + b'"a":{1,' * n + b'"b":2}')[0] for n in (8, 9, 40, 2000)] == [10, 11, 42, 2002]
+
+
+def test_trials_of_dropped_brackets_equal_whole_repairs():
+    language, rng = sourcepawn.language(), random.Random(4)
+    tokens, kinds = lexer.tokenize(VALID[9].decode())
+    code = language.code(kinds)
+    for _ in range(40):
+        k = list(code)
+        for _ in range(rng.randrange(1, 20)):
+            k.insert(rng.randrange(len(k) + 1), rng.choice("({[(\n])}"))
+        k = "".join(k)
+        language.repair(k)
+        plan = language._pair_greedily(k)
+        lone, best, dropped = [i for i, p in plan.items() if p is None], language._apply(k, plan)[0], []
+        got = language._better_dropped(k, plan, lone)
+        for i in lone:
+            if (edits := language._apply(k, plan | {i: -1})[0]) < best:
+                best, plan = edits, plan | {i: -1}
+                dropped.append(i)
+        assert got == dropped, k
+
+
 def test_repair_of_short_json_against_the_least():
     """Repairs are never below the least number of edits, and mostly equal to it; README gives the rate."""
     language, rng = syntax._json(), random.Random(9)
