@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolloom.llm import lexicon, textscan
-from symbolloom.session import ensure_checkpoint_dir
+from symbolloom.session import Stored, ensure_checkpoint_dir
 
 TOKENIZERS = "/opt/tokenizers"
 #: The split pattern that belongs to the byte_bpe_50k vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_WORDS = 100_000
+#: So many different words are counted at once in a task; their counts are handed on then, and added up by the shuffle.
+COUNTED_WORDS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -130,22 +132,49 @@ class Encoder:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of all words; a word has several rows where more than COUNTED_WORDS are in hand at once."""
     counts: Counter[bytes] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+
     for batch in batches:
         for _, _, data, offsets in textscan.slices(batch.column(0)):
             at, _ = split(data, offsets)
             raw = data.tobytes()
             bounds = at.tolist()
             counts.update(raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
-    yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+            if len(counts) > COUNTED_WORDS:
+                yield counted()
+                counts.clear()
+    yield counted()
 
 
-def build_lexicon(spark: SparkSession, texts: DataFrame, ranks_path: str, sample_rows: int = 2000, max_words: int = 30_000) -> str:
+def most_frequent(texts: DataFrame, max_words: int) -> list[tuple[bytes, int]]:
+    """(word, how often) of the ``max_words`` most frequent words of all texts, counted exactly, of those that occur twice at least.
+
+    Of words that are as frequent the first by their bytes are taken. Words below a count that enough others
+    reach are left out before the sort, so that one task can end it.
+    """
+    counts = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    stored = Stored(counts)
+    rounded = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 5, 0)), greatest(length(bin(n)) - 5, 0))")  # five binary digits are kept
+    least, words = 0, 0
+    for r in sorted(stored.df.groupBy(rounded.alias("n")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):  # at most 16 a binary digit
+        least, words = r["n"], words + r["words"]
+        if words >= max_words:
+            break
+    found = stored.df.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(max_words).coalesce(1).collect()  # at most max_words
+    stored.drop()
+    return [(bytes(r["word"]), r["n"]) for r in found]
+
+
+def build_lexicon(spark: SparkSession, texts: DataFrame, ranks_path: str, max_words: int = 30_000) -> str:
     """Compiles the transducer and gives the name by which executors get its file.
 
-    It holds every vocabulary entry that is a word by itself, and the ``max_words`` most frequent words of a
-    sample of about ``sample_rows`` texts, chosen by hash over the whole corpus. The sample only decides which
-    words are fast; every text is encoded whole and alike. ``texts`` has one column, ``text``.
+    It holds every vocabulary entry that is a word by itself, and the ``max_words`` most frequent words of all
+    ``texts``, counted exactly (ties by the word). The counts only decide which words are fast; every text is
+    encoded whole and alike. ``texts`` has one column, ``text``.
     """
     import regex
 
@@ -158,11 +187,7 @@ def build_lexicon(spark: SparkSession, texts: DataFrame, ranks_path: str, sample
             continue
         if (m := whole.match(text)) and m.end() == len(text):
             pairs[token] = [rank]
-    share = max(1, texts.count() // sample_rows)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    frequent = sample.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(max_words)
-    for r in frequent.collect():  # at most max_words
-        word = bytes(r["word"])
+    for word, _ in most_frequent(texts, max_words):
         if word not in pairs:
             pairs[word] = encoding._encode_single_piece(word)
     block = lexicon.to_bytes(lexicon.compile_words(pairs))

@@ -76,6 +76,48 @@ def test_token_ids_equal_a_public_tokenizer(spark):
     assert tokenize.token_ids(df).schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
 
 
+def test_frequent_words_are_counted_over_all_texts(spark):
+    """Words that just two of many texts hold are frequent words too; those with most and their ids are in the lexicon."""
+    from pyspark import SparkFiles
+
+    ranks_path = os.path.join(tokenize.TOKENIZERS, "byte_bpe_50k.tiktoken")
+    pairs = [f"zq{a}{b}xv" for a in "abcdefgh" for b in "jklmnopq"]  # words that no vocabulary has
+    rows = [(f"{i} " * (1 + i % 3),) for i in range(12_000)] + [(p,) for p in pairs] + [(p + "\n" + "x" * i,) for i, p in enumerate(pairs)] + [(None,)]
+    texts = spark.createDataFrame(rows, "text string").repartition(5)
+    arrays = lexicon.load(SparkFiles.get(tokenize.build_lexicon(spark, texts, ranks_path)))
+    data = np.frombuffer("".join(pairs).encode(), np.uint8)
+    stop = np.cumsum([len(p) for p in pairs])
+    rank = lexicon.look_up(arrays, data, stop - [len(p) for p in pairs], stop)
+    assert rank.min() >= 0
+    merge = tokenize._encoding(ranks_path)[0]._encode_single_piece
+    assert [arrays["ids"][arrays["id_start"][r] : arrays["id_start"][r + 1]].tolist() for r in rank] == [merge(p.encode()) for p in pairs]
+
+
+def test_most_frequent_words_against_plain_counts(spark):
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 60))) for _ in range(400)] + ["rare", ""]
+    counts = Counter(w.encode() for t in texts for w in regex.findall(tokenize.PATTERN, t))
+    want = sorted(((-n, w) for w, n in counts.items() if n > 1))
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(6)
+    for most in (1, 20, 57, 10_000):
+        assert [(-n, w) for w, n in tokenize.most_frequent(df, most)] == want[:most]
+    assert tokenize.most_frequent(df.where("false"), 5) == []
+
+
+def test_counts_that_are_handed_on_early_add_up(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(["a b a", "b", None])})] * 3
+    whole = [(w, n) for b in tokenize._count_words(iter(batches)) for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True)]
+    monkeypatch.setattr(tokenize, "COUNTED_WORDS", 1)
+    parts = list(tokenize._count_words(iter(batches)))
+    total = {}
+    for b in parts:
+        for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
+            total[w] = total.get(w, 0) + n
+    assert len(parts) == 4 and total == dict(whole) == {b"a": 3, b" b": 3, b" a": 3, b"b": 3}
+
+
 def _w(t):
     return [x.lower() for x in WORD.findall(t or "")]
 
