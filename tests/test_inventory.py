@@ -384,6 +384,23 @@ def test_unreadable_files_go_to_a_table_of_their_own(spark):
     assert {r["version"]["count"] for r in generate.failures_of(files).collect()} == {1, 2}
 
 
+def _blobs(spark, *contents):
+    """Rows of blobs: versions of one file."""
+    rows = [("b", f"h{n}", n, n, "a/s.inc", c) for n, c in enumerate(contents, 1)]
+    return spark.createDataFrame(rows, "repo string, commit_hash string, rev_count bigint, rev_time bigint, path string, content binary")
+
+
+def test_history_goes_on_behind_a_file_cut_within_a_typeset(spark):
+    """A typeset's type ends before its arguments, where the file, the typeset or the type's semicolon ends."""
+    types = lambda text: [m["name"] for s in declarations.parse(text) if s["category"] == "typesets" for m in s["members"]]
+    assert types(b"typeset T\n{\n\tfunction void (int a);\n\tfunction bool") == ["function void (int a)", "function bool"]
+    assert types(b"typeset T { function void } native int F(int a);") == ["function void"]
+    assert types(b"typeset T { function void; function int (int a); };") == ["function void", "function int (int a)"]
+    files = generate.file_versions(_blobs(spark, b"native int A();\ntypeset T { function void", b"native int A();\ntypeset T { function void (int a); };"))
+    got = {r["name"]: (r["created"]["count"], r["last_updated"]["count"]) for r in generate.generate(files).collect()}
+    assert got == {"A": (1, 1), "T": (1, 2)}
+
+
 def test_run_from_manifest_to_document(spark, tmp_path):
     """Walk, merge, keep what HEAD has, write; again from there; nothing without differences; the walk as a stream."""
     repo = tmp_path / "repo"
