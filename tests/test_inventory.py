@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from symbolloom.functions import docs, paths, scoring, signature
 from symbolloom.operators import catalogue, merge, search
 from symbolloom.parser import declarations, lexer
-from symbolloom.plans import generate
+from symbolloom.plans import generate, reference
 from symbolloom.sources import bundles, git
 
 
@@ -401,6 +401,16 @@ def test_history_goes_on_behind_a_file_cut_within_a_typeset(spark):
     assert got == {"A": (1, 1), "T": (1, 2)}
 
 
+def test_includes_are_parsed_whole_beside_literals_that_stand_for_nothing(spark, tmp_path):
+    """Codes of no character and numbers without digits stay as they are written; long numbers are numbers."""
+    odd = [r"'\xD800'", r"'\xFFFFFFFF'", r"'\99999999999'", "0x_", "0b_", "7" * 5000]
+    _blobs(spark, "enum E {{ {} }};\nnative int F(int a = '\\xDC00');".format(", ".join(f"A{i} = {t}" for i, t in enumerate(odd))).encode(), b"native int G(").write.parquet(f"{tmp_path}/blobs.parquet")
+    entries = generate.symbols_of(generate.file_versions(spark.read.parquet(f"{tmp_path}/blobs.parquet"))).where("category = 'enums'").first()["members"]
+    assert [m["value"] for m in entries] == odd
+    rows = reference.queries()["parse_includes"](spark, str(tmp_path)).collect()
+    assert {(r["rev"], r["name"]) for r in rows} == {(1, "E"), (1, "F"), (2, "G")}
+
+
 def test_run_from_manifest_to_document(spark, tmp_path):
     """Walk, merge, keep what HEAD has, write; again from there; nothing without differences; the walk as a stream."""
     repo = tmp_path / "repo"
