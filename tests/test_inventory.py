@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from oracle import assert_same
 from symbolloom.functions import docs, paths, scoring, signature
 from symbolloom.operators import catalogue, merge, search
 from symbolloom.parser import declarations, lexer
@@ -411,6 +412,14 @@ def test_includes_are_parsed_whole_beside_literals_that_stand_for_nothing(spark,
     assert {(r["rev"], r["name"]) for r in rows} == {(1, "E"), (1, "F"), (2, "G")}
 
 
+def test_unreadable_includes_are_those_of_the_sql_whatever_is_cut_or_odd(spark, tmp_path):
+    contents = [b"native int A();", b"native int B();\0", b"// \xff", b"typeset T { function bool", b"enum E { A = 0x_ };", b"native int F(int a = '\\xD800');", b"", b"typeset T { function void \xff", b"\xed\xa0\x80", "// é".encode()]
+    _blobs(spark, *contents).write.parquet(f"{tmp_path}/blobs.parquet")
+    got = reference.queries()["unreadable_includes"](spark, str(tmp_path))
+    assert_same(got, str(tmp_path), reference.oracle_sql()["unreadable_includes"])
+    assert {r["rev"] for r in got.collect()} == {2, 3, 8, 9}
+
+
 def test_run_from_manifest_to_document(spark, tmp_path):
     """Walk, merge, keep what HEAD has, write; again from there; nothing without differences; the walk as a stream."""
     repo = tmp_path / "repo"
