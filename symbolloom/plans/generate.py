@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +41,18 @@ def file_versions(blobs: DataFrame) -> DataFrame:
 PAYLOAD = ["docs", "kind", "return_type", "parent", "arguments", "members", "ref_line", "doc_start", "doc_end"]
 
 
-def held(files: DataFrame, valid: Valid = None) -> DataFrame:
+def held(files: DataFrame, valid: Valid = None, payload: Sequence[str] = PAYLOAD) -> DataFrame:
     """The symbols of every file version, as merge() takes them."""
     content = [F.to_json(F.struct("docs", "kind", "return_type", "type", "parent", "value", "arguments", "members"))]
-    return merge.held_rows(symbols_of(files, valid), content, PAYLOAD)
+    return merge.held_rows(symbols_of(files, valid), content, list(payload))
 
 
-def generate(files: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Current symbols with created and last_updated, from all versions, or from those after ``prior``."""
-    return merge.merge(held(files), prior)
+def generate(files: DataFrame, prior: DataFrame | None = None, payload: Sequence[str] = PAYLOAD) -> DataFrame:
+    """Current symbols with created and last_updated, from all versions, or from those after ``prior``.
+
+    Versions are parsed once, as merge() reads its rows twice. ``payload`` is what is kept of a symbol; all of it is compared.
+    """
+    return merge.merge(Stored(held(files, payload=payload)).df, prior)
 
 
 def run(spark: SparkSession, manifest: str, repository: str, out: str, prior: str | None = None, valid: Valid = None) -> int:

@@ -283,7 +283,7 @@ def unreadable_includes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generate_history(spark: SparkSession, sf: str) -> DataFrame:
-    out = generate.generate(generate.file_versions(table(spark, sf, "blobs")))
+    out = generate.generate(generate.file_versions(table(spark, sf, "blobs")), payload=["ref_line"])
     return out.select("bundle", "strand", "category", "name", F.col("created.count").alias("created"), F.col("last_updated.count").alias("last_updated"))
 
 

@@ -402,6 +402,15 @@ def test_history_goes_on_behind_a_file_cut_within_a_typeset(spark):
     assert got == {"A": (1, 1), "T": (1, 2)}
 
 
+def test_generate_parses_once_and_compares_all_whatever_it_keeps(spark):
+    files = generate.file_versions(_blobs(spark, b"\n// d\nnative int A();\nnative int B();", b"\n// e\nnative int A();\nnative int B();", b"\n// e\nnative int A();\nnative bool B();"))
+    whole, slim = generate.generate(files), generate.generate(files, payload=["ref_line"])
+    assert "MapInArrow" not in slim._jdf.queryExecution().toString()
+    stamps = lambda df: {r["name"]: (r["created"]["count"], r["last_updated"]["count"]) for r in df.collect()}
+    assert stamps(slim) == stamps(whole) == {"A": (1, 2), "B": (1, 3)}
+    assert slim.schema["payload"].dataType.names == ["ref_line"] and whole.schema["payload"].dataType.names == generate.PAYLOAD
+
+
 def test_includes_are_parsed_whole_beside_literals_that_stand_for_nothing(spark, tmp_path):
     """Codes of no character and numbers without digits stay as they are written; long numbers are numbers."""
     odd = [r"'\xD800'", r"'\xFFFFFFFF'", r"'\99999999999'", "0x_", "0b_", "7" * 5000]
